@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES = ("simhash", "bpe")
+MODULES = ("pii", "simhash", "bpe")
 
 
 def _merged(attribute: str) -> dict:
