@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -34,11 +36,13 @@ from inkweave.session import read_table
 
 #: Characters of a leaf of the text's tree, bytes of a leaf of a match's tree, ids of a leaf in decoding.
 TEXT_LEAF, MATCH_LEAF, ID_LEAF = 4096, 64, 4096
-#: Entries of a cache, which is emptied when it is full, and the longest text that it keeps.
+#: Entries of a cache at most, and the longest text that it keeps.
 CACHED, CACHED_CHARS = 300_000, 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: No code point of white space in any library's reading is left out here.
-BLANK = frozenset(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))
+#: Every code point that some library takes for white space.
+BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200F\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
+#: A space at which a match starts in any surroundings.
+SETTLED = re.compile(f" (?<=[^{BLANK}] )(?=[^{BLANK}])")
 
 
 class Codec:
@@ -51,15 +55,14 @@ class Codec:
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.matches = regex.compile(pattern).findall
-        self.units: dict[str, bytes] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.units, self.older_units = {}, {}  # packed ids of windows; the older half goes when the newer one is full
+        self.apart: dict[int, bool] = {}
+        self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
 
     # one match of the pattern
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The code of a short match: the pair of the lowest rank is merged, the leftmost of ties first."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
+    def merged_plainly(self, piece: bytes) -> list[int]:
+        """The code of a short stretch: the pair of the lowest rank is merged, the leftmost of ties first."""
         ranks, far = self.ranks, len(self.bytes_of)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [ranks.get(a + b, far) for a, b in pairwise(parts)]
@@ -73,6 +76,31 @@ class Codec:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], far)
         return [ranks[p] for p in parts]
 
+    def merged(self, piece: bytes) -> list[int]:
+        """The same by the longest token that keeps apart from the one before it, and back where none does.
+
+        A prefix has one code, so a place from which the rest can't be coded never becomes a seam.
+        """
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
+            return [whole]
+        out: list[int] = []
+        dead: set[int] = set()
+        at, n, most = 0, len(piece), len(piece) - 1
+        while at < n:
+            for stop in range(at + most, at, -1):
+                t = get(piece[at:stop])
+                if t is not None and stop not in dead and (not out or self.keep_apart(out[-1], t)):
+                    out.append(t)
+                    at, most = stop, n - stop
+                    break
+            else:
+                dead.add(at)
+                most = len(self.bytes_of[out[-1]]) - 1
+                at -= most + 1
+                out.pop()
+        return out
+
     def merged_by_heap(self, piece: bytes) -> list[int]:
         """The same for a long stretch, in n log n steps."""
         ranks, n = self.ranks, len(piece)
@@ -97,12 +125,51 @@ class Codec:
             i = end[i]
         return out
 
+    def spine(self, token: int, right: bool) -> list[int]:
+        """The parts at one end of a token as they grow, from its outer byte to itself."""
+        if (known := self.spines[right].get(token)) is None:
+            piece = self.bytes_of[token]
+            if len(piece) == 1:
+                known = [token]
+            else:
+                rank, self.ranks[piece] = token, len(self.bytes_of)  # the last merge is left out
+                try:
+                    parts = self.merged_plainly(piece)
+                finally:
+                    self.ranks[piece] = rank
+                if len(parts) != 2 or max(parts) >= token:
+                    raise ValueError("a token is not made of two of lower rank: these ranks are no byte-pair merges")
+                known = [*self.spine(parts[right], right), token]
+            self.spines[right][token] = known
+        return known
+
     def keep_apart(self, a: int, b: int) -> bool:
-        """Whether tokens a and b are the code of their bytes together."""
-        if (known := self.apart.get((a, b))) is None:
+        """Whether tokens a and b are the code of their bytes together.
+
+        Merges go by rising rank, so the parts that meet at the seam are known at each rank;
+        they merge across it if their pair's rank comes before what changes either of them.
+        """
+        key = a << 32 | b
+        if (known := self.apart.get(key)) is None:
             if len(self.apart) >= CACHED:
                 self.apart.clear()
-            known = self.apart[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            left, right, bytes_of, get = self.spine(a, True), self.spine(b, False), self.bytes_of, self.ranks.get
+            i, j, far = 0, 0, len(bytes_of)
+            while True:
+                grown_left = left[i + 1] if i + 1 < len(left) else far
+                grown_right = right[j + 1] if j + 1 < len(right) else far
+                pair = get(bytes_of[left[i]] + bytes_of[right[j]], far)
+                if pair < grown_left and pair <= grown_right and pair < far:
+                    known = False
+                    break
+                if grown_left == grown_right == far:
+                    known = True
+                    break
+                if grown_left <= grown_right:
+                    i += 1
+                else:
+                    j += 1
+            self.apart[key] = known
         return known
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -125,31 +192,37 @@ class Codec:
 
     # texts
 
-    def window(self, text: str) -> bytes:
-        """The packed ids of a stretch whose matches are those of the whole text."""
-        known = self.units.get(text)
+    def code(self, text: str) -> bytes:
+        ids = [t for m in self.matches(text) for t in self.match_code(m.encode())]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def unit(self, rest: str) -> bytes:
+        """The packed ids of a space and rest."""
+        known = self.units.get(rest)
         if known is None:
-            known = np.array([t for m in self.matches(text) for t in self.match_code(m.encode())], "<u4").tobytes()
-            if len(text) <= CACHED_CHARS:
+            known = self.older_units.get(rest)
+            if known is None:
+                known = self.code(" " + rest)
+            if len(rest) <= CACHED_CHARS:
                 if len(self.units) >= CACHED:
-                    self.units.clear()
-                self.units[text] = known
+                    self.units, self.older_units = {}, self.units
+                self.units[rest] = known
         return known
 
+    def window(self, text: str) -> bytes:
+        """The packed ids of a stretch whose matches are those of the whole text."""
+        return self.unit(text[1:]) if text[:1] == " " else self.code(text)
+
     def leaf(self, text: str) -> tuple[str, bytes | None, str]:
         """(head, settled ids, tail); (text, None, "") if no place in it is settled."""
-        first, *rest = text.split(" ")
-        solid_end, solid_start, cuts, at = first[-1:] not in BLANK and first != "", [x != "" and x[0] not in BLANK for x in rest], [], len(first)
-        for x, starts in zip(rest, solid_start, strict=True):
-            if solid_end and starts:
-                cuts.append(at)
-            solid_end = x != "" and x[-1] not in BLANK
-            at += 1 + len(x)
-        if not cuts:
+        head, *rest = SETTLED.split(text)
+        if not rest:
             return text, None, ""
-        window, known = self.window, self.units
-        ids = [known.get(u) or window(u) for u in (text[a:b] for a, b in pairwise(cuts))]
-        return text[: cuts[0]], b"".join(ids), text[cuts[-1] :]
+        tail = rest.pop()
+        ids = list(map(self.units.get, rest))
+        if None in ids:
+            ids = [self.unit(r) if i is None else i for r, i in zip(rest, ids, strict=True)]
+        return head, b"".join(ids), " " + tail
 
     def combined(self, a: tuple[str, bytes | None, str], b: tuple[str, bytes | None, str]) -> tuple[str, bytes | None, str]:
         if a[1] is None and b[1] is None:
