@@ -37,7 +37,7 @@ from inkweave.session import read_table
 #: Characters of a leaf of the text's tree, bytes of a leaf of a match's tree, ids of a leaf in decoding.
 TEXT_LEAF, MATCH_LEAF, ID_LEAF = 4096, 64, 4096
 #: Entries of a cache at most, and the longest text that it keeps.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 200_000, 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Every code point that some library takes for white space.
 BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200F\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
@@ -54,7 +54,12 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
+        self.reach: dict[bytes, int] = {}  # the longest token by its first three bytes
+        for piece in self.ranks:
+            if len(piece) > self.reach.get(piece[:3], 2):
+                self.reach[piece[:3]] = len(piece)
         self.matches = regex.compile(pattern).findall
+        self.words, self.older_words = {}, {}  # ids of matches, kept like
         self.units, self.older_units = {}, {}  # packed ids of windows; the older half goes when the newer one is full
         self.apart: dict[int, bool] = {}
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
@@ -81,14 +86,14 @@ class Codec:
 
         A prefix has one code, so a place from which the rest can't be coded never becomes a seam.
         """
-        get = self.ranks.get
+        get, reach = self.ranks.get, self.reach.get
         if (whole := get(piece)) is not None:
             return [whole]
         out: list[int] = []
         dead: set[int] = set()
         at, n, most = 0, len(piece), len(piece) - 1
         while at < n:
-            for stop in range(at + most, at, -1):
+            for stop in range(at + min(most, reach(piece[at : at + 3], 2)), at, -1):
                 t = get(piece[at:stop])
                 if t is not None and stop not in dead and (not out or self.keep_apart(out[-1], t)):
                     out.append(t)
@@ -193,8 +198,18 @@ class Codec:
     # texts
 
     def code(self, text: str) -> bytes:
-        ids = [t for m in self.matches(text) for t in self.match_code(m.encode())]
-        return pack(f"<{len(ids)}I", *ids)
+        out = b""
+        for m in self.matches(text):
+            known = self.words.get(m) or self.older_words.get(m)
+            if known is None:
+                ids = self.match_code(m.encode())
+                known = pack(f"<{len(ids)}I", *ids)
+                if len(m) <= CACHED_CHARS:
+                    if len(self.words) >= CACHED:
+                        self.words, self.older_words = {}, self.words
+                    self.words[m] = known
+            out += known
+        return out
 
     def unit(self, rest: str) -> bytes:
         """The packed ids of a space and rest."""
