@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES = ("html_text", "mpegts", "pii", "simhash", "licenses", "bpe", "quality_rules", "secrets")
+MODULES = ("html_text", "mpegts", "pii", "simhash", "licenses", "quality_crf", "bpe", "quality_rules", "secrets")
 
 
 def _merged(attribute: str) -> dict:
