@@ -37,7 +37,9 @@ from inkweave.session import read_table
 #: Characters of a leaf of the text's tree, bytes of a leaf of a match's tree, ids of a leaf in decoding.
 TEXT_LEAF, MATCH_LEAF, ID_LEAF = 4096, 64, 4096
 #: Entries of a cache at most, and the longest text that it keeps.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 110_000, 48
+#: Rows that are encoded or decoded together.
+ROWS = 256
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Every code point that some library takes for white space.
 BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200F\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
@@ -271,6 +273,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, ids) for each row of docs: ids holds the tokens of the whole text as little-endian unsigned 32-bit integers.
 
@@ -281,7 +289,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(path, pattern).encoded
-        for b in batches:
+        for b in _pieces(batches):
             ids = pa.array([encode(t.as_py()) for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], ["id", "ids"])
 
@@ -295,7 +303,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path, pattern).decoded
-        for b in batches:
+        for b in _pieces(batches):
             out = pa.array([decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in b.column("ids")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), out], ["id", "ids", "decoded"])
 
@@ -310,7 +318,7 @@ def token_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(path, pattern).encoded
-        for b in batches:
+        for b in _pieces(batches):
             packed = [encode(t.as_py()) for t in b.column("text")]
             sizes = np.array([len(p) // 4 for p in packed], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
