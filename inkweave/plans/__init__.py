@@ -1,3 +1,3 @@
 """Named queries over the given tables, one module for each family."""
 
-ALL_MODULES: list[str] = ["inkweave.plans.relational"]
+ALL_MODULES: list[str] = ["inkweave.plans.relational", "inkweave.plans.texts"]
