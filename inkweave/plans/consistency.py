@@ -132,12 +132,11 @@ def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "inject_quality",
-    "WITH p AS (SELECT p_partkey, p_size AS original, (p_size * 7 + 3) % 50 AS injected, p_name, lag(p_name) OVER (ORDER BY p_partkey) AS subject FROM part WHERE p_partkey < 500)"
+    "WITH p AS (SELECT p_partkey, p_size AS original, (p_size * 7 + 3) % 50 AS injected, p_name, lag(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS subject FROM part)"
     " SELECT p_partkey, CASE WHEN subject IS NULL THEN 'contextless_append' WHEN subject = p_name THEN 'ambiguous_subject' WHEN original = injected THEN 'no_conflict' ELSE 'clear_conflict' END AS label FROM p",
 )
 def inject_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "part").where("p_partkey < 500")
-    rows = rows.select("p_partkey", F.col("p_size").alias("original"), ((F.col("p_size") * 7 + 3) % 50).alias("injected"), "p_name", F.lag("p_name").over(Window.orderBy("p_partkey")).alias("subject"))
+    rows = read_table(spark, d, "part").select("p_partkey", F.col("p_size").alias("original"), ((F.col("p_size") * 7 + 3) % 50).alias("injected"), "p_name", F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("subject"))
     outcome = vd.compared(F.lit("age"), F.col("original").cast("string"), F.col("injected").cast("string"))
     label = F.when(F.col("subject").isNull(), "contextless_append").when(F.col("subject") == F.col("p_name"), "ambiguous_subject").when(outcome == "OK", "no_conflict").otherwise("clear_conflict")
     return rows.select("p_partkey", label.alias("label"))

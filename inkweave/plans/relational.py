@@ -244,13 +244,13 @@ def best_row_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "conflict_groups",
-    "WITH f AS (SELECT p_name AS entity_id, unnest(['attr/p_brand', 'attr/p_type', 'attr/p_size']) AS tag_path, lower(trim(unnest([p_brand, p_type, p_size::VARCHAR]))) AS value FROM part WHERE p_partkey % 9 = 0)"
+    "WITH f AS (SELECT p_name || '/' || p_brand || '/' || p_type AS entity_id, unnest(['attr/p_brand', 'attr/p_type', 'attr/p_size']) AS tag_path, lower(trim(unnest([p_brand, p_type, p_size::VARCHAR]))) AS value FROM part)"
     " SELECT entity_id, tag_path, count(DISTINCT value) AS n_values, count(*) AS n_facts, CASE WHEN count(DISTINCT value) > 1 THEN 'PROPOSED' ELSE 'APPROVED' END AS status,"
     " CASE WHEN count(DISTINCT value) > 1 THEN 'unknown' ELSE min(value) END AS value FROM f GROUP BY ALL",
 )
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
-    parts = read_table(spark, d, "part").where("p_partkey % 9 = 0")
-    return rel.conflicts(rel.attributes_as_facts(parts, "p_name", ["p_brand", "p_type", "p_size"]))
+    parts = read_table(spark, d, "part").withColumn("entity", F.concat_ws("/", "p_name", "p_brand", "p_type"))
+    return rel.conflicts(rel.attributes_as_facts(parts, "entity", ["p_brand", "p_type", "p_size"]))
 
 
 @query(
