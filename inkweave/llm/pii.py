@@ -140,5 +140,48 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The same in SQL, with the patterns as the contract states them."""
+    near = "lower(substr(text, greatest(s - {0}, 0) + 1, least(s, {0})) || ' ' || substr(text, e + 1, {1}))".format(BEFORE, AFTER)
+    context = lambda kind: f"regexp_matches({near}, '(?:^|[^a-z])(?:{CONTEXT_WORDS[WORDS_OF[kind]]})(?:[^a-z]|$)')"
+    d = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 0 AND CAST(substr(reverse({d}), i, 1) AS INT) > 4 THEN CAST(substr(reverse({d}), i, 1) AS INT) * 2 - 9"
+        f" WHEN i % 2 = 0 THEN CAST(substr(reverse({d}), i, 1) AS INT) * 2 ELSE CAST(substr(reverse({d}), i, 1) AS INT) END)) % 10 = 0"
+    )
+    bare = "replace(m, ' ', '')"
+    turned = f"(substr({bare}, 5) || substr({bare}, 1, 4))"
+    values = f"list_transform(range(1, length({turned}) + 1), lambda i: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({turned}, i, 1)) - 1)"
+    mod = f"list_reduce({values}, lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1"
+    n = f"length({d})"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 999) > 255)) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"{n} BETWEEN 16 AND 19 AND {luhn}"), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"{n} BETWEEN 8 AND 15"),
+        "card_short": (r"[0-9](?:[\x20-]?[0-9])+", f"{n} BETWEEN 13 AND 15 AND {luhn} AND {context('card_short')}"), "iban": (IBAN, mod),
+        "phone_local": (LOCAL_PHONE, context("phone_local")), "national_id": (NATIONAL_ID, context("national_id")),
+    }
+    out = ["WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
+    for k, (kind, (pattern, test)) in enumerate(kinds.items()):
+        out.append(f"h_{kind} AS (SELECT r, text, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM d WHERE regexp_matches(text, '{pattern}'))")
+        out.append(
+            f"p_{kind} AS (SELECT r, text, hits[i] AS m, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s"
+            f" FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
+        )
+        first = PROPOSED[kind] + (CHECKSUM if kind in ("card", "card_short", "iban") else 0)
+        out.append(f"k_{kind} AS (SELECT {k} AS k, '{kind}' AS kind, r, s, e, round(least(1.0, {first} + CASE WHEN {context(kind)} THEN {CONTEXT} ELSE 0.0 END), 2)::DOUBLE AS score FROM (SELECT *, s + length(m) AS e FROM p_{kind}) WHERE {test})")
+    base = " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in BASE)
+    added = " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in ADDED)
+    out.append(f"b AS MATERIALIZED ({base})")
+    out.append(f"a AS (SELECT * FROM ({added}) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e))")
+    out.append("every AS (SELECT * FROM b UNION ALL SELECT * FROM a)")
+    joined = lambda what, where="true": f"coalesce(string_agg({what}, ',' ORDER BY k, s) FILTER (WHERE k IS NOT NULL AND {where}), '')"
+    span = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
+    columns = f"{counts}, sha256({joined(span, 'k < 4')}) AS base_sha256, {joined(span)} AS spans, {joined('score::VARCHAR')} AS scores"
+    return ",\n".join(out) + f"\nSELECT doc_id, {columns} FROM d LEFT JOIN every USING (r) GROUP BY d.r, doc_id"
+
+
+SQL = _sql()
 QUERIES = {"op3_pii": op3_pii}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_pii": SQL}

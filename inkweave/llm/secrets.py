@@ -238,5 +238,54 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The same in SQL, over one row for each character of a candidate."""
+    assign = ASSIGN.replace("'", "''")
+    head = ASSIGN_HEAD.replace("'", "''")
+    kinds = {"assign": (assign, f"length(regexp_replace(m, '{head}', '')) >= 6"), "access": (ACCESS, "length(m) >= 20"), "hex": (HEX, "true"), "random": (CANDIDATE, "true")}
+    out = ["WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
+    for kind, (pattern, test) in kinds.items():
+        out.append(f"h_{kind} AS (SELECT r, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM d WHERE regexp_matches(text, '{pattern}'))")
+        out.append(
+            f"p_{kind} AS (SELECT r, hits[i] AS m, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s"
+            f" FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
+        )
+        out.append(f"k_{kind} AS (SELECT r, s, s + length(m) AS e, m FROM p_{kind} WHERE {test})")
+    out.append("b AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, '{kind}' AS kind, r, s, e FROM k_{kind}" for k, kind in enumerate(BASE)) + ")")
+    encoding = "CASE WHEN regexp_matches(x, '^[0-9]*$') THEN NULL " + " ".join(
+        f"WHEN regexp_matches(x, '^[{letters}]*$') THEN '{name}'"
+        for name, letters in (("hex", "0-9a-f"), ("HEX", "0-9A-F"), ("base32", "A-Z2-7"), ("alnum", "0-9A-Za-z"), ("base64", "0-9A-Za-z+/"), ("base64url", "0-9A-Za-z_-"))
+    ) + " END"
+    abc = "CASE enc " + " ".join(f"WHEN '{name}' THEN '{letters}'" for name, letters in ALPHABETS.items()) + " END"
+    strata = "CASE " + " ".join(f"WHEN n >= {low} THEN {k}" for k, low in reversed(list(enumerate(STRATA)))) + " ELSE 0 END"
+    hexes = "enc IN ('hex', 'HEX')"
+    sq, cube = (f"CASE WHEN {hexes} THEN {NUMBER_SHARES[k]} ELSE {TEXT_SHARES[k]} END" for k in (0, 1))
+    t = "(1 / (1 + 0.2316419 * z))"
+    tail = f"exp(-z * z / 2) * 0.3989422804014327 * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    out += [
+        "c0 AS (SELECT r, s, e, regexp_replace(m, '=+$', '') AS x FROM k_random c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e))",
+        f"c1 AS (SELECT *, {encoding} AS enc FROM c0 WHERE length(x) >= {STRATA[0]})",
+        f"c AS MATERIALIZED (SELECT *, {abc} AS abc, length(x)::DOUBLE AS n, row_number() OVER () AS c FROM c1 WHERE enc IS NOT NULL)",
+        "ch AS (SELECT c, n, length(abc)::DOUBLE AS k, i, instr(abc, substr(x, i, 1)) - 1 AS p FROM c, unnest(range(1, length(x) + 1)) u(i))",
+        "pl AS (SELECT *, avg(p) OVER (PARTITION BY c) AS mean, count(*) OVER (PARTITION BY c, p) AS alike, lag(p) OVER (PARTITION BY c ORDER BY i) AS was FROM ch)",
+        "st AS (SELECT c, any_value(n) AS n, any_value(k) AS k, sum(alike)::DOUBLE AS pairs, count(*) FILTER (WHERE p >= k / 2)::DOUBLE AS high, 1 + count(*) FILTER (WHERE (p >= k / 2) <> (was >= k / 2)) AS turns,"
+        " sum((p - mean) * (p - mean)) AS sq, coalesce(sum((p - mean) * (was - mean)), 0) AS bys FROM pl GROUP BY c)",
+        "z1 AS (SELECT *, cbrt((k / n * pairs - n) / (k - 1)) AS w, 1 + 2 * high * (n - high) / n AS mid FROM st)",
+        "z2 AS (SELECT c, n, pairs, (w - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_even, CASE WHEN high < 1 OR high > n - 1 THEN sqrt(n) ELSE (turns - mid) / sqrt(greatest((mid - 1) * (mid - 2) / (n - 1), 0.25)) END AS z_runs,"
+        " CASE WHEN sq > 0 THEN bys / sq ELSE 1.0 END * sqrt(n) AS z_serial FROM z1)",
+        f"z3 AS (SELECT c.c, r, s, e, c.n, z_even <= {MOST_Z} AND abs(z_runs) <= {MOST_Z} AND abs(z_serial) <= {MOST_Z} AS passed, (c.n + c.n * (c.n - 1) * ({sq}) - pairs)"
+        f" / (2 * sqrt(c.n * (c.n - 1) / 2 * (({sq}) - ({sq}) * ({sq})) + c.n * (c.n - 1) * (c.n - 2) * (({cube}) - ({sq}) * ({sq})))) AS z FROM c JOIN z2 ON c.c = z2.c)",
+        f"j AS MATERIALIZED (SELECT r, s, e, {strata} AS stratum, CASE WHEN NOT passed THEN NULL WHEN z <= 0 THEN 0 WHEN z > 13 THEN floor({MOST_LOG} / {STEP})::INT ELSE floor(least({MOST_LOG}, -log10({tail})) / {STEP})::INT END AS bin FROM z3)",
+        "m AS (SELECT stratum, bin, count(*) AS n FROM j GROUP BY ALL), a AS (SELECT stratum, sum(n) AS everyone FROM m GROUP BY stratum)",
+        "f AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS found FROM m WHERE bin IS NOT NULL)",
+        f"l AS (SELECT f.stratum, min(bin) AS least_bin FROM f JOIN a USING (stratum) WHERE pow(10.0, -bin * {STEP}) * everyone <= {FALSE_SHARE} * found GROUP BY f.stratum)",
+        f"every AS (SELECT * FROM b UNION ALL SELECT {len(BASE)}, 'random', r, s, e FROM j JOIN l USING (stratum) WHERE bin >= least_bin)",
+    ]
+    joined = lambda where="true": f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k IS NOT NULL AND {where}), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
+    return ",\n".join(out) + f"\nSELECT doc_id, {counts}, sha256({joined(f'k < {len(BASE)}')}) AS base_sha256, {joined()} AS spans FROM d LEFT JOIN every USING (r) GROUP BY d.r, doc_id"
+
+
+SQL = _sql()
 QUERIES = {"op10_secret_randomness": op10_secret_randomness}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_secret_randomness": SQL}

@@ -3,6 +3,7 @@ import random
 import re
 
 from inkweave.llm import pii
+from tests.oracle import assert_same
 
 CASES = [
     "mail a.b+c@x-y.example.com, now", "a@b.c_d@e.f @x.y a@b a@.c aa@b.c@d.e", "1.2.3.4 1.2.3.4.5 256.1.1.1 1.2.3 000255.0.0.1 1.2.3.4.5.6.7.8",
@@ -65,3 +66,12 @@ def test_random(spark, tmp_path):
 
 def test_empty_table(spark):
     assert pii.pii_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_same_as_sql(spark, sf, tmp_path):
+    assert assert_same(pii.op3_pii(spark, sf), sf, pii.SQL) > 100
+    run = rows_of
+    r = random.Random(11)
+    more = ["see " + "".join(r.choice("abcdefABCDEF0123456789+/XYZ") for _ in range(n)) + " x" for n in range(20, 90)]
+    run(spark, ["a", "b", "c", "d", *[x for x in CASES if x is None or len(x) < 5000], *more], tmp_path)
+    assert assert_same(pii.op3_pii(spark, str(tmp_path)), str(tmp_path), pii.SQL) > 50

@@ -7,6 +7,7 @@ import string
 import pytest
 
 from inkweave.llm import secrets as sec
+from tests.oracle import assert_same
 
 KINDS = ("assign", "access", "hex")
 B64 = string.ascii_letters + string.digits
@@ -110,3 +111,12 @@ def test_masking(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {0: ("a", 1), 1: ('x [SECRET]" y é', 15), 2: (None, 0), 3: ("", 0), 4: ("[SECRET]", 8)}
     assert sec.without_secrets(df.limit(0)).count() == 0 and sec.secret_spans(df.limit(0)).count() == 0
+
+
+def test_same_as_sql(spark, sf, tmp_path):
+    assert assert_same(sec.op10_secret_randomness(spark, sf), sf, sec.SQL) > 100
+    run = run_on
+    r = random.Random(11)
+    more = ["see " + "".join(r.choice("abcdefABCDEF0123456789+/XYZ") for _ in range(n)) + " x" for n in range(20, 90)]
+    run(spark, ["a", "b", "c", "d", *[x for x in CASES if x is None or len(x) < 5000], *more], tmp_path)
+    assert assert_same(sec.op10_secret_randomness(spark, str(tmp_path)), str(tmp_path), sec.SQL) > 50
