@@ -133,3 +133,45 @@ def external_nodes(records: DataFrame, source: str) -> DataFrame:
 def preferred_cohort(df: DataFrame, group: str, flag: Column) -> DataFrame:
     """The rows of each group with the flag, or all of a group that has none."""
     return df.withColumn("f", flag).withColumn("any", F.max("f").over(Window.partitionBy(group))).where(F.col("f") | ~F.col("any")).drop("f", "any")
+
+
+def self_evidence_scope(line: Column, slot: Column) -> Column:
+    """doc for a slot bound to a person on a line that states a profile, else claim."""
+    profile = line.rlike(r"^\s*[0-9A-Za-z가-힣]{1,12}\s*[::]\s*\S")
+    return F.when(profile & slot.isin("age", "death", "relation", "affiliation", "job", "talent"), "doc").otherwise("claim")
+
+
+def anchored(slot: Column, value: Column, snippet: Column) -> Column:
+    """Whether a snippet bears on a claim's value: it holds it without blanks, or shares a word (two, for values of several); blank snippets and other slots pass."""
+    flat = lambda x: F.regexp_replace(F.lower(x), r"\s+", "")
+    words = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    shared = F.size(F.array_intersect(words(value), words(snippet)))
+    enough = shared >= F.when(F.size(words(value)) <= 1, 1).otherwise(2)
+    return ~slot.isin("relation", "affiliation", "job", "talent") | (F.trim(snippet) == "") | F.contains(flat(snippet), flat(value)) | enough
+
+
+def facts_in_scope(facts: DataFrame, versions: DataFrame, scope: str = "latest_approved") -> DataFrame:
+    """Facts to judge by: explicit ones that aren't rejected, or the approved ones of each project's newest version, the larger id on ties."""
+    if scope == "explicit_only":
+        return facts.where("layer = 'explicit' and status <> 'REJECTED'")
+    newest = versions.groupBy("project").agg(F.max_by("schema_ver", F.struct("created_at", "schema_ver")).alias("schema_ver"))
+    return facts.where("status = 'APPROVED'").join(newest, ["project", "schema_ver"], "left_semi")
+
+
+def without_own_facts(facts: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """Facts without the automatic, unreviewed ones whose evidence lies in the documents that are being judged."""
+    own = evidence.join(documents.select("doc_id"), "doc_id", "left_semi").select(F.col("eid").alias("evidence_eid"))
+    automatic = facts.where("source = 'AUTO' and status = 'PROPOSED'").join(own, "evidence_eid", "left_semi").select("fact_id")
+    return facts.join(automatic, "fact_id", "left_anti")
+
+
+def plausible_value(slot: Column, value: Column) -> Column:
+    """Whether a text slot's value reads like a name: up to four words, none of them a clause's ending; other slots pass."""
+    words = F.split(F.trim(value), r"\s+")
+    clause = F.exists(words, lambda w: w.rlike("(?:하고|하며|했지만|이라고|라는|하면서|때문에)$"))
+    return ~slot.isin("relation", "affiliation", "job", "talent") | ((F.size(words) <= 4) & (F.length(F.trim(value)) >= 2) & ~clause)
+
+
+def targets(scored: DataFrame, key: str, score: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows to look at first: positive scores before others, larger ones first, then in an order drawn by the seed."""
+    return scored.orderBy(F.col(score) <= 0, F.desc(score), F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

@@ -136,3 +136,41 @@ def vector_job_pages(spark: SparkSession, d: str) -> DataFrame:
     text = se.bm25(docs, items, "doc_id", "item_id", 10, F.col("lang") == "en").select("item_id", "doc_id", (-F.col("score")).alias("score"), F.lit("fts").alias("source"))
     both = near.unionByName(text.join(near.select("item_id").distinct(), "item_id", "left_anti"))
     return se.top_k(both, "item_id", [F.desc("score"), F.col("doc_id")], 10).withColumn("page", F.floor((F.col("rank") - 1) / 5))
+
+
+@query(
+    "slot_anchor_filter",
+    "WITH x AS (SELECT p_partkey, p_name AS value, p_type || ' ' || lag(p_name, 1, '') OVER (PARTITION BY p_brand ORDER BY p_partkey) AS snippet FROM part),"
+    " w AS (SELECT *, list_distinct(regexp_extract_all(lower(value), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(snippet), '[\\p{L}\\p{N}]+')) AS b FROM x)"
+    " SELECT p_partkey, contains(replace(lower(snippet), ' ', ''), replace(lower(value), ' ', '')) OR len(list_intersect(a, b)) >= CASE WHEN len(a) <= 1 THEN 1 ELSE 2 END AS kept FROM w",
+)
+def slot_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = F.lag("p_name", 1, "").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = read_table(spark, d, "part").select("p_partkey", F.col("p_name").alias("value"), F.concat_ws(" ", "p_type", before).alias("snippet"))
+    return rows.select("p_partkey", na.anchored(F.lit("job"), F.col("value"), F.col("snippet")).alias("kept"))
+
+
+@query(
+    "fact_scope",
+    "WITH v AS (SELECT c_nationkey AS project, c_mktsegment AS schema_ver, max(c_acctbal) AS created_at FROM customer GROUP BY ALL), n AS (SELECT project, max_by(schema_ver, (created_at, schema_ver)) AS schema_ver FROM v GROUP BY project)"
+    " SELECT c_custkey FROM customer JOIN n ON project = c_nationkey AND schema_ver = c_mktsegment WHERE c_acctbal > 0",
+)
+def fact_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("schema_ver"), F.when(F.col("c_acctbal") > 0, "APPROVED").otherwise("PROPOSED").alias("status"), "c_acctbal")
+    versions = rows.groupBy("project", "schema_ver").agg(F.max("c_acctbal").alias("created_at"))
+    return na.facts_in_scope(rows, versions).select("c_custkey")
+
+
+@query(
+    "own_facts_excluded",
+    "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linestatus = 'O' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')) GROUP BY l_orderkey",
+)
+def own_facts_excluded(spark: SparkSession, d: str) -> DataFrame:
+    items = read_table(spark, d, "lineitem").withColumn("fact_id", F.monotonically_increasing_id())
+    facts = items.select("fact_id", F.col("l_orderkey").alias("evidence_eid"), F.when(F.col("l_returnflag") == "A", "AUTO").otherwise("USER").alias("source"), F.when(F.col("l_linestatus") == "O", "PROPOSED").otherwise("APPROVED").alias("status"))
+    orders = read_table(spark, d, "orders")
+    evidence = orders.select(F.col("o_orderkey").alias("eid"), F.col("o_orderpriority").alias("doc_id"))
+    judged = spark.createDataFrame([("1-URGENT",)], "doc_id string")
+    return na.without_own_facts(facts, evidence, judged).groupBy(F.col("evidence_eid").alias("l_orderkey")).agg(F.count("*").alias("n"))

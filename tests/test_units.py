@@ -185,3 +185,15 @@ def test_incremental_ingest(spark, tmp_path):
         ev.ingest_stream(stream(), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination(120)
     got = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/t").collect())
     assert got == [(1, "a"), (2, "b"), (2, "changed"), (3, "c")]
+
+
+def test_claim_predicates(spark):
+    from inkweave.operators import narrative as na
+
+    df = spark.createDataFrame([("직업: 마법사", "job", "마법사"), ("그는 갔다", "job", "그가 말하고"), ("나이: 3", "time", "새벽에 말하고")], "line string, slot string, value string")
+    got = df.select(na.self_evidence_scope(F.col("line"), F.col("slot")), na.plausible_value(F.col("slot"), F.col("value"))).collect()
+    assert [tuple(r) for r in got] == [("doc", True), ("claim", False), ("claim", True)]
+    v = column(spark, ["23:59", "24:00", "13월 1일", "12월 31일", "새벽"], na.time_value_valid)
+    assert v == [True, False, False, True, True]
+    scored = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, 1.0), (4, 0.0)], "k int, score double")
+    assert [r["k"] for r in na.targets(scored, "k", "score", 3).collect()][:2] == [2, 3]
