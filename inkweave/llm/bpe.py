@@ -37,7 +37,7 @@ from inkweave.session import read_table
 #: Characters of a leaf of the text's tree, bytes of a leaf of a match's tree, ids of a leaf in decoding.
 TEXT_LEAF, MATCH_LEAF, ID_LEAF = 4096, 64, 4096
 #: Entries of a cache at most, and the longest text that it keeps.
-CACHED, CACHED_CHARS = 110_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
 #: Rows that are encoded or decoded together.
 ROWS = 256
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -56,57 +56,34 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
-        self.reach: dict[bytes, int] = {}  # the longest token by its first three bytes
-        for piece in self.ranks:
-            if len(piece) > self.reach.get(piece[:3], 2):
-                self.reach[piece[:3]] = len(piece)
+        self.bytes_to = [self.ranks[bytes([x])] for x in range(256)]
+        self.pairs = {}  # two tokens' ranks to that of both together
+        for piece, rank in self.ranks.items():
+            for i in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
         self.matches = regex.compile(pattern).findall
-        self.words, self.older_words = {}, {}  # ids of matches, kept like
-        self.units, self.older_units = {}, {}  # packed ids of windows; the older half goes when the newer one is full
+        self.words, self.older_words = {}, {}  # packed ids of matches; the older half goes when the newer one is full
         self.apart: dict[int, bool] = {}
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
 
     # one match of the pattern
 
-    def merged_plainly(self, piece: bytes) -> list[int]:
-        """The code of a short stretch: the pair of the lowest rank is merged, the leftmost of ties first."""
-        ranks, far = self.ranks, len(self.bytes_of)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, far) for a, b in pairwise(parts)]
-        while pairs and (low := min(pairs)) < far:
-            i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+    def merged(self, piece: bytes, parts_left: int = 1) -> list[int]:
+        """The code of a short stretch: the pair of the lowest rank is merged, the leftmost of ties first, while more parts are left."""
+        get, far = self.pairs.get, len(self.bytes_of)
+        parts = [self.bytes_to[x] for x in piece]
+        ranks = [get(a << 32 | b, far) for a, b in pairwise(parts)]
+        while len(ranks) >= parts_left and (low := min(ranks)) < far:
+            i = ranks.index(low)
+            parts[i] = low
+            del parts[i + 1], ranks[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], far)
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], far)
-        return [ranks[p] for p in parts]
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The same by the longest token that keeps apart from the one before it, and back where none does.
-
-        A prefix has one code, so a place from which the rest can't be coded never becomes a seam.
-        """
-        get, reach = self.ranks.get, self.reach.get
-        if (whole := get(piece)) is not None:
-            return [whole]
-        out: list[int] = []
-        dead: set[int] = set()
-        at, n, most = 0, len(piece), len(piece) - 1
-        while at < n:
-            for stop in range(at + min(most, reach(piece[at : at + 3], 2)), at, -1):
-                t = get(piece[at:stop])
-                if t is not None and stop not in dead and (not out or self.keep_apart(out[-1], t)):
-                    out.append(t)
-                    at, most = stop, n - stop
-                    break
-            else:
-                dead.add(at)
-                most = len(self.bytes_of[out[-1]]) - 1
-                at -= most + 1
-                out.pop()
-        return out
+                ranks[i - 1] = get(parts[i - 1] << 32 | low, far)
+            if i < len(ranks):
+                ranks[i] = get(low << 32 | parts[i + 1], far)
+        return parts
 
     def merged_by_heap(self, piece: bytes) -> list[int]:
         """The same for a long stretch, in n log n steps."""
@@ -139,11 +116,7 @@ class Codec:
             if len(piece) == 1:
                 known = [token]
             else:
-                rank, self.ranks[piece] = token, len(self.bytes_of)  # the last merge is left out
-                try:
-                    parts = self.merged_plainly(piece)
-                finally:
-                    self.ranks[piece] = rank
+                parts = self.merged(piece, 2)
                 if len(parts) != 2 or max(parts) >= token:
                     raise ValueError("a token is not made of two of lower rank: these ranks are no byte-pair merges")
                 known = [*self.spine(parts[right], right), token]
@@ -192,54 +165,44 @@ class Codec:
             i, j = i * (1 + more), j * (1 + less)
 
     def match_code(self, piece: bytes) -> list[int]:
-        if len(piece) <= MATCH_LEAF or piece in self.ranks:
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        if len(piece) <= MATCH_LEAF:
             return self.merged(piece)
         half = len(piece) // 2
         return self.joined(self.match_code(piece[:half]), self.match_code(piece[half:]))
 
     # texts
 
-    def code(self, text: str) -> bytes:
-        out = b""
-        for m in self.matches(text):
-            known = self.words.get(m) or self.older_words.get(m)
-            if known is None:
-                ids = self.match_code(m.encode())
-                known = pack(f"<{len(ids)}I", *ids)
-                if len(m) <= CACHED_CHARS:
-                    if len(self.words) >= CACHED:
-                        self.words, self.older_words = {}, self.words
-                    self.words[m] = known
-            out += known
-        return out
-
-    def unit(self, rest: str) -> bytes:
-        """The packed ids of a space and rest."""
-        known = self.units.get(rest)
+    def word(self, match: str) -> bytes:
+        """The packed ids of one match."""
+        known = self.words.get(match) or self.older_words.get(match)
         if known is None:
-            known = self.older_units.get(rest)
-            if known is None:
-                known = self.code(" " + rest)
-            if len(rest) <= CACHED_CHARS:
-                if len(self.units) >= CACHED:
-                    self.units, self.older_units = {}, self.units
-                self.units[rest] = known
+            ids = self.match_code(match.encode())
+            known = pack(f"<{len(ids)}I", *ids)
+        if len(match) <= CACHED_CHARS:
+            if len(self.words) >= CACHED:
+                self.words, self.older_words = {}, self.words
+            self.words[match] = known
         return known
 
     def window(self, text: str) -> bytes:
         """The packed ids of a stretch whose matches are those of the whole text."""
-        return self.unit(text[1:]) if text[:1] == " " else self.code(text)
+        found = self.matches(text)
+        ids = list(map(self.words.get, found))
+        if None in ids:
+            ids = [self.word(m) if i is None else i for m, i in zip(found, ids, strict=True)]
+        return b"".join(ids)
 
     def leaf(self, text: str) -> tuple[str, bytes | None, str]:
         """(head, settled ids, tail); (text, None, "") if no place in it is settled."""
-        head, *rest = SETTLED.split(text)
-        if not rest:
+        first = SETTLED.search(text)
+        if not first:
             return text, None, ""
-        tail = rest.pop()
-        ids = list(map(self.units.get, rest))
-        if None in ids:
-            ids = [self.unit(r) if i is None else i for r, i in zip(rest, ids, strict=True)]
-        return head, b"".join(ids), " " + tail
+        head, tail = first.start(), text.rfind(" ")
+        while not SETTLED.match(text, tail):
+            tail = text.rfind(" ", 0, tail)
+        return text[:head], self.window(text[head:tail]), text[tail:]
 
     def combined(self, a: tuple[str, bytes | None, str], b: tuple[str, bytes | None, str]) -> tuple[str, bytes | None, str]:
         if a[1] is None and b[1] is None:

@@ -66,14 +66,14 @@ def test_matches_of_any_bytes(raw, leaf):
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 50_255), st.integers(0, 50_255))
 def test_pairs_keep_apart(a, b):
-    assert OWN.keep_apart(a, b) == (OWN.merged_plainly(OWN.bytes_of[a] + OWN.bytes_of[b]) == [a, b])
+    assert OWN.keep_apart(a, b) == (OWN.merged(OWN.bytes_of[a] + OWN.bytes_of[b]) == [a, b])
 
 
 def test_pairs_of_like_letters_keep_apart():
     tokens = [t for t, x in enumerate(OWN.bytes_of) if set(x) <= set(b"aeinrst-= ")]
     for a in tokens[::3]:
         for b in tokens[::7]:
-            assert OWN.keep_apart(a, b) == (OWN.merged_plainly(OWN.bytes_of[a] + OWN.bytes_of[b]) == [a, b])
+            assert OWN.keep_apart(a, b) == (OWN.merged(OWN.bytes_of[a] + OWN.bytes_of[b]) == [a, b])
 
 
 def test_query_rows(spark):
