@@ -107,3 +107,13 @@ def cosine(a: Column, b: Column) -> Column:
 def anomaly(vec: Column, world: Column) -> Column:
     """How far a vector points away from another, from zero to one."""
     return 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine(vec, world) + 1) / 2))
+
+
+def triage_embedding(text: str | None) -> list[float]:
+    """The other hashed embedding: SHA-1, two bytes for the place and the third's parity for the sign."""
+    v = np.zeros(WIDTH)
+    for token in re.findall(r"[0-9A-Za-z가-힣]+", (text or "").lower()):
+        h = hashlib.sha1(token.encode()).digest()
+        v[int.from_bytes(h[:2], "big") % WIDTH] += 1 if h[2] % 2 == 0 else -1
+    n = np.sqrt((v * v).sum())
+    return (v / n if n else v).tolist()

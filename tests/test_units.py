@@ -197,3 +197,15 @@ def test_claim_predicates(spark):
     assert v == [True, False, False, True, True]
     scored = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, 1.0), (4, 0.0)], "k int, score double")
     assert [r["k"] for r in na.targets(scored, "k", "score", 3).collect()][:2] == [2, 3]
+
+
+def test_hashed_embeddings():
+    import hashlib
+
+    from inkweave.operators import vectors as ve
+
+    v = ve.hashed_embedding("Word word other_x")
+    assert len(v) == ve.WIDTH and sum(x * x for x in v) == pytest.approx(1) and ve.hashed_embedding(None) == [0.0] * ve.WIDTH
+    h = hashlib.sha1(b"word").digest()
+    w = ve.triage_embedding("Word")
+    assert w[(h[0] * 256 + h[1]) % ve.WIDTH] == (1 if h[2] % 2 == 0 else -1)
