@@ -87,28 +87,35 @@ def _numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)), lambda x: F.ltrim(x, F.lit("0"))))
 
 
-def entailment(premise: Column, hypothesis: Column) -> dict[str, Column]:
-    """Columns entail, contradict and neutral of two texts, from shared terms, numbers, negations and opposites."""
-    p, h = F.array_distinct(terms(premise)), F.array_distinct(terms(hypothesis))
-    shared = F.size(F.array_intersect(p, h))
-    coverage, precision = shared / F.greatest(F.size(h), F.lit(1)), shared / F.greatest(F.size(p), F.lit(1))
-    np_, nh = _numbers(premise), _numbers(hypothesis)
+def entailment(df: DataFrame, premise: str, hypothesis: str) -> DataFrame:
+    """df with entail, contradict and neutral for two texts, from shared terms, numbers, negations and opposites.
+
+    Terms and numbers are columns of their own step, so each text is taken apart once.
+    """
+    kept = df.columns
     words = F.array(*map(F.lit, lx.NEGATIONS))
-    numbers = (F.size(np_) > 0) & (F.size(nh) > 0) & ~F.arrays_overlap(np_, nh)
-    negated = (F.arrays_overlap(p, words) != F.arrays_overlap(h, words)) & (coverage > 0.25)
+    step = df.select(*kept, F.array_distinct(terms(F.col(premise))).alias("_p"), F.array_distinct(terms(F.col(hypothesis))).alias("_h"), _numbers(F.col(premise)).alias("_np"), _numbers(F.col(hypothesis)).alias("_nh"))
+    p, h = F.col("_p"), F.col("_h")
     opposed = F.lit(False)
     for a, b in lx.OPPOSITES:
         opposed = opposed | (F.array_contains(p, a) & F.array_contains(h, b)) | (F.array_contains(p, b) & F.array_contains(h, a))
-    signals = numbers.cast("int") + negated.cast("int") + opposed.cast("int")
+    numbers = (F.size("_np") > 0) & (F.size("_nh") > 0) & ~F.arrays_overlap("_np", "_nh")
+    step = step.select(
+        *kept, F.size(p).alias("_np_"), F.size(h).alias("_nh_"), F.size(F.array_intersect(p, h)).alias("_shared"),
+        (F.arrays_overlap(p, words) != F.arrays_overlap(h, words)).alias("_negated"), (numbers.cast("int") + opposed.cast("int")).alias("_signals"),
+    )
+    step = step.select(*kept, "_np_", "_nh_", "_negated", "_signals", (F.col("_shared") / F.greatest("_nh_", F.lit(1))).alias("_coverage"), (F.col("_shared") / F.greatest("_np_", F.lit(1))).alias("_precision"))
+    coverage, precision = F.col("_coverage"), F.col("_precision")
+    signals = F.col("_signals") + (F.col("_negated") & (coverage > 0.25)).cast("int")
     sure = (coverage >= 0.95) & (precision >= 0.55) & (signals == 0)
     entail = clamp(0.08 + 0.72 * coverage + 0.20 * precision)
     against = F.when(signals > 0, clamp(0.35 + 0.22 * signals + 0.20 * (1 - coverage))).otherwise(clamp(0.04 + 0.16 * (1 - coverage)))
     entail = F.when((signals > 0) & (entail > 0.2), entail * 0.7).otherwise(entail)
     rest = clamp(1 - F.greatest(entail, against))
     total = entail + against + rest
-    empty = (F.size(p) == 0) | (F.size(h) == 0)
+    empty = (F.col("_np_") == 0) | (F.col("_nh_") == 0)
     pick = lambda x, if_sure, if_empty: F.when(empty, if_empty).when(sure, if_sure).otherwise(clamp(x / total))
-    return {"entail": pick(entail, 0.96, 0.0), "contradict": pick(against, 0.02, 0.0), "neutral": pick(rest, 0.02, 1.0)}
+    return step.select(*kept, pick(entail, 0.96, 0.0).alias("entail"), pick(against, 0.02, 0.0).alias("contradict"), pick(rest, 0.02, 1.0).alias("neutral"))
 
 
 def pair_score(query: Column, snippet: Column) -> Column:

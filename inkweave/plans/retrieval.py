@@ -162,5 +162,4 @@ NUM = "list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x:
 def nli_heuristic(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     both = docs.join(_items(spark, d).withColumnRenamed("text", "hypothesis"), "item_id")
-    out = se.entailment(F.col("text"), F.col("hypothesis"))
-    return both.select("doc_id", F.round(out["entail"], 6).alias("entail"), F.round(out["contradict"], 6).alias("contradict"))
+    return se.entailment(both, "text", "hypothesis").select("doc_id", F.round("entail", 6).alias("entail"), F.round("contradict", 6).alias("contradict"))

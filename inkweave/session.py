@@ -22,8 +22,19 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "inkweave")
     )
 
 
+#: Tables whose rows are worth a core each: long texts.
+TEXT_TABLES = ("documents", "pages")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of texts that lies in fewer splits than there are cores is dealt out to all of them.
+
+    Filters and columns are still pushed down to the scan. A table of more splits isn't moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        return df.repartition(cores)
+    return df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
