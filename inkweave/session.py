@@ -27,12 +27,12 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; one of texts that lies in fewer splits than there are cores is dealt out to all of them.
+    """A table of the folder; one of texts that lies in fewer files than there are cores is dealt out to all of them.
 
-    Filters and columns are still pushed down to the scan. A table of more splits isn't moved.
+    Filters and columns are still pushed down to the scan. A table of more files isn't moved.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+    if name in TEXT_TABLES and len(df.inputFiles()) < (cores := spark.sparkContext.defaultParallelism):
         return df.repartition(cores)
     return df
 
