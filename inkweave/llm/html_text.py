@@ -46,20 +46,29 @@ OTHER_PARTS = frozenset(
 TAKEN_BACK = frozenset("has with without no not is".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、…]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLANK = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "block", "depth")
+    """key is a number that elements with the same path share; inside says whether an article or main is above."""
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, block: int):
-        self.tag, self.parent, self.dropped, self.block = tag, parent, dropped, block
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    __slots__ = ("tag", "parent", "key", "dropped", "depth", "inside")
+
+    def __init__(self, tag: str, parent: Element | None, key: int, dropped: bool):
+        self.tag, self.parent, self.key, self.dropped = tag, parent, key, dropped
         self.depth = parent.depth + 1 if parent else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+
+    @property
+    def path(self) -> str:
+        tags, up = [], self
+        while up is not None:
+            tags.append(up.tag)
+            up = up.parent
+        return "/".join(reversed(tags))
 
 
 def _is_other_part(tag: str, attributes: str, inside: bool) -> bool:
@@ -81,8 +90,18 @@ def _is_other_part(tag: str, attributes: str, inside: bool) -> bool:
 
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
     """(element, number of its block, decoded text) of each text node that no markup sets aside."""
-    root = Element("", None, False, 0)
-    at, here, blocks, out, inside = 0, root, 0, [], 0
+    root = Element("", None, 0, False)
+    paths: dict[tuple[int, str], int] = {}
+    at, here, blocks, out = 0, root, 0, []
+    is_open: dict[str, int] = {}  # how many elements of a tag are above or here
+
+    def leave(last: Element) -> Element:
+        """Close all elements up to last; what was around it."""
+        up = here
+        while up is not last.parent:
+            is_open[up.tag] -= 1
+            up = up.parent
+        return up
 
     def add(raw: str) -> None:
         if raw and not here.dropped and (text := html.unescape(raw)):
@@ -95,34 +114,33 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and up.tag == tag:
+            if is_open.get(tag):
+                up = here
+                while up.tag != tag:
+                    up = up.parent
                 if tag in BLOCKS:
                     blocks += 1
-                here = up.parent
+                here = leave(up)
             elif tag == "p":
                 blocks += 1
             continue
         if tag in BLOCKS:
             blocks += 1
             closes, stops = ENDS.get(tag, ENDS["p"])
-            up = here
+            up = here if any(map(is_open.get, closes)) else root
             while up is not root and up.tag not in closes and up.tag not in stops and (tag in ENDS or up.tag not in BLOCKS):
                 up = up.parent
             if up is not root and up.tag in closes:
-                here = up.parent
+                here = leave(up)
         if tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        up, inside = here, False
-        while up is not root and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
         raw = tag in RAW
         if not (raw or m[3].rstrip().endswith("/") and tag not in BLOCKS):
-            here = Element(tag, here, here.dropped or _is_other_part(tag, m[3], inside), blocks)
+            key = paths.setdefault((here.key, tag), len(paths) + 1)
+            is_open[tag] = is_open.get(tag, 0) + 1
+            here = Element(tag, here, key, here.dropped or _is_other_part(tag, m[3], here.inside or here.tag in ("article", "main")))
         if raw:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -130,11 +148,11 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
     return out
 
 
-def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
-    """The paths whose smoothed and fused ratios pass the threshold."""
-    seen: dict[str, list[float]] = {}
+def content_keys(nodes: list[tuple[Element, int, str]]) -> set[int]:
+    """The keys of the paths whose smoothed and fused ratios pass the threshold."""
+    seen: dict[int, list[float]] = {}
     for element, _, text in nodes:
-        sums = seen.setdefault(element.path, [0.0, 0.0, 0.0])
+        sums = seen.setdefault(element.key, [0.0, 0.0, 0.0])
         sums[0] += len(text) - text.count(" ") if len(text) > 1 else 0
         sums[1] += len(PUNCTUATION.findall(text))
         sums[2] += 1
@@ -149,17 +167,29 @@ def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
     return {p for p, f in zip(seen, fused, strict=True) if f > 0 and f >= THRESHOLD * fused.std()}
 
 
+def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
+    """The paths themselves."""
+    keys = content_keys(nodes)
+    return {element.path for element, _, _ in nodes if element.key in keys}
+
+
 def main_text(page: str | None) -> str:
     """The blocks of a page's article, joined by newlines; empty if it has none."""
     nodes = text_nodes(page or "")
-    paths = content_paths(nodes)
+    keys = content_keys(nodes)
     weights: dict[Element, float] = {}
+    above: set[Element] = set()
     for element, _, text in nodes:
-        if element.path in paths:
-            n, up = len(text.strip()), element
-            while up is not None:
-                weights[up] = weights.get(up, 0.0) + n
-                up = up.parent
+        up = element
+        while up is not None and up not in above:
+            above.add(up)
+            up = up.parent
+        if element.key in keys:
+            weights[element] = weights.get(element, 0.0) + len(text.strip())
+    down = sorted(above, key=lambda e: e.depth)
+    for e in reversed(down):  # each element's weight with what it holds
+        if e in weights and e.parent is not None:
+            weights[e.parent] = weights.get(e.parent, 0.0) + weights[e]
     if not weights or not (total := max(weights.values())):
         return ""
     named = [e for e in weights if e.tag in ("article", "main") and weights[e] >= (1 - HELD) * total / 2]
@@ -171,15 +201,12 @@ def main_text(page: str | None) -> str:
         holders = [e for e in weights if weights[e] >= HELD * total and e.tag not in ("p", "b", "i", "em", "strong", "span", "a", "font", "u")]
         tops = {max(holders, key=lambda e: e.depth)} if holders else {e for e in weights if e.parent is None}
     out: list[list] = []
-    inside: dict[Element, bool] = {}
+    inside: set[Element] = set()
+    for e in down:
+        if e in tops or e.parent in inside:
+            inside.add(e)
     for element, block, text in nodes:
-        known = inside.get(element)
-        if known is None:
-            up, known = element, False
-            while up is not None and not known:
-                known, up = up in tops, up.parent
-            inside[element] = known
-        if known:
+        if element in inside:
             if out and out[-1][0] == block:
                 out[-1][1].append(text)
             else:
