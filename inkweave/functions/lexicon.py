@@ -21,3 +21,12 @@ DEFAULT_TAGS = {
     "설정/인물/주인공/나이": ("int", "age"), "설정/인물/주인공/사망여부": ("bool", "death"), "설정/인물/주인공/소속": ("str", "affiliation"), "설정/인물/주인공/직업": ("str", "job"),
     "설정/인물/주인공/재능": ("str", "talent"), "설정/인물/주인공/관계": ("rel", "relation"), "설정/시간": ("time", "time"), "설정/장소": ("loc", "place"), "설정/세계/분위기": ("str", None),
 }
+#: slot -> words of a tag's path that name it
+SLOT_KEYWORDS = {
+    "age": ("나이", "연령", "age"), "time": ("시간", "시점", "날짜", "일시", "time", "date"), "place": ("장소", "위치", "place", "location"), "relation": ("관계", "relation"),
+    "affiliation": ("소속", "affiliation"), "death": ("사망", "생존", "death", "alive"), "job": ("직업", "클래스", "job", "class"), "talent": ("재능", "특기", "talent"),
+}
+SCHEMA_SLOTS = {"int": "age", "time": "time", "loc": "place", "rel": "relation", "bool": "death"}
+DESCRIPTIVE_SUFFIXES = ("하는", "하던", "되는", "된", "던", "린", "같은", "스러운")
+FRONT_MATTER = ("all rights", "produced in korea", "머리말", "프롤로그", "prologue", "차례")
+UNSUPPORTED_HEADERS = (r"(?i)^\s*(?:chapter|ch(?:apter)?\.?)\s*\d{1,5}\b", r"^\s*제\s*\d{1,5}\s*장(?:\s|$)", r"^\s*(?:서장|종장|외전|프롤로그|에필로그)(?:\s|$)")
