@@ -285,6 +285,26 @@ def read_media(stored: DataFrame) -> DataFrame:
     return stored.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload binary, tail_crc32 long, feature string")
 
 
+def access_points(stored: DataFrame) -> DataFrame:
+    """(id, program, pid, unit, pts) for each random-access point of stored(id, media).
+
+    unit is the number of the elementary packet that begins there, pts its time in ticks of 90
+    kHz, null if it has none. Null and unreadable media have no rows, as has an empty table;
+    repeated rows have theirs repeated.
+    """
+    kind = stored.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, media in enumerate(b.column("media")):
+                points = [(s.program, s.pid, k, s.pts[k]) for s in parse(media.as_py() or b"") for k, a in enumerate(s.access) if a]
+                ids = b.column("id").slice(at, 1).take(pa.array(np.zeros(len(points), np.int64)))
+                columns = [pa.array([x[c] for x in points], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["id", "program", "pid", "unit", "pts"])
+
+    return stored.select("id", "media").mapInArrow(run, f"id {kind}, program int, pid int, unit long, pts long")
+
+
 def op2_media_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_media(store_texts(read_table(spark, sf_dir, "documents")))
     return back.select(

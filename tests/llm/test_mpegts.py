@@ -78,3 +78,14 @@ def test_rows(spark, tmp_path):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(ts.store(payload)).hexdigest() and r["media_bytes"] == len(ts.store(payload))
     assert ts.read_media(ts.store_texts(df.limit(0))).count() == 0
+
+
+def test_access_points(spark):
+    texts = ["a" * 576 * 20, "", None, "\u00e9" * 3000]
+    docs = spark.createDataFrame([(i if i != 1 else None, t, "x", 1) for i, t in enumerate(texts)], "doc_id int, text string, media string, id int")
+    stored = ts.store_texts(docs)
+    got = sorted(((r["id"] if r["id"] is not None else -1), r["program"], r["pid"], r["unit"], r["pts"]) for r in ts.access_points(stored).collect())
+    units = {0: 20, -1: 1, 2: 1, 3: 11}
+    assert got == sorted((i, ts.PROGRAM, ts.DATA_PID, k, k * ts.TICKS) for i, n in units.items() for k in range(0, n, ts.ACCESS_EVERY))
+    odd = spark.createDataFrame([(1, None), (2, b"no stream")], "id long, media binary")
+    assert ts.access_points(odd).count() == ts.access_points(odd.limit(0)).count() == 0
