@@ -9,7 +9,7 @@ never its pairs, and the stars are joined to components across all buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -165,14 +165,16 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[..., DataFrame] = simhash_components) -> DataFrame:
     """docs without all but one row of each group of near-duplicates: that of the least id.
 
+    components(docs, id_col, text_col) gives (id, component_id) and so says what a group is.
+
     Of repeated rows with that id one stays, the least by the hash of all its columns. Rows
     without an id can't be named by a decision: they are held only against each other, by exact
     text (null is a text too), and one of each stays. Columns and their names stay as they are.
     """
-    found = simhash_components(docs, id_col, text_col)
+    found = components(docs, id_col, text_col)
     firsts = found.where("id = component_id").select(F.col("id").alias("first"))
     kept = as_row(docs, id=docs[id_col].cast("long")).join(firsts, F.col("id") == F.col("first"), "left_semi")
     kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
