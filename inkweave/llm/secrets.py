@@ -22,7 +22,10 @@ ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ASSIGN_HEAD = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
+#: Candidates as the SQL twin has them, with "=" anywhere in a run.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A candidate: 20 characters or more of one alphabet, up to where it changes, and padding at a run's end alone.
+RUN = r"(?=[A-Za-z0-9+/]{20}|[A-Za-z0-9_-]{20})[A-Za-z0-9]*+(?:[+/][A-Za-z0-9+/]*+|[_-][A-Za-z0-9_-]*+)?(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 BASE = ("assign", "access", "hex")
 #: Most standard deviations from randomness in any test of the battery.
 MOST_Z = 3.0
@@ -113,7 +116,8 @@ def text_log_p(b: Column, hex_like: Column) -> Column:
 
 
 def stratum(n: Column) -> Column:
-    out = F.lit(0)
+    """The number of a length's stratum; null for null."""
+    out = F.when(n.isNotNull(), F.lit(0))
     for k, low in enumerate(STRATA):
         out = F.when(n >= low, k).otherwise(out)
     return out
@@ -135,7 +139,7 @@ def scanned(rows: DataFrame) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
     t = F.col("text")
     kinds = base_spans(t)
-    rows = rows.select(*others, "text", *[c.alias(k) for k, c in kinds.items()], found(t, CANDIDATE, t.rlike(CANDIDATE)).alias("runs"))
+    rows = rows.select(*others, "text", *[c.alias(k) for k, c in kinds.items()], found(t, RUN, t.rlike(RUN)).alias("runs"))
     rows = rows.select(*others, "text", *BASE, apart_from(F.col("runs"), F.concat(*BASE)).alias("runs"))
     return rows.select(*others, "text", *BASE, F.filter(F.transform("runs", _judged), lambda x: x["stratum"].isNotNull()).alias("candidates"))
 

@@ -120,3 +120,34 @@ def test_same_as_sql(spark, sf, tmp_path):
     more = ["see " + "".join(r.choice("abcdefABCDEF0123456789+/XYZ") for _ in range(n)) + " x" for n in range(20, 90)]
     run(spark, ["a", "b", "c", "d", *[x for x in CASES if x is None or len(x) < 5000], *more], tmp_path)
     assert assert_same(sec.op10_secret_randomness(spark, str(tmp_path)), str(tmp_path), sec.SQL) > 50
+
+
+def test_names_paths_and_short_runs_amid_numbers(spark, tmp_path):
+    r = random.Random(13)
+    key = lambda n, a=B64: "".join(r.choice(a) for _ in range(n))
+    long = [key(n) for n in (40, 44, 52, 64) * 5]
+    glued = [("AWS_SECRET_ACCESS_KEY=", ""), ("https://x.example/y?sig=", "&z=1")]
+    texts, want = ["a", "a", None], [[], [], []]
+    for i, k in enumerate(long):
+        before, after = glued[i % 2]
+        texts.append(f"see {before}{k}{after} here")
+        want.append([(4 + len(before), 4 + len(before) + len(k))])
+    for k in long:
+        texts.append(f"{k}/{key(len(k))}-{key(len(k))} here")
+        want.append([(0, 2 * len(k) + 1), (2 * len(k) + 1, 3 * len(k) + 2)])
+    texts += [f"{k}== and" for k in long]
+    want += [[(0, len(k) + 2)] for k in long]
+    short = [key(n, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for n in (24, 25, 26, 27) * 10]
+    n_long = len(texts)
+    texts += [f"see {k} here" for k in short] + ["see " + key(22, "0123456789") + " here" for _ in range(3000)]
+    got = run_on(spark, texts, tmp_path)
+    spans = [check(got[None if i == 2 else i], t) for i, t in enumerate(texts)]
+    right = [sum(a in s for a in w) for s, w in zip(spans[:n_long], want, strict=True)]
+    assert sum(right) >= 0.85 * sum(map(len, want))
+    assert sum(s == [(4, 4 + len(k))] for s, k in zip(spans[n_long:], short, strict=False)) >= 0.5 * len(short)
+    assert not any(spans[n_long + len(short) :])
+
+
+def test_numbers_are_in_no_stratum(spark):
+    df = spark.createDataFrame([(1, "see 1234567890123456789012 and a-b/c+d_e-f/g+h_i-j/k+l_m here")], "doc_id long, text string")
+    assert sec.scanned(df).first()["candidates"] == []
