@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a path of tags from the root. Over a page, text length and punctuation are
-summed by path and divided by the path's nodes; the two ratios are smoothed over neighbouring
-paths in page order, multiplied, and a threshold of their spread picks the content paths. The
-deepest element that holds most of the content paths' text is the article; its blocks, without
-those that markup names as something else, are the main text.
+Every text node has a path of tags (with their classes) from the root. Text length and punctuation
+are summed by path and divided by the path's nodes; both ratios are smoothed over neighbouring
+paths in page order, fused, and the paths whose fused ratio reaches a share of the page's own
+(its mean, weighted by text) are content. Blocks with a node of a content path are the main text,
+with the headings, short paragraphs, lists and tables that stand among them and aren't links.
+Where markup names an article, ratios are those inside it; names in classes and ids take away
+only what holds less than half of the content.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import whole_text
 from inkweave.session import read_table
 
-#: Standard deviations of the fused ratios above zero from which a path is content, smoothing weights, and the least share of
-#: the content paths' text that the article holds.
-THRESHOLD, SMOOTHING, HELD = 0.5, (0.25, 0.5, 0.25), 0.6
+#: A path is content from this share of the page's mean fused ratio on; smoothing weights of a path and its two neighbours; the
+#: share of links from which a block is a menu.
+THRESHOLD, SMOOTHING, LINKED = 0.25, (0.15, 0.7, 0.15), 0.5
 #: Elements by kind.
 RAW = "script style textarea title xmp iframe noembed noframes".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +34,10 @@ BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre "
     "search section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Blocks that belong to the text around them though their own paths are short.
+AMONG = HEADINGS | INLINE | frozenset("p pre blockquote ul ol dl li dt dd table caption figure figcaption address details summary hr center".split())
 #: A start tag ends an open element of these, if no element of the others stands between.
 ENDS = {
     "p": ({"p"}, {"table", "td", "th", "caption", "button", "object"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -46,59 +52,68 @@ OTHER_PARTS = frozenset(
 TAKEN_BACK = frozenset("has with without no not is".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、…]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>")
+#: The same where a quote is never closed.
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLANK = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    """key is a number that elements with the same path share; inside says whether an article or main is above."""
+    """key is a number that elements with the same path share; other says whether a name in it or above sets it aside,
+    linked and titled whether a link or heading is it or above, tops holds the outermost article and main."""
 
-    __slots__ = ("tag", "parent", "key", "dropped", "depth", "inside")
+    __slots__ = ("tag", "label", "parent", "key", "dropped", "other", "tops", "linked", "titled")
 
-    def __init__(self, tag: str, parent: Element | None, key: int, dropped: bool):
-        self.tag, self.parent, self.key, self.dropped = tag, parent, key, dropped
-        self.depth = parent.depth + 1 if parent else 0
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+    def __init__(self, tag: str, label: str, parent: Element | None, key: int, dropped: bool, other: bool):
+        self.tag, self.label, self.parent, self.key, self.dropped, self.other = tag, label, parent, key, dropped, other
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.titled = tag in HEADINGS or (parent is not None and parent.titled)
+        self.tops = parent.tops if parent else {}
+        if tag in ("article", "main") and tag not in self.tops:
+            self.tops = self.tops | {tag: self}
 
     @property
     def path(self) -> str:
-        tags, up = [], self
+        labels, up = [], self
         while up is not None:
-            tags.append(up.tag)
+            labels.append(up.label)
             up = up.parent
-        return "/".join(reversed(tags))
+        return "/".join(reversed(labels))
 
 
-def _is_other_part(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+def _read(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """(label in the path, whether the element is no text of an article by its kind, whether a name says so)."""
+    dropped, other, label = tag in DROPPED or (tag == "header" and not inside), False, tag
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            for label in value.split():
-                words = [w.lower() for w in WORD.findall(label)]
-                if words and words[0] not in TAKEN_BACK and not OTHER_PARTS.isdisjoint(words if tag != "article" else words[:1]) and (tag != "header" or not inside):
-                    return True
-    return False
+            dropped = True
+        if name == "class" and value.split():
+            label = f"{tag}.{'.'.join(sorted(value.split()))}"
+        if name in ("class", "id", "role") and tag not in ("html", "body", "main") and (tag != "header" or not inside):
+            for word in value.split():
+                words = [w.lower() for w in WORD.findall(word)]
+                other = other or bool(words and words[0] not in TAKEN_BACK and not OTHER_PARTS.isdisjoint(words if tag != "article" else words[:1]))
+    return label, dropped, other
 
 
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
-    """(element, number of its block, decoded text) of each text node that no markup sets aside."""
-    root = Element("", None, 0, False)
+    """(element, number of its block, decoded text) of each text node that isn't of an element set aside by its kind.
+
+    Linear in the page, whatever is left open in it: a tag without an end is text.
+    """
+    root = Element("", "", None, 0, False, False)
     paths: dict[tuple[int, str], int] = {}
-    at, here, blocks, out = 0, root, 0, []
+    at, begin, here, blocks, out = 0, 0, root, 0, []
     is_open: dict[str, int] = {}  # how many elements of a tag are above or here
+    last, pattern = page.rfind(">"), TAG
 
-    def leave(last: Element) -> Element:
-        """Close all elements up to last; what was around it."""
+    def leave(closed: Element) -> Element:
+        """Close all elements up to this one; what was around it."""
         up = here
-        while up is not last.parent:
+        while up is not closed.parent:
             is_open[up.tag] -= 1
             up = up.parent
         return up
@@ -107,9 +122,23 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
         if raw and not here.dropped and (text := html.unescape(raw)):
             out.append((here, blocks, text))
 
-    while m := TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            add(page[begin:at])
+            end = page.find("-->", at + 2)
+            at = begin = end + 3 if end >= 0 else len(page)
+            continue
+        if at > last:
+            break
+        m = pattern.match(page, at)
+        if m is None and pattern is TAG and page[at + 1 : at + 2].isalpha():
+            pattern = LOOSE_TAG  # a quote stays open to the end: it does for every later tag, too
+            m = pattern.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        add(page[begin:at])
+        at = begin = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
@@ -138,33 +167,35 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             continue
         raw = tag in RAW
         if not (raw or m[3].rstrip().endswith("/") and tag not in BLOCKS):
-            key = paths.setdefault((here.key, tag), len(paths) + 1)
+            label, dropped, other = _read(tag, m[3], bool(here.tops))
+            key = paths.setdefault((here.key, label), len(paths) + 1)
             is_open[tag] = is_open.get(tag, 0) + 1
-            here = Element(tag, here, key, here.dropped or _is_other_part(tag, m[3], here.inside or here.tag in ("article", "main")))
+            here = Element(tag, label, here, key, here.dropped or dropped, here.other or other)
         if raw:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-    add(page[at:])
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last + 1)
+            at = begin = end.end() if end else len(page)
+    add(page[begin:])
     return out
 
 
 def content_keys(nodes: list[tuple[Element, int, str]]) -> set[int]:
-    """The keys of the paths whose smoothed and fused ratios pass the threshold."""
+    """The keys of the paths whose smoothed and fused ratios reach the threshold."""
     seen: dict[int, list[float]] = {}
     for element, _, text in nodes:
-        sums = seen.setdefault(element.key, [0.0, 0.0, 0.0])
-        sums[0] += len(text) - text.count(" ") if len(text) > 1 else 0
-        sums[1] += len(PUNCTUATION.findall(text))
-        sums[2] += 1
+        if bare := len(text.strip()):
+            sums = seen.setdefault(element.key, [0.0, 0.0, 0.0])
+            sums[0] += bare
+            sums[1] += len(PUNCTUATION.findall(text))
+            sums[2] += 1
     if not seen:
         return set()
     sums = np.array(list(seen.values()))
-    ratios = sums[:, :2] / sums[:, 2:]
-    w = np.array(SMOOTHING)
-    padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
-    smooth = w[0] * padded[:-2] + w[1] * padded[1:-1] + w[2] * padded[2:]
-    fused = smooth[:, 0] * (0.5 + smooth[:, 1])
-    return {p for p, f in zip(seen, fused, strict=True) if f > 0 and f >= THRESHOLD * fused.std()}
+    logs = np.log(np.stack([sums[:, 0] / sums[:, 2], 1 + sums[:, 1] / sums[:, 2]], axis=1))
+    padded = np.pad(logs, ((1, 1), (0, 0)), mode="edge")
+    smooth = sum(w * padded[k : k + len(logs)] for k, w in enumerate(SMOOTHING))
+    fused = np.exp(smooth.sum(axis=1))
+    least = THRESHOLD * (fused * sums[:, 0]).sum() / sums[:, 0].sum()
+    return {p for p, f in zip(seen, fused, strict=True) if f >= least}
 
 
 def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
@@ -173,44 +204,80 @@ def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
     return {element.path for element, _, _ in nodes if element.key in keys}
 
 
+def _articles(nodes: list[tuple[Element, int, str]]) -> list[tuple[Element, int, str]]:
+    """The nodes of the outermost articles, else of main elements, that hold content paths; all nodes if there are none."""
+    for tag in ("article", "main"):
+        own: dict[Element, list] = {}
+        for n in nodes:
+            if top := n[0].tops.get(tag):
+                own.setdefault(top, []).append(n)
+        if own:
+            plain = {top: part for top, part in own.items() if not top.other} or own
+            keys = content_keys([n for part in plain.values() for n in part])
+            return [n for part in plain.values() if any(e.key in keys for e, _, _ in part) for n in part]
+    return nodes
+
+
+def main_nodes(page: str) -> list[tuple[Element, int, str]]:
+    """The text nodes of a page's main text."""
+    every = text_nodes(page)
+    nodes = _articles(every)
+    marked = nodes is not every
+    keys = content_keys(nodes)
+    size = lambda ns: sum(len(t.strip()) for e, _, t in ns if e.key in keys)
+    plain = [n for n in nodes if not n[0].other]
+    if 2 * size(plain) > size(nodes):
+        nodes, keys = plain, content_keys(plain)
+    if not keys:
+        return []
+    chosen = {block for element, block, text in nodes if element.key in keys and text.strip()}
+    if not chosen:
+        return []
+    first, last = min(chosen), max(chosen)
+    holding: set[Element] = set()
+    for element, block, _ in nodes:
+        if block in chosen:
+            up = element
+            while up is not None and up not in holding:
+                holding.add(up)
+                up = up.parent
+    # what holds no chosen block goes by its branch, the largest element around it that doesn't either
+    branch: dict[Element, Element] = {}
+    texts: dict[Element, list[int]] = {}
+    for element, block, text in nodes:
+        if block not in chosen:
+            up, chain = element, []
+            while up not in holding and up not in branch and up.parent is not None and up.parent not in holding:
+                chain.append(up)
+                up = up.parent
+            top = branch.get(up, up)
+            for e in (*chain, up):
+                branch[e] = top
+            sums = texts.setdefault(top, [0, 0, 0])
+            n = len(text.strip())
+            for k, yes in enumerate((True, element.linked, element.titled)):
+                sums[k] += n * yes
+
+    def belongs(element: Element, block: int) -> bool:
+        top = branch[element]
+        n, linked, titled = texts[top]
+        if n and titled == n:
+            return True
+        among = top in holding or top.tag in AMONG
+        beside = top.tag in ("p", "pre", "blockquote") and top.parent is not None and top.parent.tag not in ("", "html", "body")
+        return among and linked < LINKED * max(n, 1) and (marked or beside or first < block < last)
+
+    return [n for n in nodes if n[1] in chosen or belongs(n[0], n[1])]
+
+
 def main_text(page: str | None) -> str:
     """The blocks of a page's article, joined by newlines; empty if it has none."""
-    nodes = text_nodes(page or "")
-    keys = content_keys(nodes)
-    weights: dict[Element, float] = {}
-    above: set[Element] = set()
-    for element, _, text in nodes:
-        up = element
-        while up is not None and up not in above:
-            above.add(up)
-            up = up.parent
-        if element.key in keys:
-            weights[element] = weights.get(element, 0.0) + len(text.strip())
-    down = sorted(above, key=lambda e: e.depth)
-    for e in reversed(down):  # each element's weight with what it holds
-        if e in weights and e.parent is not None:
-            weights[e.parent] = weights.get(e.parent, 0.0) + weights[e]
-    if not weights or not (total := max(weights.values())):
-        return ""
-    named = [e for e in weights if e.tag in ("article", "main") and weights[e] >= (1 - HELD) * total / 2]
-    if named:
-        tops = {max(named, key=lambda e: (e.tag == "article", weights[e], -e.depth))}
-        if len(same := [e for e in named if e.tag == "article" and weights[e] >= HELD * total / 2]) > 1:
-            tops = set(same)
-    else:
-        holders = [e for e in weights if weights[e] >= HELD * total and e.tag not in ("p", "b", "i", "em", "strong", "span", "a", "font", "u")]
-        tops = {max(holders, key=lambda e: e.depth)} if holders else {e for e in weights if e.parent is None}
     out: list[list] = []
-    inside: set[Element] = set()
-    for e in down:
-        if e in tops or e.parent in inside:
-            inside.add(e)
-    for element, block, text in nodes:
-        if element in inside:
-            if out and out[-1][0] == block:
-                out[-1][1].append(text)
-            else:
-                out.append([block, [text]])
+    for _, block, text in main_nodes(page or ""):
+        if out and out[-1][0] == block:
+            out[-1][1].append(text)
+        else:
+            out.append([block, [text]])
     lines = (BLANK.sub(" ", "".join(parts)).strip() for _, parts in out)
     return "\n".join(x for x in lines if x)
 

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -33,6 +35,50 @@ def test_odd_pages():
     assert ht.main_text("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
 
 
+def test_broken_markup_takes_linear_time():
+    for page in ("<a " * 400_000, '<a "x" ' * 150_000 + '">', "<!" * 300_000, "<script>" + "</script " * 200_000, "a<" * 300_000 + ">", "<a '" * 200_000, "<div>x, y" * 20_000, "<b>x" * 20_000):
+        began = time.process_time()
+        ht.main_text(page)
+        assert time.process_time() - began < 4
+
+
+def plain_page(r):
+    """A page without article or main, its menu, advert and comments untagged and unnamed; and its article's text."""
+    words = lambda n: " ".join(r.choice("the of and thing water people measure through between country".split()) for _ in range(n))
+    para = lambda: f"{words(r.randint(20, 60)).capitalize()}, {words(r.randint(5, 25))}. {words(12).capitalize()}."
+    menu = "".join(f"<span><a href=/{k}>{words(2)}</a></span>" for k in range(r.randint(4, 9)))
+    if r.random() < 0.5:
+        menu = "<ul>" + "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(r.randint(4, 9))) + "</ul>"
+    comments = "".join(f"<div><b>{words(1)}</b><span>{words(r.randint(3, 9))}.</span></div>" for _ in range(r.randint(2, 5)))
+    blocks = [("h1", words(6))]
+    for _ in range(r.randint(3, 9)):
+        blocks += [("h2", words(4))] * (r.random() < 0.2) + [("p", words(3) + ".")] * (r.random() < 0.2) + [("p", para())] + [("li", words(4))] * (3 * (r.random() < 0.2))
+    blocks.append(("p", para()))
+    inner = re.sub("((?:<li>[^<]*</li>)+)", r"<ul>\1</ul>", "".join(f"<{t}>{b}</{t}>" for t, b in blocks))
+    page = f"<html><body><div>{menu}</div><div>{words(6).capitalize()}.</div><div><div>{inner}</div></div><div>{comments}</div><div><span>Imprint</span> <a href=/x>{words(2)}</a></div></body></html>"
+    return page, "\n".join(b for _, b in blocks)
+
+
+def test_ratios_select_the_nodes(monkeypatch):
+    r = random.Random(1)
+    pages = [plain_page(r) for _ in range(200)]
+    right = sum(ht.main_text(p) == want for p, want in pages)
+    assert right >= 190
+    monkeypatch.setattr(ht, "content_keys", lambda nodes: {e.key for e, _, _ in nodes})
+    assert sum(ht.main_text(p) == want for p, want in pages) <= 20
+
+
+def test_articles_without_article():
+    long = " ".join([P1] * 8)
+    for page, want in [
+        (f"<body><div id=post><h1>A title</h1><p>{P1}</p><div class=body><p>{long}</p></div><p>{P2}</p></div></body>", f"A title\n{P1}\n{long}\n{P2}"),
+        (f"<div><p>{P1}</p><ul>{f'<li>{P2}</li>' * 9}</ul><p>{P2}</p></div>", "\n".join([P1, *[P2] * 9, P2])),
+        ("".join(f"<article><p>{P1}</p><p>{P2}</p></article>" for _ in range(4)), "\n".join([P1, P2] * 4)),
+        (f"<div><h2>Head</h2><p>{P1}</p><table><tr><td>a</td><td>b</td></tr></table><p>{P2}</p></div>", f"Head\n{P1}\na\nb\n{P2}"),
+    ]:
+        assert ht.main_text(page) == want
+
+
 def test_ratios_pick_text_over_links():
     nodes = ht.text_nodes(f"<body><ul>{'<li><a>one</a></li>' * 9}</ul><div><p>{P1}</p><p>{P2}</p></div></body>")
     assert ht.content_paths(nodes) == {"/body/div/p"}
