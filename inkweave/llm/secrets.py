@@ -1,9 +1,10 @@
 """Secrets: patterns for assignments, access keys and digests, and a randomness battery for other runs.
 
-A candidate run's encoding is inferred from its characters. The battery asks whether it could be
-drawn evenly from that alphabet: chi-squared uniformity, runs above and below the alphabet's
-middle, and serial correlation. A candidate that passes gets a p-value for how improbable so few
-repeated characters are in written text of its length. The false discoveries among these are
+A candidate run's encoding is inferred from its characters. Three tests look at it: chi-squared
+uniformity over the alphabet, runs above and below the alphabet's middle, and serial correlation.
+Where one of them rules out an even draw the run is no secret. For the others the same three
+statistics are set against what written text of the run's length and encoding has, and combined
+to one p-value: how probable text is that looks as random as this. False discoveries are
 controlled over the corpus by Benjamini and Hochberg's rule within strata of length. Built from
 SQL functions only.
 """
@@ -22,25 +23,26 @@ ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ASSIGN_HEAD = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates as the SQL twin has them, with "=" anywhere in a run.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: A candidate: 20 characters or more of one alphabet, up to where it changes, and padding at a run's end alone.
 RUN = r"(?=[A-Za-z0-9+/]{20}|[A-Za-z0-9_-]{20})[A-Za-z0-9]*+(?:[+/][A-Za-z0-9+/]*+|[_-][A-Za-z0-9_-]*+)?(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 BASE = ("assign", "access", "hex")
-#: Most standard deviations from randomness in any test of the battery.
-MOST_Z = 3.0
+#: Most standard deviations from an even draw by test; uniformity of few characters has a long upper tail.
+MOST_Z = {"even": 4.0, "runs": 3.3, "serial": 3.3}
+#: Weights of the tests in the combined p-value.
+WEIGHTS = (2.0, 2.0, 1.0)
 #: False discoveries among the spans that are added, at most this share.
 FALSE_SHARE = 0.05
 #: Lengths at which strata begin, and steps of -log10 p in which p-values are counted, to a most.
-STRATA, STEP, MOST_LOG = (20, 28, 36, 48, 64, 128), 0.125, 40.0
-#: Sums of squares and cubes of character shares in written text and in numbers.
-TEXT_SHARES, NUMBER_SHARES = (0.065, 0.006), (0.1, 0.0125)
-#: The alphabets, by encoding.
+STRATA, STEP, MOST_LOG = (20, 28, 36, 48, 64, 128), 0.125, 9.0
+#: The alphabets by encoding, in the order of their code points.
 ALPHABETS = {
-    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
+#: What written text has of each encoding: sums of squares and of cubes of its characters' shares, and the share of characters
+#: above the alphabet's middle. Numbers for digits alone, capitals for base32, names and paths of words and numbers for the rest.
+WRITTEN = {"hex": (0.1, 0.0125, 0.2), "HEX": (0.1, 0.0125, 0.2), "base32": (0.065, 0.006, 0.42), "alnum": (0.055, 0.0045, 0.85), "base64": (0.055, 0.0045, 0.85), "base64url": (0.055, 0.0045, 0.85)}
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -59,25 +61,26 @@ def encoding_of(run: Column) -> Column:
     )
 
 
-def _alphabet(encoding: Column) -> Column:
-    out = F.lit("")
-    for name, letters in ALPHABETS.items():
-        out = F.when(encoding == name, F.lit(letters)).otherwise(out)
+def _of(encoding: Column, values: dict) -> Column:
+    out = F.lit(None)
+    for name, value in values.items():
+        out = F.when(encoding == name, F.lit(value)).otherwise(out)
     return out
 
 
 def battery(run: Column) -> Column:
-    """struct(n, pairs, z_even, z_runs, z_serial) of a run without padding; null where no encoding fits.
+    """struct(enc, n, pairs, turns, z_even, z_runs, z_serial) of a run without padding; null where no encoding fits.
 
-    n is its length and pairs the sum of squared character counts. Every step is linear in n.
+    n is its length, pairs the sum of squared character counts, on which chi-squared depends, and
+    turns its runs above and below the middle; the z are those of an even draw, by the exact mean
+    and variance of pairs and turns. Every step is linear in n.
     """
 
     def tested(r: Column) -> Column:  # r: run, alphabet, places of its characters in it
         n, k = F.length(r["run"]).cast("double"), F.length(r["abc"]).cast("double")
         count = lambda c: (F.length(r["run"]) - F.length(F.replace(r["run"], c, F.lit("")))).cast("bigint")
         pairs = F.aggregate(F.split(r["abc"], ""), F.lit(0).cast("bigint"), lambda acc, c: acc + count(c) * count(c))
-        chi, df = k / n * pairs - n, k - 1
-        z_even = (F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z_even = (pairs - n - n * (n - 1) / k) / F.sqrt(2 * n * (n - 1) / k * (1 - 1 / k))
         high = F.size(F.filter(r["at"], lambda p: p >= F.length(r["abc"]) / 2)).cast("double")
         turns = F.aggregate(r["at"], F.struct(F.lit(None).cast("boolean").alias("was"), F.lit(1).alias("n")), lambda acc, p: F.struct((p >= F.length(r["abc"]) / 2).alias("was"), (acc["n"] + F.when(acc["was"] != (p >= F.length(r["abc"]) / 2), 1).otherwise(0)).alias("n")), lambda acc: acc["n"])
         mid = 1 + 2 * high * (n - high) / n
@@ -87,14 +90,17 @@ def battery(run: Column) -> Column:
             lambda acc, p: F.struct((p - r["mean"]).alias("was"), (acc["sq"] + (p - r["mean"]) * (p - r["mean"])).alias("sq"), (acc["by"] + F.coalesce(acc["was"] * (p - r["mean"]), F.lit(0.0))).alias("by")),
             lambda acc: F.when(acc["sq"] > 0, acc["by"] / acc["sq"]).otherwise(1.0),
         )
-        return F.struct(n.alias("n"), pairs.alias("pairs"), z_even.alias("z_even"), z_runs.alias("z_runs"), (moment * F.sqrt(n)).alias("z_serial"))
+        return F.struct(r["enc"].alias("enc"), n.alias("n"), pairs.alias("pairs"), turns.alias("turns"), z_even.alias("z_even"), z_runs.alias("z_runs"), (moment * F.sqrt(n)).alias("z_serial"))
 
     def placed(e: Column) -> Column:
         at = F.transform(F.split(e["run"], ""), lambda c: F.instr(e["abc"], c) - 1)
-        return let(F.struct(e["run"].alias("run"), e["abc"].alias("abc"), at.alias("at")), lambda p: let(F.struct(p["run"].alias("run"), p["abc"].alias("abc"), p["at"].alias("at"), (F.aggregate(p["at"], F.lit(0).cast("bigint"), lambda acc, q: acc + q) / F.length(p["run"])).alias("mean")), tested))
+        own = lambda x: [x[c].alias(c) for c in ("enc", "run", "abc")]
+        mean = lambda p: F.aggregate(p["at"], F.lit(0).cast("bigint"), lambda acc, q: acc + q) / F.length(p["run"])
+        return let(F.struct(*own(e), at.alias("at")), lambda p: let(F.struct(*own(p), p["at"].alias("at"), mean(p).alias("mean")), tested))
 
     inner = F.regexp_replace(run, "=+$", "")
-    return F.when(encoding_of(inner).isNotNull() & (F.length(inner) >= STRATA[0]), let(F.struct(inner.alias("run"), _alphabet(encoding_of(inner)).alias("abc")), placed))
+    known = let(F.struct(inner.alias("run"), encoding_of(inner).alias("enc")), lambda e: let(F.struct(e["enc"].alias("enc"), e["run"].alias("run"), _of(e["enc"], ALPHABETS).alias("abc")), placed))
+    return F.when(encoding_of(inner).isNotNull() & (F.length(inner) >= STRATA[0]), known)
 
 
 def upper_tail(z: Column) -> Column:
@@ -104,15 +110,23 @@ def upper_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) * 0.3989422804014327 * poly
 
 
-def text_log_p(b: Column, hex_like: Column) -> Column:
-    """-log10 of the probability that written text of the run's length repeats characters so rarely."""
-    sq = F.when(hex_like, NUMBER_SHARES[0]).otherwise(TEXT_SHARES[0])
-    cube = F.when(hex_like, NUMBER_SHARES[1]).otherwise(TEXT_SHARES[1])
-    n = b["n"]
-    mean = n + n * (n - 1) * sq
-    sd = 2 * F.sqrt(n * (n - 1) / 2 * (sq - sq * sq) + n * (n - 1) * (n - 2) * (cube - sq * sq))
-    z = (mean - b["pairs"]) / sd
-    return F.when(z <= 0, 0.0).when(z > 13, MOST_LOG).otherwise(F.least(F.lit(MOST_LOG), -F.log10(upper_tail(F.greatest(z, F.lit(0.0))))))
+def written_z(b: Column) -> Column:
+    """How far the battery's statistics together lie above those of written text: about normal for such text.
+
+    Text is taken as drawn from fixed shares, so pairs and turns have a mean and a variance by length;
+    it repeats characters more than a key does, changes sides less, and its neighbours are more alike.
+    """
+    sq, cube, up = (_of(b["enc"], {e: v[i] for e, v in WRITTEN.items()}) for i in range(3))
+    n, a = b["n"], up * (1 - up)
+    rare = (n + n * (n - 1) * sq - b["pairs"]) / (2 * F.sqrt(n * (n - 1) / 2 * (sq - sq * sq) + n * (n - 1) * (n - 2) * (cube - sq * sq)))
+    changes = (b["turns"] - 1 - 2 * a * (n - 1)) / F.sqrt((n - 1) * (2 * a - 4 * a * a) + 2 * (n - 2) * (a - 4 * a * a))
+    w = WEIGHTS
+    return (w[0] * rare + w[1] * changes - w[2] * b["z_serial"]) / (sum(x * x for x in w) ** 0.5)
+
+
+def log_p(z: Column) -> Column:
+    """-log10 of the normal probability above z; 0 below the mean, and never more than MOST_LOG."""
+    return F.when(z <= 0, 0.0).otherwise(F.least(F.lit(MOST_LOG), -F.log10(upper_tail(F.least(F.greatest(z, F.lit(0.0)), F.lit(13.0))))))
 
 
 def stratum(n: Column) -> Column:
@@ -127,9 +141,8 @@ def _judged(x: Column) -> Column:
     """A candidate (s, e, m) with its stratum and the bin of its p-value; bin is null if the battery fails it."""
 
     def with_tests(b: Column) -> Column:
-        hex_like = F.regexp_replace(x["m"], "=+$", "").rlike("^[0-9a-f]*$|^[0-9A-F]*$")
-        passed = (b["z_even"] <= MOST_Z) & (F.abs(b["z_runs"]) <= MOST_Z) & (F.abs(b["z_serial"]) <= MOST_Z)
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), stratum(b["n"]).alias("stratum"), F.when(passed, F.floor(text_log_p(b, hex_like) / STEP).cast("int")).alias("bin"))
+        passed = (b["z_even"] <= MOST_Z["even"]) & (F.abs(b["z_runs"]) <= MOST_Z["runs"]) & (F.abs(b["z_serial"]) <= MOST_Z["serial"])
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), stratum(b["n"]).alias("stratum"), F.when(passed, F.floor(log_p(written_z(b)) / STEP).cast("int")).alias("bin"))
 
     return let(battery(x["m"]), with_tests)
 
@@ -243,19 +256,26 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _run_without_lookahead() -> str:
+    """RUN, padding aside, for engines without looks ahead: 20 characters of one alphabet at least, by where the first sign is."""
+    signs = [f"[A-Za-z0-9]{{{k}}}[{s}][A-Za-z0-9{s}]{{{19 - k},}}" for k in range(20) for s in ("+/", "_-")]
+    return "|".join([r"[A-Za-z0-9]{20,}(?:[+/][A-Za-z0-9+/]*|[_-][A-Za-z0-9_-]*)?", *signs])
+
+
 def _sql() -> str:
     """The same in SQL, over one row for each character of a candidate."""
     assign = ASSIGN.replace("'", "''")
     head = ASSIGN_HEAD.replace("'", "''")
-    kinds = {"assign": (assign, f"length(regexp_replace(m, '{head}', '')) >= 6"), "access": (ACCESS, "length(m) >= 20"), "hex": (HEX, "true"), "random": (CANDIDATE, "true")}
+    kinds = {"assign": (assign, f"length(regexp_replace(m, '{head}', '')) >= 6"), "access": (ACCESS, "length(m) >= 20"), "hex": (HEX, "true"), "random": (_run_without_lookahead(), "true")}
+    pad = "CASE WHEN regexp_matches(pieces[i + 1], '^={1,2}[^A-Za-z0-9+/_=-]') OR i = len(hits) AND regexp_matches(pieces[i + 1], '^={1,2}$') THEN length(regexp_extract(pieces[i + 1], '^=+')) ELSE 0 END"
     out = ["WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
     for kind, (pattern, test) in kinds.items():
         out.append(f"h_{kind} AS (SELECT r, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS pieces FROM d WHERE regexp_matches(text, '{pattern}'))")
         out.append(
             f"p_{kind} AS (SELECT r, hits[i] AS m, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s"
-            f" FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
+            f", {pad} AS pad FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
         )
-        out.append(f"k_{kind} AS (SELECT r, s, s + length(m) AS e, m FROM p_{kind} WHERE {test})")
+        out.append(f"k_{kind} AS (SELECT r, s, s + length(m){' + pad' if kind == 'random' else ''} AS e, m FROM p_{kind} WHERE {test})")
     out.append("b AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, '{kind}' AS kind, r, s, e FROM k_{kind}" for k, kind in enumerate(BASE)) + ")")
     encoding = "CASE WHEN regexp_matches(x, '^[0-9]*$') THEN NULL " + " ".join(
         f"WHEN regexp_matches(x, '^[{letters}]*$') THEN '{name}'"
@@ -263,24 +283,25 @@ def _sql() -> str:
     ) + " END"
     abc = "CASE enc " + " ".join(f"WHEN '{name}' THEN '{letters}'" for name, letters in ALPHABETS.items()) + " END"
     strata = "CASE " + " ".join(f"WHEN n >= {low} THEN {k}" for k, low in reversed(list(enumerate(STRATA)))) + " ELSE 0 END"
-    hexes = "enc IN ('hex', 'HEX')"
-    sq, cube = (f"CASE WHEN {hexes} THEN {NUMBER_SHARES[k]} ELSE {TEXT_SHARES[k]} END" for k in (0, 1))
+    sq, cube, up = ("CASE enc " + " ".join(f"WHEN '{e}' THEN {v[i]}::DOUBLE" for e, v in WRITTEN.items()) + " END" for i in range(3))
+    w = WEIGHTS
     t = "(1 / (1 + 0.2316419 * z))"
     tail = f"exp(-z * z / 2) * 0.3989422804014327 * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
     out += [
-        "c0 AS (SELECT r, s, e, regexp_replace(m, '=+$', '') AS x FROM k_random c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e))",
+        "c0 AS (SELECT r, s, e, m AS x FROM k_random c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e))",
         f"c1 AS (SELECT *, {encoding} AS enc FROM c0 WHERE length(x) >= {STRATA[0]})",
         f"c AS MATERIALIZED (SELECT *, {abc} AS abc, length(x)::DOUBLE AS n, row_number() OVER () AS c FROM c1 WHERE enc IS NOT NULL)",
         "ch AS (SELECT c, n, length(abc)::DOUBLE AS k, i, instr(abc, substr(x, i, 1)) - 1 AS p FROM c, unnest(range(1, length(x) + 1)) u(i))",
         "pl AS (SELECT *, avg(p) OVER (PARTITION BY c) AS mean, count(*) OVER (PARTITION BY c, p) AS alike, lag(p) OVER (PARTITION BY c ORDER BY i) AS was FROM ch)",
         "st AS (SELECT c, any_value(n) AS n, any_value(k) AS k, sum(alike)::DOUBLE AS pairs, count(*) FILTER (WHERE p >= k / 2)::DOUBLE AS high, 1 + count(*) FILTER (WHERE (p >= k / 2) <> (was >= k / 2)) AS turns,"
         " sum((p - mean) * (p - mean)) AS sq, coalesce(sum((p - mean) * (was - mean)), 0) AS bys FROM pl GROUP BY c)",
-        "z1 AS (SELECT *, cbrt((k / n * pairs - n) / (k - 1)) AS w, 1 + 2 * high * (n - high) / n AS mid FROM st)",
-        "z2 AS (SELECT c, n, pairs, (w - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_even, CASE WHEN high < 1 OR high > n - 1 THEN sqrt(n) ELSE (turns - mid) / sqrt(greatest((mid - 1) * (mid - 2) / (n - 1), 0.25)) END AS z_runs,"
+        "z1 AS (SELECT *, (pairs - n - n * (n - 1) / k) / sqrt(2 * n * (n - 1) / k * (1 - 1 / k)) AS z_even, 1 + 2 * high * (n - high) / n AS mid FROM st)",
+        "z2 AS (SELECT c, pairs, turns, z_even, CASE WHEN high < 1 OR high > n - 1 THEN sqrt(n) ELSE (turns - mid) / sqrt(greatest((mid - 1) * (mid - 2) / (n - 1), 0.25)) END AS z_runs,"
         " CASE WHEN sq > 0 THEN bys / sq ELSE 1.0 END * sqrt(n) AS z_serial FROM z1)",
-        f"z3 AS (SELECT c.c, r, s, e, c.n, z_even <= {MOST_Z} AND abs(z_runs) <= {MOST_Z} AND abs(z_serial) <= {MOST_Z} AS passed, (c.n + c.n * (c.n - 1) * ({sq}) - pairs)"
-        f" / (2 * sqrt(c.n * (c.n - 1) / 2 * (({sq}) - ({sq}) * ({sq})) + c.n * (c.n - 1) * (c.n - 2) * (({cube}) - ({sq}) * ({sq})))) AS z FROM c JOIN z2 ON c.c = z2.c)",
-        f"j AS MATERIALIZED (SELECT r, s, e, {strata} AS stratum, CASE WHEN NOT passed THEN NULL WHEN z <= 0 THEN 0 WHEN z > 13 THEN floor({MOST_LOG} / {STEP})::INT ELSE floor(least({MOST_LOG}, -log10({tail})) / {STEP})::INT END AS bin FROM z3)",
+        f"z3 AS (SELECT r, s, e, n, pairs, turns, z_even <= {MOST_Z['even']} AND abs(z_runs) <= {MOST_Z['runs']} AND abs(z_serial) <= {MOST_Z['serial']} AS passed, z_serial, {sq} AS sq, {cube} AS cube, {up} * (1 - {up}) AS a FROM c JOIN z2 ON c.c = z2.c)",
+        f"z4 AS (SELECT *, ({w[0]} * (n + n * (n - 1) * sq - pairs) / (2 * sqrt(n * (n - 1) / 2 * (sq - sq * sq) + n * (n - 1) * (n - 2) * (cube - sq * sq)))"
+        f" + {w[1]} * (turns - 1 - 2 * a * (n - 1)) / sqrt((n - 1) * (2 * a - 4 * a * a) + 2 * (n - 2) * (a - 4 * a * a)) - {w[2]} * z_serial) / {sum(x * x for x in w) ** 0.5} AS z FROM z3)",
+        f"j AS MATERIALIZED (SELECT r, s, e, {strata} AS stratum, CASE WHEN NOT passed THEN NULL WHEN z <= 0 THEN 0 WHEN z > 13 THEN floor({MOST_LOG} / {STEP})::INT ELSE floor(least({MOST_LOG}, -log10({tail})) / {STEP})::INT END AS bin FROM z4)",
         "m AS (SELECT stratum, bin, count(*) AS n FROM j GROUP BY ALL), a AS (SELECT stratum, sum(n) AS everyone FROM m GROUP BY stratum)",
         "f AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS found FROM m WHERE bin IS NOT NULL)",
         f"l AS (SELECT f.stratum, min(bin) AS least_bin FROM f JOIN a USING (stratum) WHERE pow(10.0, -bin * {STEP}) * everyone <= {FALSE_SHARE} * found GROUP BY f.stratum)",
