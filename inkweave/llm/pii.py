@@ -18,13 +18,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+#: Lengths of IBANs and the countries that have them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A country's code, check digits, and as many characters as its numbers have, so no following word is taken in.
+IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 LOCAL_PHONE = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
 NATIONAL_ID = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
-#: Score of a proposal by kind, what a passed checksum and a context word add, and the least score of a span that is added.
-PROPOSED = {"email": 0.9, "ip": 0.7, "card": 0.3, "phone": 0.7, "card_short": 0.1, "iban": 0.3, "phone_local": 0.3, "national_id": 0.3}
-CHECKSUM, CONTEXT, LEAST = 0.5, 0.3, 0.6
+#: Score of a proposal by kind, what a passed checksum and a context word add, what a word against it takes away, and the least
+#: score of a span that is added. One number in ten passes Luhn's check, so a short card needs a word for it besides; an account
+#: number needs none, unless a word speaks against it; numbers without a checksum need a word for them and none against.
+PROPOSED = {"email": 0.9, "ip": 0.7, "card": 0.3, "phone": 0.7, "card_short": 0.05, "iban": 0.3, "phone_local": 0.3, "national_id": 0.3}
+CHECKSUM, CONTEXT, AGAINST, LEAST = 0.5, 0.3, 0.3, 0.6
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
 #: Context words in four languages.
@@ -36,9 +44,13 @@ CONTEXT_WORDS = {
     "email": "mail|contact|e-mail|courriel|correo",
     "ip": "ip|host|server|address|addr",
 }
+#: Words that say a number is something else, or made up.
+OTHER_WORDS = "isbn|issn|order|invoice|tracking|serial|version|build|ticket|part|item|sku|example|sample|dummy|fake|placeholder|bestellung|rechnung|beispiel|commande|facture|exemple|pedido|factura|ejemplo"
 WORDS_OF = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "card_short": "card", "iban": "iban", "phone_local": "phone", "national_id": "id"}
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("card_short", "iban", "phone_local", "national_id")
+#: Kinds with a checksum, without which there is no span of theirs.
+CHECKED = ("card", "card_short", "iban")
 
 
 def digits(m: Column) -> Column:
@@ -72,10 +84,18 @@ def mod97(m: Column) -> Column:
     return let(F.regexp_replace(m, r"\x20", ""), rest) == 1
 
 
-def in_context(text: Column, x: Column, kind: str) -> Column:
-    """Whether a context word of the kind stands near span x."""
+def _near(text: Column, x: Column, words: str) -> Column:
+    """Whether one of the words stands near span x."""
     near = F.concat(F.substring(text, F.greatest(x["s"] - BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(BEFORE))), F.lit(" "), F.substring(text, x["e"] + 1, F.lit(AFTER)))
-    return F.lower(near).rlike(f"(?:^|[^a-z])(?:{CONTEXT_WORDS[WORDS_OF[kind]]})(?:[^a-z]|$)")
+    return F.lower(near).rlike(f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
+
+
+def score_of(text: Column, x: Column, kind: str) -> Column:
+    """The score of span x of a kind, its checksum passed where the kind has one: up and down by context, from 0 to 1."""
+    first = PROPOSED[kind] + (CHECKSUM if kind in CHECKED else 0)
+    up = F.when(_near(text, x, CONTEXT_WORDS[WORDS_OF[kind]]), CONTEXT).otherwise(0.0)
+    down = F.when(_near(text, x, OTHER_WORDS), AGAINST).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(first) + up - down)), 2)
 
 
 def _small_parts(m: Column) -> Column:
@@ -89,8 +109,8 @@ def _n_digits(m: Column, low: int, high: int) -> Column:
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, email, ip, card, phone, card_short, iban, phone_local, national_id) for each row.
 
-    The first four are the base spans. The others are added where their checksum and context
-    reach LEAST and they overlap no base span. Each is an array of (s, e, m) by start. Null
+    The first four are the base spans. Of the others those are added whose checksum holds, whose
+    score reaches LEAST and that overlap no base span. Each is an array of (s, e, m) by start. Null
     counts as an empty text, which has no spans; rows without an id and repeated rows stay as
     they are; an empty table gives an empty one.
     """
@@ -108,24 +128,21 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.select(
         "id", "text", "email", "ip", "phone",
         F.filter("numbers", lambda x: F.when(_n_digits(x["m"], 16, 19), luhn(digits(x["m"]))).otherwise(False)).alias("card"),
-        F.filter("numbers", lambda x: F.when(_n_digits(x["m"], 13, 15), luhn(digits(x["m"])) & in_context(F.col("text"), x, "card_short")).otherwise(False)).alias("card_short"),
+        F.filter("numbers", lambda x: F.when(_n_digits(x["m"], 13, 15), luhn(digits(x["m"]))).otherwise(False)).alias("card_short"),
     )
     base = F.concat("email", "ip", "card", "phone")
     ibans = F.filter(found(t, IBAN, t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{10}")), lambda x: mod97(x["m"]))
-    local = F.filter(found(t, LOCAL_PHONE, t.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")), lambda x: in_context(t, x, "phone_local"))
-    nat = F.filter(found(t, NATIONAL_ID, t.rlike(NATIONAL_ID)), lambda x: in_context(t, x, "national_id"))
+    local = found(t, LOCAL_PHONE, t.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"))
+    nat = found(t, NATIONAL_ID, t.rlike(NATIONAL_ID))
+    sure = lambda spans, kind: apart_from(F.filter(spans, lambda x: score_of(t, x, kind) >= LEAST), base).alias(kind)
     return rows.select(
-        "id", "text", "email", "ip", "card", "phone",
-        apart_from(F.col("card_short"), base).alias("card_short"), apart_from(ibans, base).alias("iban"),
-        apart_from(local, base).alias("phone_local"), apart_from(nat, base).alias("national_id"),
+        "id", "text", "email", "ip", "card", "phone", sure(F.col("card_short"), "card_short"), sure(ibans, "iban"), sure(local, "phone_local"), sure(nat, "national_id")
     )
 
 
 def _scores(kind: str) -> Column:
-    """The score of each span of a kind: proposal, checksum where the kind has one, context."""
-    first = PROPOSED[kind] + (CHECKSUM if kind in ("card", "card_short", "iban") else 0)
-    scored = lambda x: F.round(F.least(F.lit(1.0), F.lit(first) + F.when(in_context(F.col("text"), x, kind), CONTEXT).otherwise(0.0)), 2)
-    return F.transform(F.col(kind), lambda x: scored(x).cast("string"))
+    """The score of each span of a kind."""
+    return F.transform(F.col(kind), lambda x: score_of(F.col("text"), x, kind).cast("string"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +160,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same in SQL, with the patterns as the contract states them."""
     near = "lower(substr(text, greatest(s - {0}, 0) + 1, least(s, {0})) || ' ' || substr(text, e + 1, {1}))".format(BEFORE, AFTER)
-    context = lambda kind: f"regexp_matches({near}, '(?:^|[^a-z])(?:{CONTEXT_WORDS[WORDS_OF[kind]]})(?:[^a-z]|$)')"
+    words_near = lambda words: f"regexp_matches({near}, '(?:^|[^a-z])(?:{words})(?:[^a-z]|$)')"
     d = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = (
         f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 0 AND CAST(substr(reverse({d}), i, 1) AS INT) > 4 THEN CAST(substr(reverse({d}), i, 1) AS INT) * 2 - 9"
@@ -158,8 +175,8 @@ def _sql() -> str:
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
         "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 999) > 255)) = 0"),
         "card": (r"[0-9](?:[\x20-]?[0-9])+", f"{n} BETWEEN 16 AND 19 AND {luhn}"), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"{n} BETWEEN 8 AND 15"),
-        "card_short": (r"[0-9](?:[\x20-]?[0-9])+", f"{n} BETWEEN 13 AND 15 AND {luhn} AND {context('card_short')}"), "iban": (IBAN, mod),
-        "phone_local": (LOCAL_PHONE, context("phone_local")), "national_id": (NATIONAL_ID, context("national_id")),
+        "card_short": (r"[0-9](?:[\x20-]?[0-9])+", f"{n} BETWEEN 13 AND 15 AND {luhn}"), "iban": (IBAN, mod),
+        "phone_local": (LOCAL_PHONE, "true"), "national_id": (NATIONAL_ID, "true"),
     }
     out = ["WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
     for k, (kind, (pattern, test)) in enumerate(kinds.items()):
@@ -168,8 +185,10 @@ def _sql() -> str:
             f"p_{kind} AS (SELECT r, text, hits[i] AS m, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s"
             f" FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
         )
-        first = PROPOSED[kind] + (CHECKSUM if kind in ("card", "card_short", "iban") else 0)
-        out.append(f"k_{kind} AS (SELECT {k} AS k, '{kind}' AS kind, r, s, e, round(least(1.0, {first} + CASE WHEN {context(kind)} THEN {CONTEXT} ELSE 0.0 END), 2)::DOUBLE AS score FROM (SELECT *, s + length(m) AS e FROM p_{kind}) WHERE {test})")
+        first = PROPOSED[kind] + (CHECKSUM if kind in CHECKED else 0)
+        score = f"round(greatest(0.0, least(1.0, {first} + CASE WHEN {words_near(CONTEXT_WORDS[WORDS_OF[kind]])} THEN {CONTEXT} ELSE 0.0 END - CASE WHEN {words_near(OTHER_WORDS)} THEN {AGAINST} ELSE 0.0 END)), 2)::DOUBLE"
+        least = f" WHERE score >= {LEAST}" if kind in ADDED else ""
+        out.append(f"k_{kind} AS (SELECT * FROM (SELECT {k} AS k, '{kind}' AS kind, r, s, e, {score} AS score FROM (SELECT *, s + length(m) AS e FROM p_{kind}) WHERE {test}){least})")
     base = " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in BASE)
     added = " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in ADDED)
     out.append(f"b AS MATERIALIZED ({base})")

@@ -56,6 +56,25 @@ def test_cases(spark, tmp_path):
     assert by[CASES[8]] == "card_short:10:25" and by[CASES[9]] == ""
 
 
+def test_account_numbers_by_country(spark, tmp_path):
+    ibans = ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    texts = ["x"] * 4 + [f"{i}{word}" for i in ibans for word in (" BIC", " BANK ok", " EUR", "", ", then")] + [i.replace(" ", "") + " EUR" for i in ibans]
+    texts += [f"example {i}" for i in ibans] + [f"example account {i}" for i in ibans] + [i[:-1] + str((int(i[-1]) + 1) % 10) for i in ibans]
+    got = rows_of(spark, texts, tmp_path)
+    spans = [got[k]["spans"] for k in range(4, len(texts))]
+    n = len(ibans)
+    assert spans[: 5 * n] == [f"iban:0:{len(i)}" for i in ibans for _ in range(5)]
+    assert spans[5 * n : 6 * n] == [f"iban:0:{len(i.replace(' ', ''))}" for i in ibans]
+    assert not any(spans[6 * n : 7 * n]) and all(spans[7 * n : 8 * n]) and not any(spans[8 * n :])
+
+
+def test_context_moves_the_score_up_and_down(spark, tmp_path):
+    texts = ["x"] * 4 + ["378282246310005", "card 378282246310005", "card of order 378282246310005", "call (555) 123-4567", "(555) 123-4567", "call about ticket (555) 123-4567", "ssn 123-45-6789", "ssn, sample 123-45-6789"]
+    got = rows_of(spark, texts, tmp_path)
+    assert [bool(got[k]["spans"]) for k in range(4, len(texts))] == [False, True, False, True, False, False, True, False]
+    assert got[5]["scores"] == "0.85" and got[7]["scores"] == "0.6"
+
+
 def test_random(spark, tmp_path):
     r = random.Random(1)
     texts = ["x"] * 4 + ["".join(r.choice(["1", "2", "41", "255", ".", ".", " ", "-", "+1", "(", ")", "@", "a", "é", "b.c", "_"]) for _ in range(r.randint(1, 70))) for _ in range(400)]
