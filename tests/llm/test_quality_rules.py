@@ -36,9 +36,31 @@ def test_bad_host_goes_with_its_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     kept = {r[0] for r in qr.quality_rules(df).where("kept").select("host").distinct().collect()}
     assert kept == {f"h{i}" for i in range(5)}
-    rates = {r["host"]: r["rate"] for r in qr.host_rates(qr.quality_rules(df)).collect()}
+    rates = {r["host"]: r["rate_base"] for r in qr.host_rates(qr.quality_rules(df)).collect()}
     assert rates["bad"] > 0.5 and 0 < rates["tiny"] < 1
 
 
+def planted_hosts():
+    """Twelve clean hosts, and three of which one rule each is often failed by documents that pass by themselves."""
+    r = random.Random(8)
+    words = lambda n, k=5: " ".join("".join(r.choice("abcdefghij") for _ in range(k)) for _ in range(n))
+    rows = [(f"https://www.site{i % 12}.example/p/{i}", words(40) if i % 25 else "short") for i in range(1200)]
+    rows += [(f"http://USER@Symbols.example:80/{i}", words(30) + " " + "#*$" * 9) for i in range(60)]
+    rows += [(f"//x{i}" if not i else f"ftp://lines.example/{i}", "\n".join([words(8)] * 3 + [words(30)])) for i in range(60)]
+    rows += [("long words", words(25, 15)) for _ in range(60)] + [(None, words(30)) for _ in range(30)]
+    return [(i, h, t) for i, (h, t) in enumerate(rows)]
+
+
+def test_each_rule_can_fail_a_host(spark, tmp_path):
+    df = spark.createDataFrame(planted_hosts(), "doc_id long, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = qr.quality_rules(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert {r[0] for r in out.where("host_failed").select("host").distinct().collect()} == {"symbols.example", "lines.example", "long words"}
+    assert out.where("not base_failed and host_failed").count() >= 170
+    assert {r[0] for r in out.select("host").distinct().collect()} >= {f"site{i}.example" for i in range(12)} | {None, "//x0"}
+    assert qr.host_rates(out.where("host = 'symbols.example'")).first()["host_failed"] is False
+    assert assert_same(qr.op9_quality_hosts(spark, str(tmp_path)), str(tmp_path), qr.SQL) == len(planted_hosts())
+
+
 def test_same_as_sql(spark, sf):
     assert assert_same(qr.op9_quality_hosts(spark, sf), sf, qr.SQL) > 100
