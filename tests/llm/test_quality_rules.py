@@ -46,7 +46,7 @@ def planted_hosts():
     words = lambda n, k=5: " ".join("".join(r.choice("abcdefghij") for _ in range(k)) for _ in range(n))
     rows = [(f"https://www.site{i % 12}.example/p/{i}", words(40) if i % 25 else "short") for i in range(1200)]
     rows += [(f"http://USER@Symbols.example:80/{i}", words(30) + " " + "#*$" * 9) for i in range(60)]
-    rows += [(f"//x{i}" if not i else f"ftp://lines.example/{i}", "\n".join([words(8)] * 3 + [words(30)])) for i in range(60)]
+    rows += [(f"//x{i}" if not i else f"ftp://lines.example/{i}", "\n".join([words(3)] * 3 + [words(40)])) for i in range(60)]
     rows += [("long words", words(25, 15)) for _ in range(60)] + [(None, words(30)) for _ in range(30)]
     return [(i, h, t) for i, (h, t) in enumerate(rows)]
 
