@@ -59,8 +59,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row of docs."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), whole_text(docs[text_col]).alias("text"))
+    """(id, fp) for every row of docs; an id that is no whole number counts as none, a null text as an empty one."""
+    rows = docs.select(docs[id_col].try_cast("long").alias("id"), whole_text(docs[text_col]).alias("text"))
     return rows.mapInArrow(_fingerprints, "id long, fp long")
 
 
@@ -77,7 +77,7 @@ def _touching(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 def local_stars(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(fingerprint, least fingerprint) for each of more than one in a component of two tiles, or of one."""
+    """(fingerprint, least fingerprint) for each of more than one in a component of two tiles, or of one; tiles may be empty."""
     by_count = lambda x: x[np.argsort(np.bitwise_count(x), kind="stable")]
     a = by_count(left.view(np.uint64))
     b = a if right is None else by_count(right.view(np.uint64))
@@ -124,7 +124,11 @@ def _bands(fp: Column, radius: int) -> Column:
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Stars (u, v) that span, within each bucket, what lies at most radius bits apart; fps(fp) is distinct."""
+    """Stars (u, v) that span, within each bucket, what lies at most radius bits apart.
+
+    fps(fp) is distinct and not null; an empty table gives an empty one. A star's head is the least
+    fingerprint of a local component, so equal distances need no choice.
+    """
     rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(_bands(F.col("fp"), radius)).alias("b")).select("fp", "pop", "b.*")
     cells = rows.groupBy("band", "key", "pop").agg(F.count("*").alias("n"))
     # at most 65 cells to a bucket
@@ -170,15 +174,17 @@ def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     components(docs, id_col, text_col) gives (id, component_id) and so says what a group is.
 
-    Of repeated rows with that id one stays, the least by the hash of all its columns. Rows
-    without an id can't be named by a decision: they are held only against each other, by exact
-    text (null is a text too), and one of each stays. Columns and their names stay as they are.
+    Of repeated rows with that id one stays, the least by the hash of all its columns as JSON. Rows
+    without an id (null, or no whole number) can't be named by a decision: they are held only
+    against each other, by exact text (null is a text too), and of each text the least by the same
+    hash stays. Columns, of any type, and their names stay as they are.
     """
     found = components(docs, id_col, text_col)
     firsts = found.where("id = component_id").select(F.col("id").alias("first"))
-    kept = as_row(docs, id=docs[id_col].cast("long")).join(firsts, F.col("id") == F.col("first"), "left_semi")
-    kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    return kept.unionByName(docs.where(docs[id_col].isNull()).dropDuplicates([text_col]))
+    rows = as_row(docs, id=docs[id_col].try_cast("long"), text=docs[text_col])
+    least = F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")
+    kept = rows.join(firsts, F.col("id") == F.col("first"), "left_semi").groupBy("id").agg(least).select("row.*")
+    return kept.union(rows.where("id is null").groupBy("text").agg(least).select("row.*"))
 
 
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

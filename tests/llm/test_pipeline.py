@@ -6,6 +6,7 @@ import tiktoken
 
 import corpus_pipeline as cp
 from inkweave.llm import bpe, mixing
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_quality_rules import brute
 from tests.llm.test_secrets import base
 
@@ -41,24 +42,8 @@ def test_quality_drops_what_fails(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    from inkweave.llm.simhash import fingerprint_of
-
     _, before, after = stages[1]
-    fps = {i: fingerprint_of(r["text"].encode()) % 2**64 for i, r in rows(before).items()}
-    root = {i: i for i in fps}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(fps)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
-                a, b = top(i), top(j)
-                root[max(a, b)] = min(a, b)
-    assert set(rows(after)) == {top(i) for i in ids}
+    assert set(rows(after)) == set(plain_groups({i: r["text"] for i, r in rows(before).items()}).values())
 
 
 def test_secrets_are_masked_and_nothing_else(stages):
