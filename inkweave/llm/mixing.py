@@ -1,40 +1,62 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by source, language and topic. The cells' weights are raked to the targets of
-each margin in turn; a document is then kept with the probability that brings the expected
+each margin in turn until all margins hold; a document is then kept with the probability that brings the expected
 tokens of its cell to the cell's weight of the budget, and to all it has where that isn't
 enough. Built from DataFrame functions only; what moves are cells, never documents.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.llm.common import as_row, whole_text, words_of
+from inkweave.llm.spans import let
 from inkweave.session import cut_lineage, read_table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: The target of a value is in proportion to its tokens to this power, where no targets are given.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.5}
-#: Rounds of raking over all three margins; the share of all tokens that is kept; what the draws depend on besides the id.
-ROUNDS, BUDGET, SEED = 12, 0.5, "mix-1"
+#: Raking ends when no margin is further from its targets than this, and goes on for so many rounds of all margins at most.
+TOLERANCE, MOST_ROUNDS = 1e-9, 100
+#: Rounds after which the margins are measured; the share of all tokens that is kept; what the draws depend on besides the id.
+ROUNDS, BUDGET, SEED = 5, 0.5, "mix-1"
 #: Most cells that are raked in one partition, and most cells that are broadcast to the documents; more are joined by a shuffle.
 CELLS, BROADCAST_CELLS = 50_000, 200_000
 NONE = "(none)"
+#: Topics and words of theirs in four languages; a text is of the topic that most of its words name.
+TOPIC_WORDS = {
+    "contact": "mail call phone tel contact telefon anruf adresse appelez courriel llame correo", "legal": "license licensed copyright terms law lizenz recht gesetz licence droit loi licencia derecho ley",
+    "software": "code token password secret key api server software file http https passwort datei fichier serveur archivo clave", "money": "card account bank price market money iban konto preis geld compte prix argent cuenta precio dinero",
+    "science": "research study data theory science energy forschung studie wissenschaft recherche science ciencia estudio", "health": "health patient doctor medicine disease gesundheit arzt krankheit santé médecin maladie salud médico",
+    "school": "school student teacher learn university schule lehrer lernen école élève apprendre escuela alumno", "public": "government minister election party state regierung wahl partei gouvernement parti gobierno partido",
+}
+GENERAL = "general"
+ALL_WORDS = sorted({w for words in TOPIC_WORDS.values() for w in words.split()})
+
+
+def topic_of(text: Column) -> Column:
+    """A topic by content, for tables without one: that of which most words are there, the first named on ties, or general."""
+    hits = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*ALL_WORDS))
 
+    def named(own: Column, words: list[str]) -> Column:
+        return F.size(F.filter(own, lambda w: w.isin(*words)))
 
-def topic_of(text: Column, n_tokens: Column) -> Column:
-    """A topic by form, for tables without one: brief, listed (short lines), long or prose."""
-    lines = F.regexp_count(text, F.lit("\n")) + 1
-    return F.when(n_tokens < 50, "brief").when(n_tokens < 12 * lines, "listed").when(n_tokens >= 1000, "long").otherwise("prose")
+    def best(own: Column) -> Column:
+        # the greatest by count, then by the order of the topics
+        counts = [F.struct(named(own, of.split()).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("topic")) for i, (t, of) in enumerate(TOPIC_WORDS.items())]
+        return F.when(F.size(own) > 0, F.greatest(*counts)["topic"]).otherwise(GENERAL)
+
+    return let(hits, best)
 
 
 def described(rows: DataFrame, text: Column, topic: Column | None = None) -> DataFrame:
     """rows with n_tokens (words) and k_topic, for which null is a value."""
-    rows = rows.withColumn("n_tokens", F.size(words_of(text)).cast("long"))
-    rows = rows.withColumn("k_topic", F.coalesce(topic, F.lit(NONE)) if topic is not None else topic_of(text, F.col("n_tokens")))
-    return rows
+    topic = F.coalesce(topic, F.lit(NONE)) if topic is not None else topic_of(text)
+    return rows.withColumns({"n_tokens": F.size(words_of(text)).cast("long"), "k_topic": topic})
 
 
 def cell_sums(rows: DataFrame) -> DataFrame:
@@ -44,7 +66,8 @@ def cell_sums(rows: DataFrame) -> DataFrame:
 def margin_targets(cells: DataFrame, dimension: str, given: DataFrame | None = None) -> DataFrame:
     """(key, target) of one margin, summing to one over the values that have tokens.
 
-    given has (value, share); values without tokens are left out, values it lacks get nothing.
+    given has (value, share), a value's repeated rows added up and null a value of its own; values
+    without tokens are left out, values it lacks get nothing.
     """
     key = f"k_{dimension}"
     sums = cells.groupBy(key).agg(F.sum("tokens").alias("t"))
@@ -57,8 +80,20 @@ def margin_targets(cells: DataFrame, dimension: str, given: DataFrame | None = N
     return raw.select(key, (F.col("raw") / total).alias("target"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells with w, their weights: tokens' shares raked to each margin's targets in turn, rounds times over."""
+def residual(cells: DataFrame) -> float:
+    """How far the raked cells' margins are from their targets at most."""
+    worst = [cells.groupBy(f"k_{d}").agg(F.sum("w").alias("have"), F.max(f"t_{d}").alias("t")).agg(F.max(F.abs(F.col("have") - F.col("t"))).alias("r")) for d in DIMENSIONS]
+    return max(float(r[0] or 0.0) for df in worst for r in df.collect())  # a row for each dimension
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """cells with w, their weights: tokens' shares raked to each margin's targets in turn until all of them hold.
+
+    Margins are measured every so many rounds. Targets that no weights fulfil, such as those of
+    values that only occur together, never come within the tolerance: after most_rounds the weights
+    stay as they are and a warning tells the residual. Null is a value like others, cells without
+    tokens aren't there, an empty table gives an empty one.
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     keys = [f"k_{d}" for d in DIMENSIONS]
     now = cells.select(*keys, "tokens", (F.col("tokens") / F.lit(total)).alias("w"))
@@ -66,25 +101,31 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         now = now.join(targets[d].withColumnRenamed("target", f"t_{d}"), f"k_{d}")
     few = cells.count() <= CELLS
     now = cut_lineage(now.coalesce(1) if few else now)
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            if few:  # a bounded table in one partition: nothing moves
-                have = F.sum("w").over(Window.partitionBy(f"k_{d}"))
-                now = now.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), have), F.lit(0.0)))
-            else:  # sums of each value are added up before they move, however many cells it has
-                sums = now.groupBy(f"k_{d}").agg(F.sum("w").alias("have"))
-                now = now.join(sums, f"k_{d}").withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.col("have")), F.lit(0.0))).drop("have")
-                now = cut_lineage(now)
-        if few and k % 4 == 3:
-            now = cut_lineage(now.coalesce(1)).coalesce(1)
+    done, left = 0, None
+    while done < most_rounds and (left is None or left > tolerance):
+        for _ in range(min(rounds, most_rounds - done)):
+            for d in DIMENSIONS:
+                if few:  # a bounded table in one partition: nothing moves
+                    have = F.sum("w").over(Window.partitionBy(f"k_{d}"))
+                    now = now.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), have), F.lit(0.0)))
+                else:  # sums of each value are added up before they move, however many cells it has
+                    sums = now.groupBy(f"k_{d}").agg(F.sum("w").alias("have"))
+                    now = now.join(sums, f"k_{d}").withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.col("have")), F.lit(0.0))).drop("have")
+                    now = cut_lineage(now)
+            done += 1
+        now = cut_lineage(now.coalesce(1)).coalesce(1) if few else now
+        left = residual(now)
+    if left is not None and left > max(tolerance, 1e-6):
+        warnings.warn(f"margins are up to {left:.2g} from their targets after {done} rounds", stacklevel=2)
     return now.select(*keys, "tokens", "w")
 
 
 def with_probability(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """raked cells with probability: min(1, level * w / tokens), level such that the budget's tokens are expected.
 
-    The level rises as full cells drop out of it, until none is added; where weights don't
-    reach the budget every cell with weight is taken whole.
+    The level rises as full cells drop out of it, until none is added: at most a step for every
+    cell, a few in practice. Cells of one ratio of weight to tokens fill up together. Where weights
+    don't reach the budget every cell with weight is taken whole; an empty table gives an empty one.
     """
     cells = cells.withColumn("r", F.col("w") / F.col("tokens"))
     aim = budget * float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -148,18 +189,27 @@ def op7_mix_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rounds of the SQL twin, which can't measure: more than the test tables take.
+SQL_ROUNDS = 25
+
+
 def _sql() -> str:
     w = r"[\x20\x09-\x0D]+"
+    quoted = lambda ws: ", ".join(f"'{x}'" for x in ws)
+    words = quoted(ALL_WORDS)
+    counts = ", ".join(f"len(list_filter(hits, lambda x: list_contains([{quoted(of.split())}], x))) AS c_{t}" for t, of in TOPIC_WORDS.items())
+    topics = " ".join(f"WHEN c_{t} = most THEN '{t}'" for t in TOPIC_WORDS)
     out = [
         f"WITH d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(text, '') AS text,"
         f" len(list_filter(regexp_split_to_array(coalesce(text, ''), '{w}'), lambda x: x <> '')) AS n_tokens FROM documents)",
-        "t AS (SELECT *, CASE WHEN n_tokens < 50 THEN 'brief' WHEN n_tokens < 12 * len(string_split(text, chr(10))) THEN 'listed' WHEN n_tokens >= 1000 THEN 'long' ELSE 'prose' END AS topic FROM d)",
+        f"h AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: list_contains([{words}], x)) AS hits FROM d)",
+        f"t AS (SELECT *, CASE WHEN len(hits) = 0 THEN '{GENERAL}' {topics} END AS topic FROM (SELECT *, {counts}, greatest({', '.join(f'c_{t}' for t in TOPIC_WORDS)}) AS most FROM h))",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens) / sum(sum(n_tokens)) OVER () AS w FROM t GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for d in DIMENSIONS:
         out.append(f"g_{d} AS MATERIALIZED (SELECT {d}, pow(sum(tokens), {TEMPER[d]}) / sum(pow(sum(tokens), {TEMPER[d]})) OVER () AS target FROM w0 GROUP BY {d})")
     n = 0
-    for _ in range(ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for d in DIMENSIONS:
             out.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * target / sum(w) OVER (PARTITION BY {d}) AS w FROM w{n} JOIN g_{d} USING ({d}))")
             n += 1
