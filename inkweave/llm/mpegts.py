@@ -244,6 +244,11 @@ def features(streams: list[Stream]) -> str:
     return ";".join(out)
 
 
+def access_times(streams: list[Stream]) -> str:
+    """pid:time of every random-access point with a time, by program and pid, comma-joined."""
+    return ",".join(f"{s.pid}:{p}" for s in streams for p, a in zip(s.pts, s.access, strict=True) if a and p is not None)
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media) for each row of docs: the whole text, filled up to whole units, as a transport stream.
 
@@ -265,7 +270,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """stored(id, n_bytes, media) with payload, feature, payload_bytes and tail_crc32 of what is read back.
+    """stored(id, n_bytes, media) with payload, feature, access_points, payload_bytes and tail_crc32 of what is read back.
 
     payload is the data of all streams, by program and pid. Null and unreadable media have none.
     """
@@ -278,11 +283,12 @@ def read_media(stored: DataFrame) -> DataFrame:
                 b.column("id"), b.column("n_bytes"), pa.array([len(m.as_py() or b"") for m in b.column("media")], pa.int64()),
                 pa.array([hashlib.sha256(m.as_py() or b"").hexdigest() for m in b.column("media")], pa.string()), pa.array(data, pa.binary()),
                 pa.array([zlib.crc32(d[-32:]) for d in data], pa.int64()), pa.array(map(features, streams), pa.string()),
+                pa.array(map(access_times, streams), pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media_bytes", "media_sha256", "payload", "tail_crc32", "feature"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media_bytes", "media_sha256", "payload", "tail_crc32", "feature", "access_points"])
 
     kind = stored.schema["id"].dataType.simpleString()
-    return stored.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload binary, tail_crc32 long, feature string")
+    return stored.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload binary, tail_crc32 long, feature string, access_points string")
 
 
 def access_points(stored: DataFrame) -> DataFrame:
@@ -309,7 +315,7 @@ def op2_media_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_media(store_texts(read_table(spark, sf_dir, "documents")))
     return back.select(
         F.col("id").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "tail_crc32", "media_bytes", "media_sha256", "feature", "access_points",
     )
 
 

@@ -77,6 +77,8 @@ def test_rows(spark, tmp_path):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(ts.store(payload)).hexdigest() and r["media_bytes"] == len(ts.store(payload))
+        units = len(payload) // 576
+        assert r["access_points"] == ",".join(f"{ts.DATA_PID}:{k * ts.TICKS}" for k in range(0, units, ts.ACCESS_EVERY))
     assert ts.read_media(ts.store_texts(df.limit(0))).count() == 0
 
 
