@@ -30,3 +30,28 @@ SCHEMA_SLOTS = {"int": "age", "time": "time", "loc": "place", "rel": "relation",
 DESCRIPTIVE_SUFFIXES = ("하는", "하던", "되는", "된", "던", "린", "같은", "스러운")
 FRONT_MATTER = ("all rights", "produced in korea", "머리말", "프롤로그", "prologue", "차례")
 UNSUPPORTED_HEADERS = (r"(?i)^\s*(?:chapter|ch(?:apter)?\.?)\s*\d{1,5}\b", r"^\s*제\s*\d{1,5}\s*장(?:\s|$)", r"^\s*(?:서장|종장|외전|프롤로그|에필로그)(?:\s|$)")
+
+# Fixed values of the extraction rules: words of the grammar and of the gates on what it finds.
+#: slot -> words that label it at a line's beginning or before a particle
+SLOT_LABELS = {
+    "age": ("나이",), "time": ("시간", "시점", "날짜"), "place": ("장소", "위치"), "relation": ("관계",), "affiliation": ("소속",), "job": ("직업", "클래스"), "talent": ("재능",),
+}
+TOPIC_PARTICLES = ("은", "는", "이", "가")
+COPULAS = ("이었다", "였다", "이다", "입니다", "이며", "이고", "이자", "였고", "였으니", "였구나")
+KIN = ("아들", "딸", "동생", "형제", "손녀딸", "손자")
+TIES = ("사제", "조력자", "배신자")
+TITLES = ("황녀", "왕자", "왕녀", "공주")
+DEATH_STATEMENTS = ("사망했다", "사망한 상태다", "사망함", "죽었다", "죽었어", "죽었네")
+#: A value that begins with one of these words, has one of these later, or ends in one of these endings is a clause, not a name.
+LEADING_NOISE = ("그러자", "그리고", "하지만", "그저", "저놈이", "저에게", "이제", "처음")
+LOW_SIGNAL_WORDS = ("수", "것", "편", "정도", "경우", "때문", "위해", "위한", "식", "바", "가지")
+CLAUSE_ENDINGS = (
+    "이었다", "였다", "이다", "했다", "한다", "된다", "됐다", "있다", "없다", "있었다", "없었다", "않았다", "않는다", "아니다", "아니었다", "싶다", "싶소", "겠지", "겠다", "거든", "는데", "지만", "라면", "라고", "라며",
+    "일까", "를까", "구나", "나요", "까요", "리라", "않아", "습니다", "됩니다", "합니다", "해요", "예요", "군", "네", "아요", "어요", "으니", "으니까", "여도", "고",
+)
+NONFINAL_ENDINGS = ("는", "하는", "되는", "했던", "하던", "하며", "하고", "해서", "같은", "있는", "없는", "중인", "에게", "에서", "으로", "까지", "부터", "명의")
+#: Endings of a slot's words that describe what follows them, when a head is compared with a longer value.
+HEAD_DESCRIPTIVE = ("는", "하는", "되는", "했던", "하던", "하다", "했다", "하며", "하고", "해서", "같은", "있는", "없는", "중인")
+#: Words behind a relation that make it the topic of something else.
+RELATION_TAILS = ("문제", "사건", "계획", "소문", "이야기", "일", "건", "관련", "기록", "쟁탈전", "토벌")
+REPORTED_ENDINGS = ("입니다", "이다", "였다", "이었다", "이었습니다", "이었소", "이었지", "이었네", "이에요", "예요", "라고", "라며", "랍니다", "라네", "이랍니다")

@@ -43,14 +43,28 @@ def snippet(text: Column, term: Column, width: int = 200, before: int = 50) -> C
     return F.when(at > 0, F.substring(text, start, F.lit(width))).otherwise(F.substring(text, 1, width))
 
 
+#: Lengths that are summed in one go; a fold's output is copied as it grows, so it is kept short.
+FOLD = 256
+
+
+def running_starts(lengths: Column) -> Column:
+    """Where each of consecutive pieces begins, from their lengths: linear in their number but for its 256th part."""
+    fold = lambda xs, at: F.aggregate(xs, F.struct(at.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    once = lambda value, fn: F.element_at(F.transform(F.array(value), fn), 1)
+    blocks = lambda ls: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(ls), F.lit(1)) - 1) / FOLD).cast("int")), lambda b: F.slice(ls, b * FOLD + 1, FOLD))
+    return once(lengths, lambda ls: once(blocks(ls), lambda bs: once(fold(F.transform(bs, total), F.lit(0)), lambda at: F.flatten(F.zip_with(bs, at, fold)))))
+
+
 def line_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, idx, start, end, line) of the lines that aren't blank, idx by their order.
 
-    A line's end is the running sum of lengths inside its document; no line leaves its row.
+    A line's start is the running sum of lengths inside its document; no line leaves its row.
     """
     lines = F.split(F.col(text), "\n", -1)
-    ends = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,l:string>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), x.alias("l")))).alias("out")), lambda a: a["out"])
-    kept = F.filter(ends, lambda x: F.trim(x["l"]) != "")
+    starts = running_starts(F.transform(lines, lambda x: (F.length(x) + 1).cast("bigint")))
+    both = F.zip_with(lines, starts, lambda x, s: F.struct(s.cast("int").alias("s"), x.alias("l")))
+    kept = F.filter(both, lambda x: F.trim(x["l"]) != "")
     out = df.select(key, F.posexplode(kept).alias("idx", "x"))
     return out.select(key, "idx", F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.l")).alias("end"), F.trim("x.l").alias("line"))
 
@@ -60,15 +74,19 @@ def next_boundaries(spans: DataFrame, key: str, start: str = "start", last: str
     return spans.withColumn("until", F.coalesce(F.lead(start).over(Window.partitionBy(key).orderBy(start)), F.col(last)))
 
 
+#: Characters of the longest token that is looked at before a stop.
+LONGEST_TOKEN = 64
+
+
 def is_abbreviation(text: str, at: int) -> bool:
-    """Whether the stop at this place ends a known abbreviation, an ordinal number or an initial."""
+    """Whether the stop at this place ends a known abbreviation or an ordinal number, or an initial with a capital right behind it."""
     begin = at
-    while begin > 0 and not text[begin - 1].isspace():
+    while begin and at - begin < LONGEST_TOKEN and (text[begin - 1] in "._" or text[begin - 1].isalnum()):
         begin -= 1
-    token = text[begin : at + 1].lstrip("\"'([{‘“").lower()
+    token = text[begin : at + 1].lower()
     if token in lx.ABBREVIATIONS or re.fullmatch(r"\d+(?:st|nd|rd|th)\.", token):
         return True
-    return bool(re.fullmatch(r"[a-z]\.", token)) and at + 1 < len(text) and text[at + 1] != "\n"
+    return bool(re.fullmatch(r"[a-z]\.", token)) and text[at + 1 : at + 2].isalpha() and text[at + 1].isupper()
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:

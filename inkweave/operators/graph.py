@@ -67,3 +67,17 @@ def boost(distance: Column, seed: Column, weight: float = 0.25) -> Column:
 def signal_index(labels: DataFrame, doc: str, text: str) -> DataFrame:
     """(token, signal): which whole signals have a token, to look up before they are verified."""
     return labels.select(F.lower(F.trim(text)).alias("signal")).distinct().select(F.explode(F.array_distinct(terms(F.col("signal")))).alias("token"), "signal")
+
+
+def source_stamps(tables: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """(source_table, n, stamp) of the tables that a graph is built from; a stamp doesn't depend on the rows' order."""
+    hashed = lambda cs: F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cs]).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    stamp = lambda cs: F.pmod(F.coalesce(F.sum(hashed(cs)), F.lit(0).cast("decimal(38,0)")), F.lit(1000000007)).cast("long")
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n"), stamp(cs).alias("stamp")).select(F.lit(t).alias("source_table"), "n", "stamp") for t, df, cs in tables])
+
+
+def stale_sources(now: DataFrame, kept: DataFrame) -> DataFrame:
+    """now with stale: whether a table's stamp differs from the kept one or was never kept. A graph is rebuilt if any is."""
+    old = kept.select("source_table", F.col("n").alias("_n"), F.col("stamp").alias("_stamp"))
+    same = (F.col("n") == F.col("_n")) & (F.col("stamp") == F.col("_stamp"))
+    return now.join(old, "source_table", "left").select("source_table", "n", "stamp", (~F.coalesce(same, F.lit(False))).alias("stale"))

@@ -40,6 +40,25 @@ def doc_scope(docs: DataFrame, inputs: DataFrame, window: int = 10) -> DataFrame
     return itself.union(world).union(near).distinct()
 
 
+def doc_scope_sizes(docs: DataFrame, inputs: DataFrame, window: int = 10) -> DataFrame:
+    """(input_id, n_docs): how many documents are in each input's scope, without listing them.
+
+    Documents are counted by project and by episode before they meet, so a project's size shows
+    in its counts alone. inputs have (input_id, project, type, episode) and are among docs.
+    """
+    world_type = F.col("type").isin(*WORLD_TYPES)
+    episodic = (F.col("type") == "EPISODE") & F.col("episode").isNotNull()
+    world = docs.where(world_type).groupBy("project").agg(F.count("*").alias("n_world"))
+    counts = docs.where(episodic).groupBy("project", "episode").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("episode") / window))
+    asked = inputs.where("episode is not null").select("project", F.col("episode").alias("at")).distinct()
+    asked = asked.withColumn("block", F.explode(F.array(*[F.floor(F.col("at") / window) + k for k in (-1, 0, 1)])))
+    near = counts.join(asked, ["project", "block"]).where(F.abs(F.col("episode") - F.col("at")) <= window).groupBy("project", F.col("at").alias("episode")).agg(F.sum("n").alias("n_near"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    itself = F.when(F.coalesce(F.col("project").isNotNull() & (world_type | episodic), F.lit(False)), 0).otherwise(1)
+    both = inputs.join(world, "project", "left").join(near, ["project", "episode"], "left")
+    return both.select("input_id", (n(F.col("n_world")) + n(F.col("n_near")) + itself).alias("n_docs"))
+
+
 def time_value_valid(v: Column) -> Column:
     """Whether a time is one: hours and minutes, or month and day, in range; other texts pass."""
     hour, minute = (F.regexp_extract(v, r"^(\d{1,2}):(\d{2})$", k).try_cast("int") for k in (1, 2))

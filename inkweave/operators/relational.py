@@ -125,3 +125,8 @@ def attributes_as_facts(df: DataFrame, entity: str, columns: list[str]) -> DataF
     """(entity_id, tag_path, value): one row for each attribute that isn't null."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f"attr/{c}").alias("tag_path"), F.col(c).cast("string").alias("value")) for c in columns]))
     return df.select(F.col(entity).alias("entity_id"), pairs.alias("p")).select("entity_id", "p.*").where("value is not null")
+
+
+def listed(df: DataFrame, order: list[Column], asked: int, least: int, most: int) -> DataFrame:
+    """The first rows in an order, as many as are asked for within a listing's own bounds."""
+    return df.orderBy(*order).limit(max(least, min(most, asked)))

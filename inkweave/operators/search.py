@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,48 +22,193 @@ def top_k(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries that go whole to every task at most; more are scored over postings that are shuffled. Queries that are scored together.
+TASK_QUERIES, TOGETHER = 20_000, 256
+
+
+#: Documents that are scored together.
+ROWS = 256
+
+
+def _features(counts: Counter, place: dict[str, int], repeats: bool) -> list[tuple[int, int]]:
+    """(place, count) of a text's known terms; with repeats the second and further ones of a term are terms of their own."""
+    own = counts.keys() & place.keys()
+    if not repeats:
+        return [(place[w], counts[w]) for w in own]
+    return [(place[w], 1) for w in own] + [(place[f], 1) for w in own for i in range(1, counts[w]) if (f := f"{w} {i}") in place]
+
+
+def scored_in_place(docs: DataFrame, asked: dict[int, dict[str, float]], k: int, weight: tuple[float, float, float] | None, repeats: bool = False) -> DataFrame:
+    """(query, doc, score): at most k best documents of each query and task, by a weighted sum over the terms they share.
+
+    docs has (doc, words), its terms joined by blanks; asked has the terms' weights by query. Documents stay where they
+    are: every task keeps k a query, so what is sent on grows with the tasks, never with pairs that share a term. weight
+    is (k1, b, mean length) of BM25, or None for a plain sum. repeats has a term's further occurrences as "term 1" and on.
+    """
+    groups = []
+    ids = sorted(asked)
+    for at in range(0, len(ids), TOGETHER):
+        own = ids[at : at + TOGETHER]
+        names = sorted({t for q in own for t in asked[q]})
+        place = {t: i for i, t in enumerate(names)}
+        matrix = np.zeros((len(names), len(own)))
+        for j, q in enumerate(own):
+            for t, x in asked[q].items():
+                matrix[place[t], j] = x
+        groups.append((np.array(own, np.int64), place, matrix))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for p in parts:
+            for at in range(0, len(p), ROWS):
+                counts = [Counter(t.split(" ")) if t else Counter() for t in p["words"].iloc[at : at + ROWS]]
+                own = p["doc"].iloc[at : at + ROWS].to_numpy()
+                length = np.array([c.total() for c in counts], float)
+                new = []
+                for names, place, matrix in groups:
+                    seen = np.zeros((len(counts), len(place)))
+                    for i, c in enumerate(counts):
+                        for f, n in _features(c, place, repeats):
+                            seen[i, f] = n
+                    if weight:
+                        k1, b, mean = weight
+                        seen = seen * (k1 + 1) / (seen + (k1 * (1 - b + b * length / mean))[:, None])
+                    raw = seen @ matrix
+                    s = np.round(raw, 6)
+                    many = min(k, len(own))
+                    floor = np.partition(s, len(own) - many, axis=0)[len(own) - many]  # what ties with the last one stays, for the order by document
+                    i, j = np.nonzero((s >= floor) & (raw > 0))
+                    new.append(pd.DataFrame({"query": names[j], "doc": own[i], "score": s[i, j]}))
+                best = pd.concat([*([best] if best is not None else []), *new]).sort_values(["query", "score", "doc"], ascending=[True, False, True]).groupby("query").head(k) if new else best
+        if best is not None and len(best):
+            yield best
+
+    return docs.mapInPandas(run, "query long, doc long, score double")
+
+
+def _by_query(asked: DataFrame) -> dict[int, Counter] | None:
+    """The terms of each query of asked(query, ts), or None where there are more than TASK_QUERIES."""
+    rows = asked.limit(TASK_QUERIES + 1).collect()
+    return {r["query"]: Counter(r["ts"]) for r in rows} if len(rows) <= TASK_QUERIES else None
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int, kept: Column | None = None, text: str = "text", most_terms: int = 24) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query; better scores are lower.
 
-    Statistics are those of the whole corpus, kept only says which of its rows may be results.
-    The corpus is cut to the queries' terms before anything is counted, and counts are summed
-    before they move, so common terms don't gather in one task.
+    Statistics are those of the whole corpus, kept only says which of its rows may be results. Up to
+    TASK_QUERIES queries go to the documents, which are scored where they are; more of them meet the
+    documents over postings of the queries' terms. Query and document ids are integers.
     """
     docs = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts"), (kept if kept is not None else F.lit(True)).alias("kept"))
+    asked = queries.select(F.col(query).alias("query"), terms(F.col(text), most_terms).alias("ts"))
+    own = _by_query(asked)
+    scored = _bm25_over_postings(docs, asked) if own is None else _bm25_in_place(docs, own, k)
+    return top_k(scored, "query", [F.col("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
+
+
+def _idf(n: float, n_t: float) -> float:
+    x = math.log((n - n_t + 0.5) / (n_t + 0.5))
+    return x if x > 0 else 1e-6
+
+
+def _bm25_in_place(docs: DataFrame, asked: dict[int, Counter], k: int) -> DataFrame:
+    known = {t for q in asked.values() for t in q}
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n, length = Counter(), 0, 0
+        for p in parts:
+            for t in p["words"]:
+                words = t.split(" ") if t else []
+                found.update(known.intersection(words))
+                n, length = n + 1, length + len(words)
+        yield pd.DataFrame([("", n, length), *((t, c, 0) for t, c in found.items())], columns=["term", "n", "length"])
+
+    flat = docs.select("doc", "kept", F.array_join("ts", " ").alias("words"))
+    sums = {r["term"]: r for r in flat.select("words").mapInPandas(count, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()}  # a row for each term of the queries
+    if not sums or not sums[""]["n"]:
+        return docs.sparkSession.createDataFrame([], "query long, doc long, score double")
+    n, mean = sums[""]["n"], (sums[""]["length"] / sums[""]["n"]) or 1.0
+    weights = {q: {t: _idf(n, sums[t]["n"]) for t in ts if t in sums} for q, ts in asked.items()}
+    found = scored_in_place(flat.where("kept").select("doc", "words"), weights, k, (K1, B, mean))
+    return found.select("query", "doc", (-F.col("score")).alias("score"))
+
+
+def _bm25_over_postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, doc, score) of all pairs that share a term, for more queries than a task can hold.
+
+    The corpus is cut to the queries' terms before anything is counted, and counts are summed
+    before they move.
+    """
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
-    asked = queries.select(F.col(query).alias("query"), F.explode(terms(F.col(text), most_terms)).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    tokens = docs.select("doc", "kept", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(vocabulary, "term", "left_semi")
+    wanted = asked.select("query", F.explode("ts").alias("term"))
+    tokens = docs.select("doc", "kept", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = tokens.groupBy("doc", "kept", "dl", "term").agg(F.count("*").alias("tf"))
     idf = F.log((F.lit(stats["n"]) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     df = tf.groupBy("term").agg(F.count("*").alias("n_t")).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    weighted = asked.join(df, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    scored = tf.where("kept").join(weighted, "term").groupBy("query", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
-    return top_k(scored, "query", [F.col("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
+    return tf.where("kept").join(wanted.join(df, "term"), "term").groupBy("query", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
+
+
+#: Characters of a query that are its phrase, and terms whose run is looked up before the whole phrase is compared.
+PHRASE_CHARS, RUN = 180, 6
+
+
+def phrase_of(text: Column, compat: bool = False) -> Column:
+    """The terms that lie whole in a text's first PHRASE_CHARS characters; as first written, a term cut in two counts as it is cut."""
+    cut = F.regexp_replace(F.substring(text, 1, PHRASE_CHARS + 1), r"[\p{L}\p{N}]+$", "")
+    return terms(F.substring(text, 1, PHRASE_CHARS) if compat else F.when(F.length(text) > PHRASE_CHARS, cut).otherwise(text))
 
 
-def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str, n: int = 6, text: str = "text") -> DataFrame:
-    """(query, doc): documents that hold the first n terms of a query in a row.
+def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", compat: bool = False) -> DataFrame:
+    """(query, doc): documents that hold the terms of a query's beginning (phrase_of) in a row.
 
-    Runs of n terms are joined by a 64-bit hash and then compared in full.
+    A query is looked up by the hash of its first RUN terms, or of all it has if they are fewer, among
+    the documents' runs of that many; where the hash is met, the whole phrase is compared. Queries
+    without terms match nothing.
     """
-    phrase = F.slice(terms(F.col(text)), 1, n)
-    asked = queries.select(F.col(query), phrase.alias("phrase")).where(F.size("phrase") == n).withColumn("h", F.xxhash64("phrase"))
-    ts = corpus.select(F.col(doc), terms(F.col(text)).alias("ts")).where(F.size("ts") >= n)
-    runs = ts.select(doc, F.explode(F.transform(F.arrays_zip(*[F.slice("ts", i + 1, F.size("ts") - n + 1).alias(f"t{i}") for i in range(n)]), lambda x: F.array(*[x[f"t{i}"] for i in range(n)]))).alias("run"))
-    hits = runs.withColumn("h", F.xxhash64("run")).join(asked, "h").where("run = phrase")
-    return hits.select(query, doc).distinct()
+    asked = queries.select(F.col(query).alias("query"), phrase_of(F.col(text), compat).alias("phrase")).where("size(phrase) > 0")
+    asked = asked.withColumn("n", F.least(F.size("phrase"), F.lit(RUN))).withColumn("h", F.xxhash64(F.slice("phrase", 1, F.col("n"))))
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # RUN at most
+    docs = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts"))
+    found = None
+
+    def hashes(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.xxhash64(F.slice("ts", i, F.lit(n))))
+
+    for n in sizes:
+        runs = docs.where(F.size("ts") >= n).select("doc", F.posexplode(hashes(n)).alias("at", "h"))
+        hits = runs.join(asked.where(F.col("n") == n), "h").select("query", "phrase", "doc", "at")
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return queries.join(corpus.select(doc).limit(0), F.lit(False)).select(query, doc)
+    whole = found.join(docs, "doc").where(F.slice("ts", F.col("at") + 1, F.size("phrase")) == F.col("phrase"))
+    return whole.select(F.col("query").alias(query), F.col("doc").alias(doc)).distinct()
 
 
 def overlap_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int, text: str = "text") -> DataFrame:
-    """(query, doc, score, rank): shared terms as multisets, over the query's number of terms."""
-    count = lambda df, key: df.select(F.col(key).alias(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias(f"n_{key}"))
-    asked = count(queries, query)
-    total = asked.groupBy(query).agg(F.sum(f"n_{query}").alias("total"))
-    shared = asked.join(count(corpus, doc), "term").groupBy(query, doc).agg(F.sum(F.least(f"n_{query}", f"n_{doc}")).alias("shared"))
-    scored = shared.join(total, query).select(query, doc, F.round(F.col("shared") / F.col("total"), 6).alias("score"))
-    return top_k(scored, query, [F.desc("score"), F.col(doc)], k)
+    """(query, doc, score, rank): shared terms as multisets, over the query's number of terms.
+
+    As in bm25, up to TASK_QUERIES queries go to the documents; more are joined by term, the corpus
+    cut to the queries' terms first.
+    """
+    asked = queries.select(F.col(query).alias("query"), terms(F.col(text)).alias("ts"))
+    own = _by_query(asked)
+    if own is not None:
+        weights = {q: {t if i == 0 else f"{t} {i}": 1.0 for t, n in ts.items() for i in range(n)} for q, ts in own.items() if ts}
+        flat = corpus.select(F.col(doc).cast("long").alias("doc"), F.array_join(terms(F.col(text)), " ").alias("words"))
+        # counts are whole, so the k best of a query by count are those by share
+        found = scored_in_place(flat, weights, k, None, repeats=True)
+        totals = corpus.sparkSession.createDataFrame([(q, sum(ts.values())) for q, ts in own.items()], "query long, total long")
+        scored = found.join(F.broadcast(totals), "query").select("query", "doc", F.round(F.col("score") / F.col("total"), 6).alias("score"))
+    else:
+        count = lambda df, key: df.select(key, F.explode("ts").alias("term")).groupBy(key, "term").agg(F.count("*").alias(f"n_{key}"))
+        wanted = count(asked, "query")
+        total = wanted.groupBy("query").agg(F.sum("n_query").alias("total"))
+        theirs = corpus.select(F.col(doc).alias("doc"), F.explode(terms(F.col(text))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+        theirs = theirs.groupBy("doc", "term").agg(F.count("*").alias("n_doc"))
+        shared = wanted.join(theirs, "term").groupBy("query", "doc").agg(F.sum(F.least("n_query", "n_doc")).alias("shared"))
+        scored = shared.join(total, "query").select("query", "doc", F.round(F.col("shared") / F.col("total"), 6).alias("score"))
+    return top_k(scored, "query", [F.desc("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
 
 
 def base_strength(score: Column, full_text: bool = True) -> Column:

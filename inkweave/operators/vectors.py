@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from inkweave.operators.search import top_k
 
 WIDTH = 96
-#: Most query vectors that are sent to every task; more are searched in several passes.
-QUERIES = 4096
+#: Query vectors that are compared with rows together, and rows that are, where queries and rows meet in blocks.
+QUERY_BLOCK, ROW_BLOCK = 2048, 65536
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -30,19 +31,19 @@ def bucket(token: str) -> tuple[int, int]:
 def hashed_embedding(text: str | None) -> list[float]:
     """Signed counts of a text's tokens by bucket, scaled to length one; zeros for a text without tokens."""
     v = np.zeros(WIDTH)
-    for token in WORDS.findall((text or "").lower()):
+    for token, n in Counter(WORDS.findall((text or "").lower())).items():
         at, sign = bucket(token)
-        v[at] += sign
+        v[at] += sign * n
     n = np.sqrt((v * v).sum())
     return (v / n if n else v).tolist()
 
 
-def embedded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, vec) of hashed embeddings."""
+def embedded(df: DataFrame, key: str, text: str = "text", embedding=hashed_embedding) -> DataFrame:
+    """(key, vec) of hashed embeddings; embedding may be triage_embedding. Keys are integers."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"key": p["key"], "vec": [hashed_embedding(t) for t in p["text"]]})
+            yield pd.DataFrame({"key": p["key"], "vec": [embedding(t) for t in p["text"]]})
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, vec array<double>").withColumnRenamed("key", key)
 
@@ -50,47 +51,41 @@ def embedded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, positive: bool = True) -> DataFrame:
     """(query, key, score, rank): the k rows of the largest cosine for each query vector; rows and queries have vec.
 
-    Queries go out in blocks of a fixed size, and every task sends back k rows a query at
-    most, so what is ranked in the end doesn't grow with the rows. positive leaves out scores
-    of zero and less.
+    Rows and queries are dealt out to blocks of bounded size by their ids, and every block of the
+    one meets every block of the other in a task of its own, which sends on k rows a query at most:
+    memory is bounded whatever either side holds, and no vector passes through the driver. A single
+    block of queries, the usual case, goes to the rows' blocks without copies of rows. positive
+    leaves out scores of zero and less. Null vectors are no rows and no queries; ids are integers.
     """
-    asked = sorted(((r[query], r["vec"]) for r in queries.select(query, "vec").collect()), key=lambda x: x[0])
-    found = None
-    for at in range(0, max(len(asked), 1), QUERIES):
-        block = asked[at : at + QUERIES]
-        part = _block(rows, [i for i, _ in block], np.array([v for _, v in block], float).reshape(len(block), -1), key, query, k)
-        found = part if found is None else found.union(part)
+    mine = rows.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null")
+    asked = queries.select(F.col(query).cast("long").alias("query"), "vec").where("query is not null and vec is not null")
+    n_rows, n_asked = mine.count(), asked.count()
+    deal = lambda id_col, n, size: F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // size)))).cast("int")
+    blocks = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))
+    # a cluster's cores get work even where all rows would fit one block
+    size = max(1, min(ROW_BLOCK, -(-n_rows // rows.sparkSession.sparkContext.defaultParallelism)))
+    left = mine.withColumn("rb", deal("key", n_rows, size)).withColumn("qb", blocks(n_asked, QUERY_BLOCK))
+    right = asked.withColumn("qb", deal("query", n_asked, QUERY_BLOCK)).withColumn("rb", blocks(n_rows, size))
+
+    def compare(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(r) or not len(q):
+            return pd.DataFrame({"query": [], "key": [], "score": []})
+        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, 1.0)
+        v, w = (unit(np.stack([np.asarray(x, float) for x in d["vec"]])) for d in (r, q))
+        own, names, out = r["key"].to_numpy(), q["query"].to_numpy(), []
+        for at in range(0, len(names), 256):
+            s = np.round(w[at : at + 256] @ v.T, 6)
+            many = min(k, len(own))
+            floor = np.partition(s, len(own) - many, axis=1)[:, len(own) - many]
+            i, j = np.nonzero(s >= floor[:, None])  # what ties with the last one stays, for the order by key
+            found = pd.DataFrame({"query": names[at + i], "key": own[j], "score": s[i, j]})
+            out.append(found.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k))
+        return pd.concat(out)
+
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(compare, "query long, key long, score double")
     if positive:
         found = found.where("score > 0")
-    return top_k(found, query, [F.desc("score"), F.col(key)], k)
-
-
-def _block(rows: DataFrame, ids: list[int], q: np.ndarray, key: str, query: str, k: int) -> DataFrame:
-    length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-    q = q / np.where(length > 0, length, 1.0)
-    names = np.array(ids, np.int64)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for p in parts:
-            if not len(p) or not len(names):
-                continue
-            v = np.stack([np.asarray(x, float) for x in p["vec"]])
-            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            s = np.round(q @ (v / np.where(n > 0, n, 1.0)).T, 6)
-            own = p["key"].to_numpy()
-            many = min(k, len(p))
-            # all rows that tie with the last one stay, for the order by key to decide
-            floor = np.partition(s, len(p) - many, axis=1)[:, len(p) - many]
-            qi, vi = np.nonzero(s >= floor[:, None])
-            new = pd.DataFrame({"query": names[qi], "key": own[vi], "score": s[qi, vi]})
-            best = new if best is None else pd.concat([best, new])
-            best = best.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k)
-        if best is not None:
-            yield best
-
-    got = rows.select(F.col(key).alias("key"), "vec").where("vec is not null").mapInPandas(run, "query long, key long, score double")
-    return got.withColumnsRenamed({"query": query, "key": key})
+    return top_k(found.withColumnsRenamed({"query": query, "key": key}), query, [F.desc("score"), F.col(key)], k)
 
 
 def mean_vector(df: DataFrame, vec: str = "vec", by: str | None = None) -> DataFrame:

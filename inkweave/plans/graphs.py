@@ -108,3 +108,13 @@ def external_overlay(spark: SparkSession, d: str) -> DataFrame:
 @query("graph_signal_index", "WITH s AS (SELECT DISTINCT lower(trim(p_name)) AS signal FROM part) SELECT DISTINCT unnest(regexp_extract_all(signal, '[\\p{L}\\p{N}]+')) AS token, signal FROM s")
 def graph_signal_index(spark: SparkSession, d: str) -> DataFrame:
     return g.signal_index(read_table(spark, d, "part"), "p_partkey", "p_name")
+
+
+STAMP = "sum(('0x' || substr(md5({0}), 1, 12))::BIGINT)::HUGEINT % 1000000007"
+
+
+@query("kg_staleness", f"SELECT t AS source_table, n, stamp, t = 'supplier' AS stale FROM (SELECT 'nation' AS t, count(*) AS n, ({STAMP.format('n_nationkey || chr(124) || n_name')})::BIGINT AS stamp FROM nation UNION ALL SELECT 'supplier', count(*), ({STAMP.format('s_suppkey || chr(124) || s_name')})::BIGINT FROM supplier)")
+def kg_staleness(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the graph's source tables have changed since the stamp that was kept with it: here a supplier was missing then."""
+    stamps = lambda where: g.source_stamps([("nation", read_table(spark, d, "nation"), ["n_nationkey", "n_name"]), ("supplier", read_table(spark, d, "supplier").where(where), ["s_suppkey", "s_name"])])
+    return g.stale_sources(stamps("true"), stamps("s_suppkey > 1"))

@@ -9,7 +9,7 @@ from inkweave.catalogue import query
 from inkweave.operators import narrative as na
 from inkweave.operators import search as se
 from inkweave.operators import vectors as ve
-from inkweave.plans.retrieval import BM25
+from inkweave.plans.retrieval import BM25, hashed_sql
 from inkweave.plans.texts import LINES
 from inkweave.session import read_table
 
@@ -35,7 +35,7 @@ def self_evidence_filter(spark: SparkSession, d: str) -> DataFrame:
 def doc_scope(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 97 == 0, "SETTING").otherwise("EPISODE")
     docs = read_table(spark, d, "documents").select("doc_id", F.col("source").alias("project"), kind.alias("type"), F.floor(F.col("n_chars") / 10).alias("episode"))
-    return na.doc_scope(docs, docs.withColumnRenamed("doc_id", "input_id")).groupBy("input_id").agg(F.count("*").alias("n_docs"))
+    return na.doc_scope_sizes(docs, docs.withColumnRenamed("doc_id", "input_id"))
 
 
 @query("time_value_valid", "SELECT event_id, hh BETWEEN 0 AND 23 AND mm BETWEEN 0 AND 59 AS valid FROM (SELECT event_id, event_id % 30 AS hh, event_id % 70 AS mm FROM events)")
@@ -127,7 +127,13 @@ def preferred_cohort(spark: SparkSession, d: str) -> DataFrame:
     return na.preferred_cohort(read_table(spark, d, "documents").select("source", "doc_id", "lang"), "source", F.col("lang") == "es").select("source", "doc_id")
 
 
-@query("vector_job_pages")
+@query(
+    "vector_job_pages",
+    BM25 % "lang = 'en'" + ", " + hashed_sql("hd", "doc_id", "documents") + ", " + hashed_sql("hq", "item_id", "benchmark")
+    + ", hs AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score FROM hqv q JOIN hdv d USING (b) GROUP BY ALL), hk AS (SELECT * FROM hs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10),"
+    " v AS (SELECT item_id, doc_id, score, 'vector' AS source FROM hk JOIN documents USING (doc_id) WHERE lang = 'en'), b AS (SELECT * FROM v UNION ALL SELECT item_id, doc_id, -score, 'fts' FROM r WHERE rank <= 10 AND item_id NOT IN (SELECT item_id FROM v))"
+    " SELECT item_id, doc_id, score, source, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1) // 5 AS page FROM b QUALIFY rank <= 10",
+)
 def vector_job_pages(spark: SparkSession, d: str) -> DataFrame:
     """Vector search, filtered to English afterwards, full-text results where nothing is left, in pages of five."""
     docs, items = read_table(spark, d, "documents"), read_table(spark, d, "benchmark")

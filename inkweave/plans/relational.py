@@ -147,13 +147,13 @@ def episode_range_tightest(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "alias_unique_resolve",
     "WITH w AS (SELECT p_partkey, p_brand, p_size, unnest(string_split(lower(p_name), ' ')) AS alias FROM part),"
-    " a AS (SELECT alias, min(p_brand) AS brand, count(DISTINCT p_brand) AS n FROM w WHERE p_size >= 49 GROUP BY alias),"
-    " r AS (SELECT p_partkey, min(brand) AS brand, count(DISTINCT brand) AS n FROM w LEFT JOIN a ON w.alias = a.alias AND a.n <= 2 GROUP BY p_partkey)"
+    " a AS (SELECT alias, min(p_brand) AS brand, count(DISTINCT p_brand) AS n FROM w GROUP BY alias),"
+    " r AS (SELECT p_partkey, min(brand) AS brand, count(DISTINCT brand) AS n FROM w LEFT JOIN a ON w.alias = a.alias GROUP BY p_partkey)"
     " SELECT p_partkey, CASE WHEN n = 1 THEN brand END AS entity, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS state FROM r",
 )
 def alias_unique_resolve(spark: SparkSession, d: str) -> DataFrame:
     words = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.split(F.lower("p_name"), " ")).alias("alias"))
-    index = words.where("p_size >= 49").groupBy("alias").agg(F.min("p_brand").alias("brand"), F.count_distinct("p_brand").alias("n")).where("n <= 2")
+    index = words.groupBy("alias").agg(F.min("p_brand").alias("brand"))
     value, state = iv.unique_or_ambiguous(F.col("brands"))
     found = words.join(index.select("alias", "brand"), "alias", "left").groupBy("p_partkey").agg(F.collect_set("brand").alias("brands"))
     return found.select("p_partkey", value.alias("entity"), state.alias("state"))
@@ -363,3 +363,30 @@ def verdict_evidence_join(spark: SparkSession, d: str) -> DataFrame:
     rows = links.join(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(read_table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy("o_orderpriority", "l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))
+
+
+@query("distinct_discovery", "SELECT DISTINCT event_type, user_id % 5 AS shard FROM events ORDER BY 1, 2 LIMIT 12")
+def distinct_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """The first values that a table has, as a listing shows them."""
+    return read_table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("shard")).distinct().orderBy("event_type", "shard").limit(12)
+
+
+@query("capped_lists", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def capped_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A listing asked for 5000 rows gets what its limit allows, the newest."""
+    return rel.listed(read_table(spark, d, "events").select("event_id", "event_type"), [F.desc("event_id")], 5000, 1, 200)
+
+
+@query("replaced_partitions", "SELECT p_brand, count(*) AS n, sum(CASE WHEN p_brand = 'Brand#1' THEN p_size + 1 ELSE p_size END)::BIGINT AS sizes FROM part GROUP BY p_brand")
+def replaced_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """A table written by partition, one partition of it replaced, read again."""
+    import uuid
+
+    from inkweave.session import shared_folder
+    from inkweave.sources import files
+
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    part = read_table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    files.replace_partitions(part, path, "p_brand")
+    files.replace_partitions(part.where("p_brand = 'Brand#1'").withColumn("p_size", F.col("p_size") + 1), path, "p_brand")
+    return spark.read.parquet(path).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("sizes"))

@@ -42,7 +42,8 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "phrase_search",
-    f"WITH q AS (SELECT item_id, ' ' || array_to_string(list_slice({T.format('text')}, 1, 6), ' ') || ' ' AS phrase FROM benchmark WHERE len({T.format('text')}) >= 6),"
+    f"WITH c AS (SELECT item_id, CASE WHEN length(text) > 180 THEN regexp_replace(substr(text, 1, 181), '[\\p{{L}}\\p{{N}}]+$', '') ELSE text END AS beginning FROM benchmark),"
+    f" q AS (SELECT item_id, ' ' || array_to_string({T.format('beginning')}, ' ') || ' ' AS phrase FROM c WHERE len({T.format('beginning')}) > 0),"
     f" d AS (SELECT doc_id, ' ' || array_to_string({T.format('text')}, ' ') || ' ' AS flat FROM documents) SELECT item_id, doc_id FROM q JOIN d ON contains(flat, phrase)",
 )
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +61,7 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def _hashed(n: str, key: str, table: str) -> str:
+def hashed_sql(n: str, key: str, table: str) -> str:
     h = lambda *at: "('0x' || " + " || ".join(f"substr(h, {i}, 2)" for i in at) + ")::BIGINT"
     return (
         f"{n}t AS (SELECT {key} AS id, sha256(unnest({T.format('text')})) AS h FROM {table}),"
@@ -71,7 +72,7 @@ def _hashed(n: str, key: str, table: str) -> str:
 
 @query(
     "hashed_embed_search",
-    "WITH " + _hashed("d", "doc_id", "documents") + ", " + _hashed("q", "item_id", "benchmark") + ", s AS (SELECT qv.id AS item_id, dv.id AS doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (b) GROUP BY ALL)"
+    "WITH " + hashed_sql("d", "doc_id", "documents") + ", " + hashed_sql("q", "item_id", "benchmark") + ", s AS (SELECT qv.id AS item_id, dv.id AS doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (b) GROUP BY ALL)"
     " SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3",
 )
 def hashed_embed_search(spark: SparkSession, d: str) -> DataFrame:
@@ -148,18 +149,39 @@ NUM = "list_distinct(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x:
 
 @query(
     "nli_heuristic",
-    f"WITH j AS (SELECT doc_id, list_distinct({T.format('d.text')}) AS p, list_distinct({T.format('b.text')}) AS h, {NUM.format('d.text')} AS np, {NUM.format('b.text')} AS nh FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),"
+    BM25 % "true" + f", j AS (SELECT r.item_id, r.doc_id, list_distinct({T.format('d.text')}) AS p, list_distinct({T.format('b.text')}) AS h, {NUM.format('d.text')} AS np, {NUM.format('b.text')} AS nh FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON r.item_id = b.item_id WHERE rank <= 3),"
     " c AS (SELECT *, len(list_intersect(p, h)) / greatest(len(h), 1) AS cov, len(list_intersect(p, h)) / greatest(len(p), 1) AS pre,"
     " (len(np) > 0 AND len(nh) > 0 AND NOT list_has_any(np, nh))::INT AS num, list_has_any(p, ['not', 'no', 'never', 'none', 'without', 'cannot', 'can''t', 'isnt', 'isn''t']) AS pn,"
     " list_has_any(h, ['not', 'no', 'never', 'none', 'without', 'cannot', 'can''t', 'isnt', 'isn''t']) AS hn, ("
     + " OR ".join(f"(list_contains(p, '{a}') AND list_contains(h, '{b}')) OR (list_contains(p, '{b}') AND list_contains(h, '{a}'))" for a, b in (("alive", "dead"), ("before", "after"), ("older", "younger"), ("inside", "outside"), ("same", "different")))
-    + ")::INT AS opp FROM j), s AS (SELECT *, num + opp + (pn <> hn AND cov > 0.25)::INT AS sig FROM c),"
-    f" e AS (SELECT *, {CL.format('0.08 + 0.72 * cov + 0.20 * pre')} AS e0, CASE WHEN sig > 0 THEN {CL.format('0.35 + 0.22 * sig + 0.20 * (1 - cov)')} ELSE {CL.format('0.04 + 0.16 * (1 - cov)')} END AS con FROM s),"
+    + ")::INT AS opp FROM j), sg AS (SELECT *, num + opp + (pn <> hn AND cov > 0.25)::INT AS sig FROM c),"
+    f" e AS (SELECT *, {CL.format('0.08 + 0.72 * cov + 0.20 * pre')} AS e0, CASE WHEN sig > 0 THEN {CL.format('0.35 + 0.22 * sig + 0.20 * (1 - cov)')} ELSE {CL.format('0.04 + 0.16 * (1 - cov)')} END AS con FROM sg),"
     f" f AS (SELECT *, CASE WHEN sig > 0 AND e0 > 0.2 THEN e0 * 0.7 ELSE e0 END AS ent FROM e), g AS (SELECT *, {CL.format('1 - greatest(ent, con)')} AS neu FROM f)"
-    " SELECT doc_id, round(CASE WHEN len(p) = 0 OR len(h) = 0 THEN 0.0 WHEN cov >= 0.95 AND pre >= 0.55 AND sig = 0 THEN 0.96 ELSE ent / (ent + con + neu) END, 6) AS entail,"
+    " SELECT item_id, doc_id, round(CASE WHEN len(p) = 0 OR len(h) = 0 THEN 0.0 WHEN cov >= 0.95 AND pre >= 0.55 AND sig = 0 THEN 0.96 ELSE ent / (ent + con + neu) END, 6) AS entail,"
     " round(CASE WHEN len(p) = 0 OR len(h) = 0 THEN 0.0 WHEN cov >= 0.95 AND pre >= 0.55 AND sig = 0 THEN 0.02 ELSE con / (ent + con + neu) END, 6) AS contradict FROM g",
 )
 def nli_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    both = docs.join(_items(spark, d).withColumnRenamed("text", "hypothesis"), "item_id")
-    return se.entailment(both, "text", "hypothesis").select("doc_id", F.round("entail", 6).alias("entail"), F.round("contradict", 6).alias("contradict"))
+    """Entailment of every item by its three best documents."""
+    found = se.bm25(_docs(spark, d), _items(spark, d), "doc_id", "item_id", 3).select("item_id", "doc_id")
+    both = found.join(_items(spark, d).withColumnRenamed("text", "hypothesis"), "item_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return se.entailment(both, "text", "hypothesis").select("item_id", "doc_id", F.round("entail", 6).alias("entail"), F.round("contradict", 6).alias("contradict"))
+
+
+def _triage(n: str, key: str, table: str) -> str:
+    """The other hashed embedding, over terms of ASCII and Korean letters."""
+    h = lambda at: f"('0x' || substr(h, {at}, 2))::BIGINT"
+    return (
+        f"{n}t AS (SELECT {key} AS id, sha1(unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'))) AS h FROM {table}),"
+        f" {n}b AS (SELECT id, ({h(1)} * 256 + {h(3)}) % 96 AS b, sum(CASE WHEN {h(5)} % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS w FROM {n}t GROUP BY ALL),"
+        f" {n}v AS (SELECT id, b, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0) AS w FROM {n}b)"
+    )
+
+
+@query(
+    "triage_embed_search",
+    "WITH " + _triage("d", "doc_id", "documents") + ", " + _triage("q", "item_id", "benchmark") + ", s AS (SELECT qv.id AS item_id, dv.id AS doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (b) GROUP BY ALL)"
+    " SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3",
+)
+def triage_embed_search(spark: SparkSession, d: str) -> DataFrame:
+    vectors = lambda df, key: ve.embedded(df, key, embedding=ve.triage_embedding)
+    return ve.nearest(vectors(_docs(spark, d), "doc_id"), vectors(_items(spark, d), "item_id"), "doc_id", "item_id", 3)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
+from inkweave.functions import lexicon as lx
 from inkweave.functions import text as tx
+from inkweave.operators import search as se
+from inkweave.plans.retrieval import BM25
 from inkweave.session import read_table
 
 TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -24,13 +27,15 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snippet_window",
-    f"WITH j AS (SELECT doc_id, d.text, list_extract({TERMS.format('b.text')}, 3) AS term FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"
-    " SELECT doc_id, term, CASE WHEN instr(lower(text), term) > 0 THEN substr(text, greatest(1, instr(lower(text), term) - 50), 200) ELSE substr(text, 1, 200) END AS snippet FROM j",
+    BM25 % "true" + f", j AS (SELECT r.item_id, r.doc_id, d.text, list_extract({TERMS.format('b.text')}, 3) AS term FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON r.item_id = b.item_id WHERE rank <= 5)"
+    " SELECT item_id, doc_id, term, CASE WHEN instr(lower(text), term) > 0 THEN substr(text, greatest(1, instr(lower(text), term) - 50), 200) ELSE substr(text, 1, 200) END AS snippet FROM j",
 )
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
-    items = read_table(spark, d, "benchmark").select("item_id", F.get(tx.terms(F.col("text")), F.lit(2)).alias("term"))
-    docs = read_table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("doc_id", "term", tx.snippet(F.col("text"), F.col("term")).alias("snippet"))
+    """The passages of every item's five best documents."""
+    docs, items = read_table(spark, d, "documents"), read_table(spark, d, "benchmark")
+    found = se.bm25(docs, items, "doc_id", "item_id", 5).select("item_id", "doc_id")
+    both = found.join(items.select("item_id", F.get(tx.terms(F.col("text")), F.lit(2)).alias("term")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return both.select("item_id", "doc_id", "term", tx.snippet(F.col("text"), F.col("term")).alias("snippet"))
 
 
 @query("line_spans", LINES + ' SELECT doc_id, idx, start, "end", line FROM k')
@@ -60,7 +65,30 @@ def profile_blocks(spark: SparkSession, d: str) -> DataFrame:
     return best.select("doc_id", F.col("b.n").alias("run_length"), "b.first_line", (F.col("b.n") >= 3).alias("is_profile"))
 
 
-@query("sentence_segments")
+def _sentences_sql() -> str:
+    """Stops that end no sentence are masked, the rest is cut behind its enders and their closers."""
+    mask, blanks = "\x01", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+    enders = lx.SENTENCE_ENDS.replace("\n", "")
+    known = "|".join(a[:-1].replace(".", "\\.") for a in lx.ABBREVIATIONS)
+    apart = rf"(^|[^\p{{L}}\p{{N}}_.{mask}])"
+    closers = "".join("''" if c == "'" else f"\\{c}" if c in "]})" else c for c in dict.fromkeys(lx.SENTENCE_CLOSERS + enders))
+    masked = "text"
+    for _ in range(2):
+        masked = rf"regexp_replace({masked}, '([0-9])\.([0-9])', '\1{mask}\2', 'g')"
+    masked = rf"regexp_replace({masked}, '{apart}((?i:{known}|[0-9]+(?:st|nd|rd|th)))\.', '\1\2{mask}', 'g')"
+    masked = rf"regexp_replace({masked}, '{apart}([A-Za-z])\.(\p{{Lu}})', '\1\2{mask}\3', 'g')"
+    piece = rf"[^\n{enders}]*(?:\n|[{enders}][{closers}]{{0,{lx.MOST_CLOSERS}}})|[^\n{enders}]+$"
+    return (
+        f"WITH p AS (SELECT doc_id, text, regexp_extract_all({masked}, '{piece}') AS ps FROM documents),"
+        " u AS (SELECT doc_id, text, unnest(ps) AS raw, unnest(range(1, len(ps) + 1)) AS i FROM p),"
+        " o AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM u),"
+        " c AS (SELECT doc_id, i, pos, substr(text, pos + 1, length(raw)) AS raw FROM o),"
+        f" t AS (SELECT doc_id, i, pos + length(raw) - length(ltrim(raw, {blanks})) AS s, trim(raw, {blanks}) AS sentence FROM c WHERE trim(raw, {blanks}) <> '')"
+        ' SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS idx, s::INTEGER AS start, (s + length(sentence))::INTEGER AS "end", sentence FROM t'
+    )
+
+
+@query("sentence_segments", _sentences_sql())
 def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
     return tx.sentence_table(read_table(spark, d, "documents"), "doc_id")
 

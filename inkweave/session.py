@@ -18,6 +18,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "inkweave")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.inkweave.spread", cores if cores.isdigit() else "8")
         .getOrCreate()
     )
 
@@ -27,23 +28,40 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; one of texts that lies in fewer files than there are cores is dealt out to all of them.
+    """A table of the folder. Nothing is moved, unless the session asks for it.
 
-    Filters and columns are still pushed down to the scan. A table of more files isn't moved.
+    A table of texts in one small file is one split, so tests and benches on one machine set
+    spark.inkweave.spread to deal it out over as many partitions; a cluster's tables have files
+    enough and leave it unset.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES and len(df.inputFiles()) < (cores := spark.sparkContext.defaultParallelism):
-        return df.repartition(cores)
-    return df
+    spread = int(spark.conf.get("spark.inkweave.spread", "0"))
+    return df.repartition(spread) if spread and name in TEXT_TABLES else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what must outlive an executor: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is set
-    (tests) a temporary one is made.
+    Only a session on one machine without it gets a temporary one.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweave-"))
+    context = spark.sparkContext
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="inkweave-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the session's checkpoint folder and read it back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

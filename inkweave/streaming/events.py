@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkweave.operators.verdicts import changed
-
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -56,17 +54,16 @@ def cooled_down(events: DataFrame, keys: list[str], pause: str = "15 seconds", s
     return events.withColumn("before", before).where(F.col("before").isNull() | (F.unix_micros("ts") - F.unix_micros("before") >= seconds * 1_000_000)).drop("before")
 
 
-def ingest_stream(documents: DataFrame, table: str, checkpoint: str):
-    """Starts a query that appends documents to a Parquet table, in each batch only those whose text it lacks.
+def ingest_stream(documents: DataFrame, table: str, checkpoint: str, known: DataFrame | None = None):
+    """Starts a query that appends documents to a Parquet table, each (doc_id, text) once.
 
-    The batch id names the batch's folder, so a batch that is done again overwrites itself.
+    What has been seen is the stream's own state, not a scan of the table, and a batch that is done
+    again gives the same rows: the file sink writes each batch once. known(doc_id, checksum) has
+    texts that are in the table from elsewhere; they are left out. Null texts have a null checksum
+    and count as one text.
     """
-    spark = documents.sparkSession
-
-    def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.withColumn("checksum", F.sha2("text", 256)).dropDuplicates(["doc_id", "checksum"])
-        known = [spark.read.parquet(f"{table}/batch=*")] if number else []
-        fresh = changed(rows, known[0], "doc_id") if known else rows
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = documents.withColumn("checksum", F.sha2("text", 256))
+    if known is not None:
+        rows = rows.join(known.select("doc_id", "checksum"), ["doc_id", "checksum"], "left_anti").select(*rows.columns)
+    fresh = rows.dropDuplicates(["doc_id", "checksum"])
+    return fresh.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as tx
-from inkweave.operators import graph, intervals
+from inkweave.operators import graph, intervals, rules
 from inkweave.operators import relational as rel
 from inkweave.operators import search as se
 from inkweave.operators import verdicts as vd
@@ -22,7 +22,7 @@ def column(spark, values, expr, kind="string"):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("A. B!\nC?", ["A. B!", "C?"]), ("Price is 3.14... \"Really?\" He nodded…\nNext line.", ["Price is 3.14...", '"Really?"', "He nodded…", "Next line."]),
+        ("A. B!\nC?", ["A.", "B!", "C?"]), ("Price is 3.14... \"Really?\" He nodded…\nNext line.", ["Price is 3.14...", '"Really?"', "He nodded…", "Next line."]),
         ("Dr. Kim arrived. Next scene.", ["Dr. Kim arrived.", "Next scene."]), ("He ranked 1st. in class. Final note.", ["He ranked 1st. in class.", "Final note."]), ("", []), ("   \n\n ", []), ("끝났다。 다음!", ["끝났다。", "다음!"]),
     ],
 )
@@ -91,10 +91,10 @@ def test_slots(spark):
 
 
 def test_korean_rules(spark):
-    cases = {"주인공은 14세였다.": ("age", "14"), "그의 나이는 14세였다.": ("age", "14"), "시로네는 올해 50세가 되었다.": ("age", "50"), "그는 17세기로 가는 길을 떠났다.": None, "그의 직업은 마법사다.": ("job", "마법사"), "소속: 사도련 백전귀(百戰鬼)": ("affiliation", "사도련 백전귀(百戰鬼)"), "장소는 사천성 남단 덕창(德昌)이었다.": ("place", "사천성 남단 덕창(德昌)"), "그는 이미 사망했다.": ("death", "true")}
+    cases = {"주인공은 14세였다.": ("age", "14"), "그의 나이는 14세였다.": ("age", "14"), "시로네는 올해 50세가 되었다.": ("age", "50"), "그는 17세기로 가는 길을 떠났다.": None, "그의 직업은 마법사다.": ("job", "마법사"), "소속: 사도련 백전귀(百戰鬼)": ("affiliation", "사도련"), "장소는 사천성 남단 덕창(德昌)이었다.": ("place", "사천성 남단 덕창(德昌)"), "그는 이미 사망했다.": ("death", "true")}
     df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
     got = {}
-    for r in vd.extracted(df, vd.KOREAN_RULES, ["i"]).collect():
+    for r in rules.slots_of(df, ["i"]).collect():
         got.setdefault(r["i"], []).append((r["slot"], r["value"]))
     for i, want in enumerate(cases.values()):
         assert got.get(i, []) == ([want] if want else []), (i, got.get(i))
@@ -187,6 +187,125 @@ def test_incremental_ingest(spark, tmp_path):
     assert got == [(1, "a"), (2, "b"), (2, "changed"), (3, "c")]
 
 
+def test_a_batch_done_again_loses_nothing(spark, tmp_path):
+    import os
+
+    stream = lambda: spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    for rows in ([(1, "a"), (2, "b"), (7, None)], [(2, "changed"), (3, "c")], [(3, "c"), (4, "d")]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ev.ingest_stream(stream(), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination(120)
+        last = max(os.listdir(f"{tmp_path}/c/commits"), key=lambda f: int(f) if f.isdigit() else -1)
+        for f in (last, f".{last}.crc"):
+            if os.path.exists(f"{tmp_path}/c/commits/{f}"):
+                os.remove(f"{tmp_path}/c/commits/{f}")
+        ev.ingest_stream(stream(), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination(120)
+    want = [(1, "a"), (2, "b"), (2, "changed"), (3, "c"), (4, "d"), (7, "")]
+    read = lambda: sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert read() == want
+    known = spark.read.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(4, "d"), (5, "e")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ev.ingest_stream(stream(), f"{tmp_path}/t2", f"{tmp_path}/c2", known.where("text is not null")).awaitTermination(120)
+    assert sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{tmp_path}/t2").collect()) == [(5, "e"), (7, "")]
+
+
+def test_overlap_joins_against_all_pairs(spark):
+    import random
+
+    from inkweave.operators import intervals as iv
+
+    r = random.Random(4)
+    span = lambda: (a := r.randint(-1500, 4000), a + r.choice([0, 1, 30, 700, 3000]))
+    left = [(r.randint(0, 2), i, *span()) for i in range(60)]
+    left += left[:3]
+    right = [(r.randint(0, 2), i, *span()) for i in range(60)]
+    a = spark.createDataFrame(left, "k int, i int, s int, e int")
+    b = spark.createDataFrame(right, "k int, j int, s2 int, e2 int")
+    hit = lambda x, y: x[0] == y[0] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]
+    pairs = sorted((x[1], y[1]) for x in left for y in right if hit(x, y))
+    assert sorted((t["i"], t["j"]) for t in iv.overlap_join(a, b, ["k"]).collect()) == pairs
+    bare = sorted((x[1], -1) for x in left if not any(hit(x, y) for y in right))
+    assert sorted((t["i"], -1 if t["j"] is None else t["j"]) for t in iv.overlap_join(a, b, ["k"], "left").collect()) == sorted(pairs + bare)
+    assert sorted(t["i"] for t in iv.overlap_join(a, b, ["k"], "left_anti").collect()) == [i for i, _ in bare]
+    assert sorted(t["i"] for t in iv.overlap_join(a, b, ["k"], "left_semi").collect()) == sorted(x[1] for x in left if any(hit(x, y) for y in right))
+    with pytest.raises(ValueError, match="equi-key"):
+        iv.overlap_join(a, b, [])
+
+
+def test_tightest_ranges_against_all_pairs(spark):
+    import random
+
+    from inkweave.operators import intervals as iv
+
+    r = random.Random(6)
+    ranges = [(i, a := r.randint(-300, 300), a + r.choice([-1, 0, 1, 2, 7, 64, 500])) for i in range(40)]
+    points = [(i, r.randint(-400, 900)) for i in range(200)] + [(999, None)]
+    want = {}
+    for i, p in points:
+        held = [(b - a, k) for k, a, b in ranges if p is not None and a <= p <= b]
+        want[i] = min(held)[1] if held else None
+    df = iv.tightest_range(spark.createDataFrame(points, "i int, n int"), spark.createDataFrame(ranges, "range_id int, start_n int, end_m int"), ["i"], "n")
+    assert {t["i"]: t["range_id"] for t in df.collect()} == want
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_in_place_and_over_postings(spark, monkeypatch):
+    import random
+
+    from inkweave.operators import search as se
+    from inkweave.operators import vectors as ve
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(r.randint(0, 40))) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text(r.randint(0, 12))) for i in range(40)], "q long, text string")
+    run = lambda fn: sorted(map(tuple, fn(docs, asked, "doc_id", "q", 4).collect()))
+    first = [run(se.bm25), run(se.overlap_scores)]
+    monkeypatch.setattr(se, "TASK_QUERIES", 3)
+    assert [run(se.bm25), run(se.overlap_scores)] == first and all(first)
+    monkeypatch.undo()
+    monkeypatch.setattr(se, "TOGETHER", 7)
+    assert run(se.bm25) == first[0]
+    vec = lambda n: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(n)]
+    rows = spark.createDataFrame([(i, vec(4)) for i in range(150)], "k long, vec array<double>")
+    near = lambda: sorted(map(tuple, ve.nearest(rows, rows.where("k < 30").withColumnRenamed("k", "q"), "k", "q", 5).collect()))
+    once = near()
+    monkeypatch.setattr(ve, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ve, "ROW_BLOCK", 11)
+    assert near() == once and len(once) > 100
+
+
+def test_whole_phrases(spark):
+    from inkweave.operators import search as se
+
+    docs = spark.createDataFrame([(1, "One two three, four five six seven."), (2, "one two three four five six eight"), (3, "two"), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four five six seven"), (2, "TWO three"), (3, "two"), (4, "..."), (5, "six seven"), (6, "x " * 89 + "yy " + "gone " * 9)], "q long, text string")
+    got = sorted(map(tuple, se.phrase_matches(docs, asked, "doc_id", "q").collect()))
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (5, 1)]
+
+
+def test_scopes_listed_and_counted(spark):
+    from inkweave.operators import narrative as na
+
+    rows = [(1, "p", "SETTING", None), (2, "p", "EPISODE", 3), (3, "p", "EPISODE", 14), (4, "p", "NOTE", 5), (5, "q", "EPISODE", 3), (6, None, "EPISODE", 3), (7, "p", "CHAR", 99), (8, "p", "EPISODE", None), (9, "p", "EPISODE", 4)]
+    docs = spark.createDataFrame(rows, "doc_id int, project string, type string, episode int")
+    asked = docs.withColumnRenamed("doc_id", "input_id")
+    listed = {r["input_id"]: r["count"] for r in na.doc_scope(docs, asked).groupBy("input_id").count().collect()}
+    assert {r["input_id"]: r["n_docs"] for r in na.doc_scope_sizes(docs, asked).collect()} == listed and listed[2] == 4 and listed[6] == 1
+
+
+def test_lines_of_long_texts(spark):
+    import time
+
+    text = "\n".join(f"line {i}" if i % 3 else " " for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n\na\n")], "k int, text string")
+    began = time.time()
+    rows = tx.line_spans(df, "k").collect()
+    assert time.time() - began < 60 and len(rows) == 66_667
+    assert all(text[x["start"] : x["end"]].strip() == x["line"] for x in rows if x["k"] == 1)
+    assert [tuple(x) for x in rows if x["k"] == 4] == [(4, 0, 2, 3, "a")]
+
+
 def test_claim_predicates(spark):
     from inkweave.operators import narrative as na
 
