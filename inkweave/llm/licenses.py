@@ -104,7 +104,11 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
-    """(digest, n, license_id) of known (license id, text) pairs; of two with one form the least id stays."""
+    """(digest, n, license_id) of known (license id, text) pairs; of two with one form the least id stays.
+
+    A null or empty text has the empty form, so it makes every empty document a hit: leave it out. An
+    empty list gives an empty table.
+    """
     given = spark.createDataFrame(list(all_known() if known is None else known), "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
     return given.groupBy(F.sha2("form", 256).alias("digest"), F.length("form").alias("n")).agg(F.min("license_id").alias("license_id"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.operators.search import top_k
+from inkweave.session import cut_lineage
 
 WIDTH = 96
 #: Query vectors that are compared with rows together, and rows that are, where queries and rows meet in blocks.
@@ -57,8 +58,9 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, p
     block of queries, the usual case, goes to the rows' blocks without copies of rows. positive
     leaves out scores of zero and less. Null vectors are no rows and no queries; ids are integers.
     """
-    mine = rows.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null")
-    asked = queries.select(F.col(query).cast("long").alias("query"), "vec").where("query is not null and vec is not null")
+    # both are counted and then dealt out, so vectors that have to be made first are made once
+    mine = cut_lineage(rows.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null"))
+    asked = cut_lineage(queries.select(F.col(query).cast("long").alias("query"), "vec").where("query is not null and vec is not null"))
     n_rows, n_asked = mine.count(), asked.count()
     deal = lambda id_col, n, size: F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // size)))).cast("int")
     blocks = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from inkweave.catalogue import query
 from inkweave.functions import text as tx
 from inkweave.operators import narrative as na
+from inkweave.operators import options as opt
 from inkweave.operators import reports as rp
 from inkweave.operators import rules
 from inkweave.operators import verdicts as vd
+from inkweave.operators.relational import top_rows
+from inkweave.session import read_table
+from inkweave.sources import files
 
 
 def literal(v) -> str:
@@ -156,8 +160,6 @@ def safe_pattern_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("masked_keys", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' WHEN event_id % 3 = 1 THEN substr(repeat(props, 90), 1, 240) ELSE substr(repeat(props, 90), 1, 800) END AS shown, 'ev_' || substr(sha1(event_type || '|' || user_id), 1, 16) AS stable FROM events")
 def masked_keys(spark: SparkSession, d: str) -> DataFrame:
-    from inkweave.session import read_table
-
     name = F.element_at(F.array(F.lit("Api_Key"), F.lit("snippet"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int"))
     return read_table(spark, d, "events").select("event_id", tx.masked_key(name, F.repeat("props", F.lit(90))).alias("shown"), tx.stable_id("ev_", 16, F.col("event_type"), F.col("user_id").cast("string")).alias("stable"))
 
@@ -173,8 +175,6 @@ def bool_word_cases(spark: SparkSession, d: str) -> DataFrame:
 @query("memo_keys", "SELECT doc_id, trim(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) || '|{\"k\":' || doc_id % 3 || '}' AS key FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')")
 def memo_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of plain texts, on which composition has no say."""
-    from inkweave.session import read_table
-
     rows = read_table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
     return rows.select("doc_id", rp.memo_key(F.col("text"), F.concat(F.lit('{"k":'), (F.col("doc_id") % 3).cast("string"), F.lit("}"))).alias("key"))
 
@@ -202,7 +202,38 @@ def evidence_span_cases(spark: SparkSession, d: str) -> DataFrame:
 @query("target_order", "SELECT p_partkey FROM part ORDER BY p_size <= 45, p_size DESC, p_partkey LIMIT 7")
 def target_order(spark: SparkSession, d: str) -> DataFrame:
     """The first targets by score; those over 45 come before others, and places among equals are drawn, so one a size is asked for."""
-    from inkweave.session import read_table
-
     parts = read_table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 45, F.col("p_size") * 1e6 - F.col("p_partkey")).otherwise(0.0).alias("score"))
     return na.targets(parts, "p_partkey", "score", 7).select("p_partkey")
+
+
+REQUESTS = [
+    (1, "{}"), (2, '{"evidence_link_policy": " CAP ", "evidence_link_cap": 0, "graph_max_hops": 2, "exclude_self_evidence": false, "triage": {"mode": "Embedding_Anomaly", "anomaly_threshold": 1.5}}'),
+    (3, '{"evidence_link_policy": "none", "evidence_link_cap": "x", "graph_max_hops": 3, "verifier": {"mode": 7, "promote_ok_threshold": "0.5"}, "verification_loop": {"enabled": true, "max_rounds": -4}}'), (4, "not json"),
+]
+ASKED = ("evidence_link_policy", "evidence_link_cap", "graph_max_hops", "exclude_self_evidence", "triage_mode", "triage_threshold", "verifier_mode", "verifier_ok_threshold", "loop_enabled", "loop_max_rounds")
+RESOLVED = {
+    1: ("full", "20", "1", "true", "off", "0.65", "off", "0.95", "false", "2"), 2: ("cap", "1", "2", "false", "embedding_anomaly", "1.0", "off", "0.95", "false", "2"),
+    3: ("full", "20", "1", "true", "off", "0.65", "off", "0.5", "true", "1"), 4: ("full", "20", "1", "true", "off", "0.65", "off", "0.95", "false", "2"),
+}
+
+
+@query("request_options", values("id, option, value", [(i, o, v) for i, vs in RESOLVED.items() for o, v in zip(ASKED, vs, strict=True)]))
+def request_options(spark: SparkSession, d: str) -> DataFrame:
+    return opt.resolved_requests(spark.createDataFrame(REQUESTS, "id int, request string"), "id", "request", ASKED)
+
+
+@query(
+    "evidence_bundles",
+    "WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS rank, l_partkey, l_returnflag FROM lineitem) SELECT l_orderkey, count(*)::INTEGER AS n, '[' || string_agg('{\"doc_id\":\"' || l_partkey || '\",\"snapshot_id\":\"\",\"section_path\":\"\",\"tag_path\":\"\",\"snippet_text\":\"' || l_returnflag"
+    " || '\",\"span_start\":0,\"span_end\":0,\"match_type\":\"FUZZY\",\"confirmed\":false}', ',' ORDER BY rank) || ']' AS bundle FROM r WHERE rank <= 3 GROUP BY l_orderkey",
+)
+def evidence_bundles(spark: SparkSession, d: str) -> DataFrame:
+    rows = top_rows(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("doc_id"), F.col("l_returnflag").alias("snippet_text")), ["l_orderkey"], [F.col("l_linenumber"), F.col("doc_id"), F.col("snippet_text")], 3)
+    return opt.evidence_bundles(rows, "l_orderkey", 3)
+
+
+@query("docx_export", "SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS paragraphs, sha256(text) AS checksum FROM documents")
+def docx_export(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as word-processor packages and read again."""
+    back = files.from_docx(files.as_docx(read_table(spark, d, "documents"), "doc_id"), "doc_id")
+    return back.select("doc_id", F.size(F.split("text", "\n", -1)).alias("paragraphs"), F.sha2("text", 256).alias("checksum"))
