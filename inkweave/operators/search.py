@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions import lexicon as lx
@@ -276,3 +276,44 @@ def pair_score(query: Column, snippet: Column) -> Column:
     flat = lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " "))
     score = 0.10 + 0.60 * shared / F.greatest(F.size(q), F.lit(1)) + 0.20 * shared / F.greatest(F.size(s), F.lit(1)) + F.when(F.contains(flat(snippet), flat(query)), 0.25).otherwise(0.0)
     return F.when(shared == 0, 0.0).otherwise(clamp(score))
+
+
+#: Parts of a stored index: a query reads those of its terms.
+INDEX_PARTS = 64
+
+
+def write_index(corpus: DataFrame, path: str, doc: str, text: str = "text", parts: int = INDEX_PARTS) -> None:
+    """Stores a full-text index: postings (part, term, doc, tf, dl), sorted by term in each part, and the corpus's statistics.
+
+    A term's postings lie in one part, spread over files by document, so a common term is no single
+    task. Ids are integers; rows without one aren't found and don't count.
+    """
+    docs = corpus.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), terms(F.col(text)).alias("ts"))
+    docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("ts")), F.lit(0.0)).alias("avgdl"), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{path}/statistics")
+    postings = docs.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    placed = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition("part", F.pmod(F.xxhash64("doc"), F.lit(4)))
+    placed.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, doc: str, k: int, text: str = "text", most_terms: int = 24) -> DataFrame:
+    """(query, doc, score, rank) as bm25 gives them, from a stored index: only the parts of the queries' terms are read.
+
+    For up to TASK_QUERIES queries their terms go to the scan as a filter; more are joined.
+    """
+    stats = spark.read.parquet(f"{path}/statistics").first()
+    asked = queries.select(F.col(query).alias("query"), terms(F.col(text), most_terms).alias("ts"))
+    wanted = asked.select("query", F.explode("ts").alias("term"))
+    names = wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(stats["parts"])).cast("int").alias("part")).distinct()
+    postings = spark.read.parquet(f"{path}/postings")
+    few = asked.limit(TASK_QUERIES + 1).count() <= TASK_QUERIES
+    if few:
+        own = names.collect()  # bounded by the queries
+        postings = postings.where(F.col("part").isin(*sorted({r["part"] for r in own})) & F.col("term").isin(*[r["term"] for r in own])) if own else postings.limit(0)
+    else:
+        postings = postings.join(names, ["part", "term"], "left_semi")
+    idf = F.log((F.lit(stats["n"]) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
+    df = postings.groupBy("term").agg(F.count("*").alias("n_t")).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
+    weighted = wanted.join(df, "term")
+    scored = postings.join(F.broadcast(weighted) if few else weighted, "term").groupBy("query", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
+    return top_k(scored, "query", [F.col("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")

@@ -10,11 +10,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.operators.search import top_k
 from inkweave.session import cut_lineage
+from inkweave.sources.files import replace_partitions
 
 WIDTH = 96
 #: Query vectors that are compared with rows together, and rows that are, where queries and rows meet in blocks.
@@ -114,3 +115,25 @@ def triage_embedding(text: str | None) -> list[float]:
         v[int.from_bytes(h[:2], "big") % WIDTH] += 1 if h[2] % 2 == 0 else -1
     n = np.sqrt((v * v).sum())
     return (v / n if n else v).tolist()
+
+
+def write_shards(vectors: DataFrame, path: str, shard: str) -> None:
+    """Stores vectors by shard, with a manifest (shard, n, width, checksum) that says what each holds.
+
+    A shard that is written again replaces itself and its line of the manifest.
+    """
+    replace_partitions(vectors, f"{path}/vectors", shard)
+    others = [c for c in vectors.columns if c not in (shard, "vec")]
+    line = vectors.groupBy(shard).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"), F.sum(F.xxhash64(*others, "vec").cast("decimal(38,0)")).cast("string").alias("checksum"))
+    replace_partitions(line, f"{path}/manifest", shard)
+
+
+def shards(spark: SparkSession, path: str, order: list[Column], most: int, at_least: int = 1) -> DataFrame:
+    """The vectors of the first shards by an order over the manifest, at most so many; shards of fewer vectors are left out.
+
+    Only their folders are read.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    shard = next(c for c in manifest.columns if c not in ("n", "width", "checksum"))
+    kept = [r[0] for r in manifest.where(F.col("n") >= at_least).orderBy(*order).limit(most).select(shard).collect()]
+    return spark.read.parquet(f"{path}/vectors").where(F.col(shard).isin(*kept) if kept else F.lit(False))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
 from inkweave.operators import search as se
 from inkweave.operators import vectors as ve
-from inkweave.session import read_table
+from inkweave.session import read_table, shared_folder
 
 T = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 FIRST = f"list_slice(list_filter({T.format('text')}, lambda x, i: list_position({T.format('text')}, x) = i), 1, 24)"
@@ -34,6 +36,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return se.bm25(_docs(spark, d), _items(spark, d), "doc_id", "item_id", 3)
 
 
+@query("bm25_stored_index", BM25 % "true" + " SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3")
+def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index that is stored once and read by the parts that the queries' terms are in."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    se.write_index(_docs(spark, d), path, "doc_id")
+    return se.search_index(spark, path, _items(spark, d), "item_id", "doc_id", 3)
+
+
 @query("bm25_filtered", BM25 % "lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4')" + " SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     kept = (F.col("lang") == "en") & F.col("source").isin("src1", "src2", "src3", "src4")
@@ -185,3 +195,18 @@ def _triage(n: str, key: str, table: str) -> str:
 def triage_embed_search(spark: SparkSession, d: str) -> DataFrame:
     vectors = lambda df, key: ve.embedded(df, key, embedding=ve.triage_embedding)
     return ve.nearest(vectors(_docs(spark, d), "doc_id"), vectors(_items(spark, d), "item_id"), "doc_id", "item_id", 3)
+
+
+@query(
+    "vector_shard_search",
+    "WITH m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label QUALIFY row_number() OVER (ORDER BY n DESC, label) <= 3), e AS (SELECT * FROM embeddings WHERE label IN (SELECT label FROM m)),"
+    " s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN e v ON q.vec_id % 100 = 0)"
+    " SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 4",
+)
+def vector_shard_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors stored by shard; the manifest says which three shards, the largest, are searched."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    rows = read_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+    ve.write_shards(rows, path, "label")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    return ve.nearest(ve.shards(spark, path, [F.desc("n"), F.col("label")], 3), asked, "vec_id", "query_id", 4)
