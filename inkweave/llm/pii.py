@@ -91,10 +91,13 @@ def _near(text: Column, x: Column, words: str) -> Column:
 
 
 def score_of(text: Column, x: Column, kind: str) -> Column:
-    """The score of span x of a kind, its checksum passed where the kind has one: up and down by context, from 0 to 1."""
+    """The score of span x of a kind, its checksum passed where the kind has one: up and down by context, from 0 to 1.
+
+    Base kinds, which stay whatever stands near, go up alone.
+    """
     first = PROPOSED[kind] + (CHECKSUM if kind in CHECKED else 0)
     up = F.when(_near(text, x, CONTEXT_WORDS[WORDS_OF[kind]]), CONTEXT).otherwise(0.0)
-    down = F.when(_near(text, x, OTHER_WORDS), AGAINST).otherwise(0.0)
+    down = F.when(_near(text, x, OTHER_WORDS), AGAINST).otherwise(0.0) if kind in ADDED else F.lit(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(first) + up - down)), 2)
 
 
@@ -186,7 +189,8 @@ def _sql() -> str:
             f" FROM h_{kind}, unnest(range(1, len(hits) + 1)) t(i))"
         )
         first = PROPOSED[kind] + (CHECKSUM if kind in CHECKED else 0)
-        score = f"round(greatest(0.0, least(1.0, {first} + CASE WHEN {words_near(CONTEXT_WORDS[WORDS_OF[kind]])} THEN {CONTEXT} ELSE 0.0 END - CASE WHEN {words_near(OTHER_WORDS)} THEN {AGAINST} ELSE 0.0 END)), 2)::DOUBLE"
+        down = f"CASE WHEN {words_near(OTHER_WORDS)} THEN {AGAINST} ELSE 0.0 END" if kind in ADDED else "0.0"
+        score = f"round(greatest(0.0, least(1.0, {first} + CASE WHEN {words_near(CONTEXT_WORDS[WORDS_OF[kind]])} THEN {CONTEXT} ELSE 0.0 END - {down})), 2)::DOUBLE"
         least = f" WHERE score >= {LEAST}" if kind in ADDED else ""
         out.append(f"k_{kind} AS (SELECT * FROM (SELECT {k} AS k, '{kind}' AS kind, r, s, e, {score} AS score FROM (SELECT *, s + length(m) AS e FROM p_{kind}) WHERE {test}){least})")
     base = " UNION ALL ".join(f"SELECT * FROM k_{kind}" for kind in BASE)
