@@ -163,26 +163,29 @@ def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str,
     """(query, doc): documents that hold the terms of a query's beginning (phrase_of) in a row.
 
     A query is looked up by the hash of its first RUN terms, or of all it has if they are fewer, among
-    the documents' runs of that many; where the hash is met, the whole phrase is compared. Queries
-    without terms match nothing.
+    the documents' runs of that many; where the hash is met, the whole phrase is compared. Hashes of
+    up to TASK_QUERIES queries go to the documents, of which only places that meet one are sent on;
+    those of more are joined. Queries without terms match nothing.
     """
     asked = queries.select(F.col(query).alias("query"), phrase_of(F.col(text), compat).alias("phrase")).where("size(phrase) > 0")
     asked = asked.withColumn("n", F.least(F.size("phrase"), F.lit(RUN))).withColumn("h", F.xxhash64(F.slice("phrase", 1, F.col("n"))))
-    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # RUN at most
+    rows = asked.select("n", "h", F.size("phrase").alias("size")).limit(TASK_QUERIES + 1).collect()
+    few = len(rows) <= TASK_QUERIES
+    sizes = sorted({r["n"] for r in rows}) if few else list(range(1, RUN + 1))
+    longest = max((r["size"] for r in rows), default=0) if few else PHRASE_CHARS
     docs = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts"))
-    found = None
-
-    def hashes(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.xxhash64(F.slice("ts", i, F.lit(n))))
-
-    for n in sizes:
-        runs = docs.where(F.size("ts") >= n).select("doc", F.posexplode(hashes(n)).alias("at", "h"))
-        hits = runs.join(asked.where(F.col("n") == n), "h").select("query", "phrase", "doc", "at")
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        return queries.join(corpus.select(doc).limit(0), F.lit(False)).select(query, doc)
-    whole = found.join(docs, "doc").where(F.slice("ts", F.col("at") + 1, F.size("phrase")) == F.col("phrase"))
-    return whole.select(F.col("query").alias(query), F.col("doc").alias(doc)).distinct()
+
+    def places(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("ts", i, F.lit(n))).alias("h")))
+        own = [r["h"] for r in rows if r["n"] == n]
+        runs = F.filter(runs, lambda x: x["h"].isin(*own)) if few else runs
+        return F.transform(F.when(F.size("ts") >= n, runs), lambda x: F.struct(F.lit(n).alias("n"), x["h"].alias("h"), F.slice("ts", x["at"], F.lit(longest)).alias("here")))
+
+    if not sizes:
+        return asked.join(docs.limit(0).select("doc"), F.lit(False)).select(F.col("query").alias(query), F.col("doc").alias(doc))
+    every = F.flatten(F.array(*[F.coalesce(places(n), F.array().cast("array<struct<n:int,h:bigint,here:array<string>>>")) for n in sizes]))
+    met = docs.select("doc", F.explode(every).alias("x")).select("doc", "x.*").join(asked, ["n", "h"]).where(F.slice("here", 1, F.size("phrase")) == F.col("phrase"))
+    return met.select(F.col("query").alias(query), F.col("doc").alias(doc)).distinct()
 
 
 def overlap_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int, text: str = "text") -> DataFrame:
