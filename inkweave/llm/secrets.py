@@ -61,10 +61,10 @@ def encoding_of(run: Column) -> Column:
     )
 
 
-def _of(encoding: Column, values: dict) -> Column:
+def _of(encoding: Column, values: dict[str, Column]) -> Column:
     out = F.lit(None)
     for name, value in values.items():
-        out = F.when(encoding == name, F.lit(value)).otherwise(out)
+        out = F.when(encoding == name, value).otherwise(out)
     return out
 
 
@@ -98,16 +98,17 @@ def battery(run: Column) -> Column:
         mean = lambda p: F.aggregate(p["at"], F.lit(0).cast("bigint"), lambda acc, q: acc + q) / F.length(p["run"])
         return let(F.struct(*own(e), at.alias("at")), lambda p: let(F.struct(*own(p), p["at"].alias("at"), mean(p).alias("mean")), tested))
 
-    inner = F.regexp_replace(run, "=+$", "")
-    known = let(F.struct(inner.alias("run"), encoding_of(inner).alias("enc")), lambda e: let(F.struct(e["enc"].alias("enc"), e["run"].alias("run"), _of(e["enc"], ALPHABETS).alias("abc")), placed))
-    return F.when(encoding_of(inner).isNotNull() & (F.length(inner) >= STRATA[0]), known)
+    def known(e: Column) -> Column:
+        whole = F.struct(e["enc"].alias("enc"), e["run"].alias("run"), _of(e["enc"], {k: F.lit(v) for k, v in ALPHABETS.items()}).alias("abc"))
+        return F.when(e["enc"].isNotNull() & (F.length(e["run"]) >= STRATA[0]), let(whole, placed))
+
+    return let(F.regexp_replace(run, "=+$", ""), lambda r: let(F.struct(r.alias("run"), encoding_of(r).alias("enc")), known))
 
 
 def upper_tail(z: Column) -> Column:
     """Normal probability above z, for z of 0 or more (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) * 0.3989422804014327 * poly
+    poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.exp(-z * z / 2) * 0.3989422804014327 * let(1 / (1 + 0.2316419 * z), poly)
 
 
 def written_z(b: Column) -> Column:
@@ -116,17 +117,21 @@ def written_z(b: Column) -> Column:
     Text is taken as drawn from fixed shares, so pairs and turns have a mean and a variance by length;
     it repeats characters more than a key does, changes sides less, and its neighbours are more alike.
     """
-    sq, cube, up = (_of(b["enc"], {e: v[i] for e, v in WRITTEN.items()}) for i in range(3))
-    n, a = b["n"], up * (1 - up)
-    rare = (n + n * (n - 1) * sq - b["pairs"]) / (2 * F.sqrt(n * (n - 1) / 2 * (sq - sq * sq) + n * (n - 1) * (n - 2) * (cube - sq * sq)))
-    changes = (b["turns"] - 1 - 2 * a * (n - 1)) / F.sqrt((n - 1) * (2 * a - 4 * a * a) + 2 * (n - 2) * (a - 4 * a * a))
-    w = WEIGHTS
-    return (w[0] * rare + w[1] * changes - w[2] * b["z_serial"]) / (sum(x * x for x in w) ** 0.5)
+
+    def against(c: Column) -> Column:
+        n, sq, cube, a, w = b["n"], c["sq"], c["cube"], c["a"], WEIGHTS
+        rare = (n + n * (n - 1) * sq - b["pairs"]) / (2 * F.sqrt(n * (n - 1) / 2 * (sq - sq * sq) + n * (n - 1) * (n - 2) * (cube - sq * sq)))
+        changes = (b["turns"] - 1 - 2 * a * (n - 1)) / F.sqrt((n - 1) * (2 * a - 4 * a * a) + 2 * (n - 2) * (a - 4 * a * a))
+        return (w[0] * rare + w[1] * changes - w[2] * b["z_serial"]) / (sum(x * x for x in w) ** 0.5)
+
+    shares = {e: F.struct(F.lit(v[0]).alias("sq"), F.lit(v[1]).alias("cube"), F.lit(v[2] * (1 - v[2])).alias("a")) for e, v in WRITTEN.items()}
+    return let(_of(b["enc"], shares), against)
 
 
 def log_p(z: Column) -> Column:
     """-log10 of the normal probability above z; 0 below the mean, and never more than MOST_LOG."""
-    return F.when(z <= 0, 0.0).otherwise(F.least(F.lit(MOST_LOG), -F.log10(upper_tail(F.least(F.greatest(z, F.lit(0.0)), F.lit(13.0))))))
+    tail = lambda v: let(F.least(F.greatest(v, F.lit(0.0)), F.lit(13.0)), upper_tail)
+    return let(z, lambda v: F.when(v <= 0, 0.0).otherwise(F.least(F.lit(MOST_LOG), -F.log10(tail(v)))))
 
 
 def stratum(n: Column) -> Column:
