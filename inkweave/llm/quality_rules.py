@@ -19,7 +19,7 @@ from inkweave.session import cut_lineage, read_table
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: Most symbols to 100 characters of words, most repeats among 100 lines, least and most characters of a mean word.
 MOST_SYMBOLS, MOST_REPEATED_LINES, WORD_LENGTHS = 10, 30, (2, 12)
-#: A host fails where a shrunken rate is above this and as many standard deviations of the other hosts' above their mean.
+#: A host fails where a shrunken rate is surely above this, and above the other hosts' mean by as many of their standard deviations.
 LEAST_RATE, DEVIATIONS = 0.3, 2.0
 #: Documents that the prior counts for at least, so that one document can't fail its host.
 LEAST_STRENGTH = 5.0
@@ -96,7 +96,8 @@ def host_rates(ruled: DataFrame, host: str = "host") -> DataFrame:
     A rule's prior has the mean of the hosts' rates and the variance that is left of theirs
     without what chance explains (method of moments); if none is left, every host has the mean
     rate. A limit is set by the shrunken rates of the other hosts, so a host can't raise its own;
-    a single host has none. A host at its limit passes. Rows without a host are a host of their
+    a single host has none. A host fails if its rate is above its limit by so many deviations of
+    what its documents leave unsure; at the limit it passes. Rows without a host are a host of their
     own; an empty table gives an empty one.
     """
     hosts = ruled.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.count_if(F.get("failed", F.lit(i))).alias(f"failed_{r}") for i, r in enumerate(RULES)])
@@ -108,7 +109,8 @@ def host_rates(ruled: DataFrame, host: str = "host") -> DataFrame:
         spread = var - mean * (1 - mean) * per  # of the true rates
         strength = mean * (1 - mean) / spread - 1 if spread > 0 and 0 < mean < 1 else 1e9
         strength = min(max(strength, LEAST_STRENGTH), 1e9)
-        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + mean * strength) / (F.col("n") + strength))
+        rate = (F.col(f"failed_{r}") + mean * strength) / (F.col("n") + strength)
+        hosts = hosts.withColumn(f"rate_{r}", rate).withColumn(f"sure_{r}", rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1)))
     sums = hosts.agg(F.count("*").alias("n"), *[f.alias(f"{k}_{r}") for r in RULES for k, f in (("sum", F.sum(f"rate_{r}")), ("square", F.sum(F.col(f"rate_{r}") * F.col(f"rate_{r}"))))]).first()
     others = float(sums["n"] - 1)
     for r in RULES if others > 0 else ():
@@ -118,7 +120,7 @@ def host_rates(ruled: DataFrame, host: str = "host") -> DataFrame:
         hosts = hosts.withColumn(f"limit_{r}", F.greatest(F.lit(LEAST_RATE), mean + DEVIATIONS * F.sqrt(var)))
     if others <= 0:
         hosts = hosts.withColumns({f"limit_{r}": F.lit(1.0) for r in RULES})
-    over = F.array(*[F.col(f"rate_{r}") > F.col(f"limit_{r}") for r in RULES])
+    over = F.array(*[F.col(f"sure_{r}") > F.col(f"limit_{r}") for r in RULES])
     return hosts.select("host", "n", *[f"{k}_{r}" for r in RULES for k in ("rate", "limit")], F.array_contains(over, True).alias("host_failed"))
 
 
@@ -182,8 +184,8 @@ ruled AS (SELECT *, {HOST_SQL} AS host, {", ".join(f"({c}) AS {r}_failed" for r,
 hosts AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {r}_failed) AS {r}" for r in RULES)} FROM ruled GROUP BY host),
 rates AS (SELECT {", ".join(f"avg({r} / n) AS m_{r}, var_pop({r} / n) - avg({r} / n) * (1 - avg({r} / n)) * avg(1 / n) AS s_{r}" for r in RULES)} FROM hosts),
 fitted AS (SELECT *, {", ".join(f"CASE WHEN s_{r} > 0 AND m_{r} > 0 AND m_{r} < 1 THEN least(greatest(m_{r} * (1 - m_{r}) / s_{r} - 1, {LEAST_STRENGTH}), 1e9) ELSE 1e9 END AS k_{r}" for r in RULES)} FROM rates),
-shrunk AS MATERIALIZED (SELECT host, {", ".join(f"({r} + m_{r} * k_{r}) / (n + k_{r}) AS {r}" for r in RULES)} FROM hosts, fitted),
-others AS (SELECT a.host, {", ".join(f"any_value(a.{r}) AS {r}, greatest({LEAST_RATE}, avg(b.{r}) + {DEVIATIONS} * sqrt(var_pop(b.{r}))) AS l_{r}" for r in RULES)}
+shrunk AS MATERIALIZED (SELECT host, {", ".join(f"({r} + m_{r} * k_{r}) / (n + k_{r}) AS {r}, n + k_{r} + 1 AS n_{r}" for r in RULES)} FROM hosts, fitted),
+others AS (SELECT a.host, {", ".join(f"any_value(a.{r} - {DEVIATIONS} * sqrt(a.{r} * (1 - a.{r}) / a.n_{r})) AS {r}, greatest({LEAST_RATE}, avg(b.{r}) + {DEVIATIONS} * sqrt(var_pop(b.{r}))) AS l_{r}" for r in RULES)}
     FROM shrunk a JOIN shrunk b ON a.host IS DISTINCT FROM b.host GROUP BY a.host),
 bad AS (SELECT host FROM others WHERE {" OR ".join(f"{r} > l_{r}" for r in RULES)})
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
