@@ -112,7 +112,11 @@ def trend_status(delta: Column) -> Column:
 
 
 def content_checksum(df: DataFrame, key: str, line: Column, order: str) -> DataFrame:
-    """(key, checksum): SHA-256 of a group's lines in order, joined by newlines."""
+    """(key, checksum): SHA-256 of a group's lines in order, joined by newlines.
+
+    The digest needs a group's lines in one row: key is to name something of bounded size, a document
+    or an order. For larger groups take digests of their parts first and then of those.
+    """
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
     return df.groupBy(key).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256)).alias("checksum"))
 
