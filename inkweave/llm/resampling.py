@@ -13,6 +13,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def ring_states(words: list[bytes], longest: int) -> Iterator[int]:
 def buckets_of(words: list[bytes], longest: int = LONGEST, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """The buckets of all features of a text, in arrays of bounded size."""
     states = ring_states(words, longest)
-    while len(part := np.fromiter((s for s, _ in zip(states, range(CHUNK))), np.int64)):  # noqa: B905
+    while len(part := np.fromiter(islice(states, CHUNK), np.int64)):
         yield part % buckets
 
 

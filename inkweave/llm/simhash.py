@@ -10,7 +10,7 @@ never its pairs, and the stars are joined to components across all buckets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
         n = len(words) - shingle + 1
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
-        h = np.fromiter((digest(g, 42) for g, _ in zip(grams, range(min(CHUNK, n - at)))), np.uint64)  # noqa: B905
+        h = np.fromiter((digest(g, 42) for g in islice(grams, CHUNK)), np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 

@@ -94,3 +94,10 @@ def test_kept_rows_of_any_columns(spark):
     assert first == sorted(map(str, sh.keep_first_of_group(df.orderBy("row.x").repartition(3)).collect()))
     named = spark.createDataFrame([("k1", "a"), ("k2", "a"), ("7", "b"), ("7", "b")], "doc_id string, text string")
     assert sorted(r["text"] for r in sh.keep_first_of_group(named).collect()) == ["a", "b"]
+
+
+def test_long_text_in_parts(monkeypatch):
+    text = " ".join(f"w{k * k % 1013}" for k in range(5000)).encode()
+    whole = sh.fingerprint_of(text)
+    monkeypatch.setattr(sh, "CHUNK", 1)
+    assert sh.fingerprint_of(text) == whole
