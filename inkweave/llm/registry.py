@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES = ("html_text", "mpegts", "pii", "simhash", "licenses", "quality_crf", "mixing", "bpe", "quality_rules", "secrets", "resampling", "superminhash")
+MODULES = ("html_text", "mpegts", "pii", "simhash", "licenses", "quality_crf", "mixing", "bpe", "quality_rules", "secrets", "resampling", "superminhash", "hard_negatives")
 
 
 def _merged(attribute: str) -> dict:

@@ -38,7 +38,7 @@ def corpus(seed, n=260):
     r = random.Random(seed)
     word = lambda: f"w{r.randrange(4000)}"
     passage = [word() for _ in range(60)]
-    bases = [[word() for _ in range(r.choice((30, 80, 200)))] for _ in range(12)]
+    bases = [[word() for _ in range(300 if not k else r.choice((30, 80, 200)))] for k in range(12)]
     docs = []
     for k in range(n):
         base = bases[0] if k % 3 == 0 else r.choice(bases)
