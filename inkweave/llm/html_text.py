@@ -5,8 +5,10 @@ are summed by path and divided by the path's nodes; both ratios are smoothed ove
 paths in page order, fused, and the paths whose fused ratio reaches a share of the page's own
 (its mean, weighted by text) are content. Blocks with a node of a content path are the main text,
 with the headings, short paragraphs, lists and tables that stand among them and aren't links.
-Where markup names an article, ratios are those inside it; names in classes and ids take away
-only what holds less than half of the content.
+The ratios of the whole page come first. Reader comments and other parts that classes, ids and roles
+name go if enough content is left without them; then main and article elements bound the text if
+they hold most of the content, and the ratios are those inside them. Small articles beside a larger
+one, or beside text of its own, are teasers.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,26 @@ ENDS = {
     "p": ({"p"}, {"table", "td", "th", "caption", "button", "object"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Words in an element's class, id or role that name it as no part of an article, and words before them that take this back.
+#: Shares: of the content that must be left for parts named by a word that stands for them alone, and by others, to go; of the
+#: largest article's content (or of that outside articles) that an article of its own holds.
+WITHOUT_SURE, WITHOUT_OTHERS, ARTICLE_OF_ITS_OWN = 0.05, 0.34, 0.1
+#: A start tag of these ends the element it points to: those of ENDS, and a p for any other block (which no block may part from it).
+RULES = [("", {"p"}, ENDS["p"][1] | BLOCKS - {"p"}), *[(tag, *ENDS[tag]) for tag in ("p", "li", "dt", "tr", "td", "option")]]
+RULE_OF = {tag: next(k for k, (_, closes, stops) in enumerate(RULES) if k and (closes, stops) == rule) for tag, rule in ENDS.items()}
+RULED = BLOCKS.union(*[closes | stops for _, closes, stops in RULES])
+#: Words in an element's class, id or role that name it as no part of an article, and words before them that take this back. A name
+#: of several words names such a part if the others are furniture, or if it ends in a word that stands for a part alone.
 OTHER_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header "
-    "masthead comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing "
+    "masthead teaser teasers comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing "
     "social related recommended pagination pager toolbar widget complementary contentinfo dialog form".split()
 )
+ALONE = frozenset("comment comments disqus replies respond ad ads advert adverts nav navbar breadcrumb breadcrumbs sidebar footer cookie cookies newsletter pagination teaser teasers".split())
+FURNITURE = frozenset(
+    "area article bar block blog body bottom box btn button buttons card cards close col column container content count desktop entry fixed group id info inner item items js label large left line link "
+    "links list main message meta mobile module outer page pane panel policy post posts primary prompt reader right row secondary section site slot small sticky story stories text thread tile title toggle top "
+    "tools unit user view wide wrap wrapper".split()
+)
 TAKEN_BACK = frozenset("has with without no not is".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、…]")
@@ -61,13 +78,17 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    """key is a number that elements with the same path share; other says whether a name in it or above sets it aside,
-    linked and titled whether a link or heading is it or above, tops holds the outermost article and main."""
+    """key is a number that elements with the same path share; other says whether a name in it or above sets it aside (as
+    part_of has it), linked and titled whether a link or heading is it or above, tops holds the outermost article and main,
+    ends for each of RULES the element that such a start tag would end here, or None."""
 
-    __slots__ = ("tag", "label", "parent", "key", "dropped", "other", "tops", "linked", "titled")
+    __slots__ = ("tag", "label", "parent", "key", "dropped", "other", "tops", "linked", "titled", "ends")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, key: int, dropped: bool, other: bool):
+    def __init__(self, tag: str, label: str, parent: Element | None, key: int, dropped: bool, other: int):
         self.tag, self.label, self.parent, self.key, self.dropped, self.other = tag, label, parent, key, dropped, other
+        self.ends = parent.ends if parent else (None,) * len(RULES)
+        if tag in RULED:
+            self.ends = tuple(self if tag in closes else None if tag in stops else old for (_, closes, stops), old in zip(RULES, self.ends, strict=True))
         self.linked = tag == "a" or (parent is not None and parent.linked)
         self.titled = tag in HEADINGS or (parent is not None and parent.titled)
         self.tops = parent.tops if parent else {}
@@ -83,9 +104,20 @@ class Element:
         return "/".join(reversed(labels))
 
 
-def _read(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+@lru_cache(1 << 14)
+def part_of(name: str) -> int:
+    """Whether a class, id or role names another part than the article: 2 by a word that stands for one alone, 1 by others, 0 if not."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in TAKEN_BACK or OTHER_PARTS.isdisjoint(words):
+        return 0
+    if words[-1] not in ALONE and any(w not in OTHER_PARTS and w not in FURNITURE for w in words):
+        return 0
+    return 1 + (not ALONE.isdisjoint(words))
+
+
+def _read(tag: str, attributes: str, inside: bool) -> tuple[str, bool, int]:
     """(label in the path, whether the element is no text of an article by its kind, whether a name says so)."""
-    dropped, other, label = tag in DROPPED or (tag == "header" and not inside), False, tag
+    dropped, other, label = tag in DROPPED or (tag == "header" and not inside), 0, tag
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
@@ -93,9 +125,7 @@ def _read(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
         if name == "class" and value.split():
             label = f"{tag}.{'.'.join(sorted(value.split()))}"
         if name in ("class", "id", "role") and tag not in ("html", "body", "main") and (tag != "header" or not inside):
-            for word in value.split():
-                words = [w.lower() for w in WORD.findall(word)]
-                other = other or bool(words and words[0] not in TAKEN_BACK and not OTHER_PARTS.isdisjoint(words if tag != "article" else words[:1]))
+            other = max(other, *map(part_of, value.split())) if value.split() else other
     return label, dropped, other
 
 
@@ -104,7 +134,7 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
 
     Linear in the page, whatever is left open in it: a tag without an end is text.
     """
-    root = Element("", "", None, 0, False, False)
+    root = Element("", "", None, 0, False, 0)
     paths: dict[tuple[int, str], int] = {}
     at, begin, here, blocks, out = 0, 0, root, 0, []
     is_open: dict[str, int] = {}  # how many elements of a tag are above or here
@@ -155,12 +185,8 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             continue
         if tag in BLOCKS:
             blocks += 1
-            closes, stops = ENDS.get(tag, ENDS["p"])
-            up = here if any(map(is_open.get, closes)) else root
-            while up is not root and up.tag not in closes and up.tag not in stops and (tag in ENDS or up.tag not in BLOCKS):
-                up = up.parent
-            if up is not root and up.tag in closes:
-                here = leave(up)
+            if ended := here.ends[RULE_OF.get(tag, 0)]:
+                here = leave(ended)
         if tag == "br":
             add(" ")
         if tag in VOID:
@@ -170,7 +196,7 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             label, dropped, other = _read(tag, m[3], bool(here.tops))
             key = paths.setdefault((here.key, label), len(paths) + 1)
             is_open[tag] = is_open.get(tag, 0) + 1
-            here = Element(tag, label, here, key, here.dropped or dropped, here.other or other)
+            here = Element(tag, label, here, key, here.dropped or dropped, max(here.other, other))
         if raw:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, last + 1)
             at = begin = end.end() if end else len(page)
@@ -204,30 +230,46 @@ def content_paths(nodes: list[tuple[Element, int, str]]) -> set[str]:
     return {element.path for element, _, _ in nodes if element.key in keys}
 
 
-def _articles(nodes: list[tuple[Element, int, str]]) -> list[tuple[Element, int, str]]:
-    """The nodes of the outermost articles, else of main elements, that hold content paths; all nodes if there are none."""
-    for tag in ("article", "main"):
-        own: dict[Element, list] = {}
+def _content(nodes: list[tuple[Element, int, str]], keys: set[int]) -> int:
+    return sum(len(text.strip()) for element, _, text in nodes if element.key in keys)
+
+
+def without_named(nodes: list[tuple[Element, int, str]]) -> list[tuple[Element, int, str]]:
+    """The nodes without what its names set aside, if enough content is left without it."""
+    for level, share in ((2, WITHOUT_SURE), (1, WITHOUT_OTHERS)):
+        plain = [n for n in nodes if n[0].other < level]
+        if len(plain) < len(nodes) and _content(plain, content_keys(plain)) > share * _content(nodes, content_keys(nodes)):
+            nodes = plain
+    return nodes
+
+
+def in_marked(nodes: list[tuple[Element, int, str]]) -> tuple[list[tuple[Element, int, str]], bool]:
+    """The nodes inside main, and of these the nodes inside articles, if these hold most of the content; whether either does.
+
+    Articles that hold little beside the largest, or beside the content around them, go in any case.
+    """
+    marked = False
+    for tag in ("main", "article"):
+        keys = content_keys(nodes)
+        own: dict[Element, int] = {}
         for n in nodes:
             if top := n[0].tops.get(tag):
-                own.setdefault(top, []).append(n)
-        if own:
-            plain = {top: part for top, part in own.items() if not top.other} or own
-            keys = content_keys([n for part in plain.values() for n in part])
-            return [n for part in plain.values() if any(e.key in keys for e, _, _ in part) for n in part]
-    return nodes
+                own[top] = own.get(top, 0) + _content([n], keys)
+        inside = sum(own.values())
+        around = _content(nodes, keys) - inside
+        if tag == "article":
+            least = ARTICLE_OF_ITS_OWN * max([around, *own.values()])
+            small = {top for top, size in own.items() if size < least or not size}
+            nodes = [n for n in nodes if n[0].tops.get(tag) not in small]
+        if inside > around:
+            nodes, marked = [n for n in nodes if tag in n[0].tops], True
+    return nodes, marked
 
 
 def main_nodes(page: str) -> list[tuple[Element, int, str]]:
     """The text nodes of a page's main text."""
-    every = text_nodes(page)
-    nodes = _articles(every)
-    marked = nodes is not every
+    nodes, marked = in_marked(without_named(text_nodes(page)))
     keys = content_keys(nodes)
-    size = lambda ns: sum(len(t.strip()) for e, _, t in ns if e.key in keys)
-    plain = [n for n in nodes if not n[0].other]
-    if 2 * size(plain) > size(nodes):
-        nodes, keys = plain, content_keys(plain)
     if not keys:
         return []
     chosen = {block for element, block, text in nodes if element.key in keys and text.strip()}

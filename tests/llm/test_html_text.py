@@ -36,7 +36,7 @@ def test_odd_pages():
 
 
 def test_broken_markup_takes_linear_time():
-    for page in ("<a " * 400_000, '<a "x" ' * 150_000 + '">', "<!" * 300_000, "<script>" + "</script " * 200_000, "a<" * 300_000 + ">", "<a '" * 200_000, "<div>x, y" * 20_000, "<b>x" * 20_000):
+    for page in ("<a " * 400_000, '<a "x" ' * 150_000 + '">', "<!" * 300_000, "<script>" + "</script " * 200_000, "a<" * 300_000 + ">", "<a '" * 200_000, "<div>x, y" * 20_000, "<b>x" * 20_000, "<p><object>" + "<b>" * 40_000 + "<div></div>" * 40_000, "<table><p>" + "<b>" * 40_000 + "<p></div>" * 40_000):
         began = time.process_time()
         ht.main_text(page)
         assert time.process_time() - began < 4
@@ -79,6 +79,44 @@ def test_articles_without_article():
         assert ht.main_text(page) == want
 
 
+LONG = "".join(f"<p>{P1} {P2} {P1}</p>" for _ in range(8))
+LONG_TEXT = "\n".join([f"{P1} {P2} {P1}"] * 8)
+TEASER = "<article class=card><h3>Next, please</h3><p>A short line, to be clicked.</p></article>"
+COMMENTS = "".join(f"<article class='comment-body'><p>{P2} {P1} {P2} {P1}</p></article>" for _ in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class=post><h1>Title</h1>{LONG}</div>{TEASER}", f"Title\n{LONG_TEXT}"),
+        (f"<main><h1>Title</h1>{LONG}{TEASER}</main>", f"Title\n{LONG_TEXT}"),
+        (f"<div class=post><h1>Title</h1>{LONG}</div><div>{COMMENTS}</div>", f"Title\n{LONG_TEXT}"),
+        (f"<div class=post><h1>Title</h1>{LONG}</div><div>{TEASER * 5}</div>{COMMENTS}", f"Title\n{LONG_TEXT}"),
+        (f"<article><h1>Title</h1>{LONG}</article>{TEASER * 3}", f"Title\n{LONG_TEXT}"),
+        (f"{TEASER * 3}<article><h1>Title</h1>{LONG}</article>", f"Title\n{LONG_TEXT}"),
+        (f"<article><h1>Title</h1>{LONG}{COMMENTS}</article>", f"Title\n{LONG_TEXT}"),
+        (f"<article><h1>Title</h1>{LONG}<section id=comments><h2>12 comments</h2>{COMMENTS.replace('article', 'div')}</section></article>", f"Title\n{LONG_TEXT}"),
+        (f"<main><article><h1>Title</h1>{LONG}</article><section>{TEASER * 4}</section></main>", f"Title\n{LONG_TEXT}"),
+        (f"<article><main><h1>Title</h1>{LONG}</main></article>{TEASER}", f"Title\n{LONG_TEXT}"),
+        (f"<main><div class=post><h1>Title</h1>{LONG}</div><div class=related-posts>{TEASER * 4}</div></main>", f"Title\n{LONG_TEXT}"),
+        (f"<main><article>{LONG}</article><article>{LONG}</article></main>", f"{LONG_TEXT}\n{LONG_TEXT}"),
+        (f"<main>{TEASER}</main><div class=post>{LONG}</div>", LONG_TEXT),
+        (f"<article>{LONG}<div class=promotion-history><p>{P1} {P2}</p></div></article>", f"{LONG_TEXT}\n{P1} {P2}"),
+        (f"<article>{LONG}<section class=search-algorithms><p>{P1} {P2}</p></section></article>", f"{LONG_TEXT}\n{P1} {P2}"),
+        (f"<article>{LONG}<div class=promo-box><p>{P1} {P2}</p></div></article>", LONG_TEXT),
+        (f"<article>{LONG}</article><div class=ad-slot><p>{P1 * 4}</p></div>", LONG_TEXT),
+        (f"<div class='page has-sidebar no-comments'>{LONG}</div><div class=widget-area><p>{P1}</p></div>", LONG_TEXT),
+        (f"<div id=comments><h1>Title</h1>{LONG}</div>", f"Title\n{LONG_TEXT}"),
+        (f"<div class=notice-page><h1>Title</h1>{LONG}</div><p>Imprint</p>", f"Title\n{LONG_TEXT}"),
+        (f"<div class=post><h1>Title</h1>{LONG}</div><ol class=commentlist>{'<li class=comment><p>' + P2 * 5 + '</p></li>' * 9}</ol>", f"Title\n{LONG_TEXT}"),
+        (f"<main><h1>Title</h1><article>{LONG}</article><div class=newsletter-signup><p>{P1} {P1}</p></div></main>", LONG_TEXT),
+        (f"<article>{P1}<p>{P2}</p></article>" + f"<article class=teaser><p>{P1}</p></article>" * 20, f"{P1}\n{P2}"),
+    ],
+)
+def test_teasers_comments_and_nested_articles(page, want):
+    assert ht.main_text(f"<html><body>{NOISE[0]}{page}{NOISE[1]}</body></html>") == want
+
+
 def test_ratios_pick_text_over_links():
     nodes = ht.text_nodes(f"<body><ul>{'<li><a>one</a></li>' * 9}</ul><div><p>{P1}</p><p>{P2}</p></div></body>")
     assert ht.content_paths(nodes) == {"/body/div/p"}
