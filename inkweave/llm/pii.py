@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.llm.common import whole_text
-from inkweave.llm.spans import apart_from, found, let, named
+from inkweave.llm.spans import apart_from, chunks_of, cut, found, let, named
 from inkweave.session import read_table
 
 # Possessive forms match as the greedy ones do and can't run out of stack on long texts; a look
@@ -84,23 +84,28 @@ def mod97(m: Column) -> Column:
     return let(F.regexp_replace(m, r"\x20", ""), rest) == 1
 
 
-def _near(text: Column, x: Column, words: str) -> Column:
+def _near(chunks: Column, x: Column, words: str) -> Column:
     """Whether one of the words stands near span x."""
-    near = F.concat(F.substring(text, F.greatest(x["s"] - BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(BEFORE))), F.lit(" "), F.substring(text, x["e"] + 1, F.lit(AFTER)))
+    near = F.concat(cut(chunks, F.greatest(x["s"] - BEFORE, F.lit(0)), x["s"]), F.lit(" "), cut(chunks, x["e"], x["e"] + AFTER))
     return F.lower(near).rlike(f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
 
 
-def score_of(text: Column, x: Column, kind: str) -> Column:
+def score_of(chunks: Column, x: Column, kind: str) -> Column:
     """The score of span x of a kind, its checksum passed where the kind has one: up and down by context, from 0 to 1.
 
-    Base kinds, which stay whatever stands near, go up alone.
+    Base kinds, which stay whatever stands near, go up alone. chunks is the text as chunks_of has it.
     """
     first = PROPOSED[kind] + (CHECKSUM if kind in CHECKED else 0)
-    up = F.when(_near(text, x, CONTEXT_WORDS[WORDS_OF[kind]]), CONTEXT).otherwise(0.0)
-    down = F.when(_near(text, x, OTHER_WORDS), AGAINST).otherwise(0.0) if kind in ADDED else F.lit(0.0)
+    up = F.when(_near(chunks, x, CONTEXT_WORDS[WORDS_OF[kind]]), CONTEXT).otherwise(0.0)
+    down = F.when(_near(chunks, x, OTHER_WORDS), AGAINST).otherwise(0.0) if kind in ADDED else F.lit(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(first) + up - down)), 2)
 
 
+def _scored(spans: Column, kind: str) -> Column:
+    """spans of a kind with their scores."""
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), score_of(F.col("chunks"), x, kind).alias("score")))
+
+
 def _small_parts(m: Column) -> Column:
     return m.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
 
@@ -113,7 +118,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, text, email, ip, card, phone, card_short, iban, phone_local, national_id) for each row.
 
     The first four are the base spans. Of the others those are added whose checksum holds, whose
-    score reaches LEAST and that overlap no base span. Each is an array of (s, e, m) by start. Null
+    score reaches LEAST and that overlap no base span. Each is an array of (s, e, m, score) by start. Null
     counts as an empty text, which has no spans; rows without an id and repeated rows stay as
     they are; an empty table gives an empty one.
     """
@@ -133,19 +138,15 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.filter("numbers", lambda x: F.when(_n_digits(x["m"], 16, 19), luhn(digits(x["m"]))).otherwise(False)).alias("card"),
         F.filter("numbers", lambda x: F.when(_n_digits(x["m"], 13, 15), luhn(digits(x["m"]))).otherwise(False)).alias("card_short"),
     )
-    base = F.concat("email", "ip", "card", "phone")
     ibans = F.filter(found(t, IBAN, t.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{10}")), lambda x: mod97(x["m"]))
     local = found(t, LOCAL_PHONE, t.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"))
     nat = found(t, NATIONAL_ID, t.rlike(NATIONAL_ID))
-    sure = lambda spans, kind: apart_from(F.filter(spans, lambda x: score_of(t, x, kind) >= LEAST), base).alias(kind)
-    return rows.select(
-        "id", "text", "email", "ip", "card", "phone", sure(F.col("card_short"), "card_short"), sure(ibans, "iban"), sure(local, "phone_local"), sure(nat, "national_id")
-    )
-
-
-def _scores(kind: str) -> Column:
-    """The score of each span of a kind."""
-    return F.transform(F.col(kind), lambda x: score_of(F.col("text"), x, kind).cast("string"))
+    rows = rows.select("id", "text", *BASE, "card_short", ibans.alias("iban"), local.alias("phone_local"), nat.alias("national_id"), F.concat(*BASE).alias("base"))
+    rows = rows.select("id", "text", *BASE, *[apart_from(F.col(k), F.col("base")).alias(k) for k in ADDED])
+    many = sum((F.size(k) for k in BASE + ADDED), F.lit(0))
+    rows = rows.withColumn("chunks", F.when(many > 0, chunks_of(t)))
+    rows = rows.select("id", "text", *[_scored(F.col(k), k).alias(k) for k in BASE + ADDED])
+    return rows.select("id", "text", *BASE, *[F.filter(k, lambda x: x["score"] >= LEAST).alias(k) for k in ADDED])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +157,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.concat(*[named(k, F.col(k)) for k in BASE]), ","), 256).alias("base_sha256"),
         F.array_join(every, ",").alias("spans"),
-        F.array_join(F.concat(*[_scores(k) for k in BASE + ADDED]), ",").alias("scores"),
+        F.array_join(F.concat(*[F.transform(k, lambda x: x["score"].cast("string")) for k in BASE + ADDED]), ",").alias("scores"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.llm.common import as_row, whole_text
-from inkweave.llm.spans import apart_from, found, let
+from inkweave.llm.spans import apart_from, found, let, replaced
 from inkweave.session import cut_lineage, read_table
 
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -204,22 +204,6 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _discovered(spans, limits)
 
 
-def _masked(text: Column, spans: Column, mask: str) -> Column:
-    """text with its spans, which may overlap, replaced."""
-
-    def rebuilt(ordered: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            fresh = x["s"] >= acc["at"]
-            piece = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, F.lit(mask)))).otherwise(acc["out"]).alias("out"))
-
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(ordered, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-
-    bare = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    return F.when(F.size(spans) > 0, let(F.sort_array(bare), rebuilt)).otherwise(text)
-
-
 def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret replaced by mask, and its length column set anew where a text changed.
 
@@ -229,7 +213,7 @@ def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "
     limits = discovery_limits(scanned(docs.select(whole_text(docs[text_col]).alias("text"))).select(F.explode("candidates").alias("c")).select("c.stratum", "c.bin"))
     rows = _discovered(scanned(as_row(docs, text=whole_text(docs[text_col]))), limits)
     every = F.concat(*BASE, "random")
-    rows = rows.select("row", F.when(F.size(every) > 0, _masked(F.col("text"), every, mask)).alias("clean"))
+    rows = rows.select("row", F.when(F.size(every) > 0, replaced(F.col("text"), every, mask)).alias("clean"))
     out = []
     for c in docs.columns:
         if c == text_col:
