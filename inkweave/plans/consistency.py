@@ -92,51 +92,29 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "slot", "value", "verdict", "reasons", "evidence", "confirmed", F.round(score + 1e-9, 6).alias("reliability"))
 
 
-@query("consistency_verdicts", VERDICTS + " SELECT * FROM verdicts")
-def consistency_verdicts(spark: SparkSession, d: str) -> DataFrame:
+@query("fact_verdicts", VERDICTS + " SELECT * FROM verdicts")
+def fact_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What documents state, held against what most documents of their source state: facts alone, nothing is searched for."""
     return _verdicts(spark, d)
 
 
-@query("verdict_detail", VERDICTS + " SELECT slot, verdict, count(*) AS n, round(avg(reliability), 4) AS mean_reliability, string_agg(DISTINCT nullif(reasons, ''), '|') AS reasons FROM verdicts GROUP BY ALL")
-def verdict_detail(spark: SparkSession, d: str) -> DataFrame:
-    reasons = F.array_join(F.array_sort(F.collect_set(F.nullif("reasons", F.lit("")))), "|")
-    return _verdicts(spark, d).groupBy("slot", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("reliability"), 4).alias("mean_reliability"), F.nullif(reasons, F.lit("")).alias("reasons"))
-
-
 @query("consistency_loop", VERDICTS + " , u AS (SELECT * FROM verdicts WHERE verdict = 'UNKNOWN') SELECT doc_id, slot, value, evidence >= 3 AS wider FROM u")
 def consistency_loop(spark: SparkSession, d: str) -> DataFrame:
-    """Claims left for a second round, and whether the wider scope has enough evidence."""
+    """Claims that facts leave open, and whether their source has enough evidence."""
     return _verdicts(spark, d).where("verdict = 'UNKNOWN'").select("doc_id", "slot", "value", (F.col("evidence") >= 3).alias("wider"))
 
 
-GLOBAL = (
-    VERDICTS + ", u AS (SELECT * FROM verdicts WHERE verdict = 'UNKNOWN' AND evidence >= 3), gf AS (SELECT slot, value AS fact_value FROM (SELECT slot, value, count(*) AS n FROM claims GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY slot ORDER BY n DESC, value) = 1),"
-    " j2 AS (SELECT u.doc_id, u.slot, u.value, fact_value FROM u JOIN gf USING (slot)), o2 AS (" + _compare_sql("j2", "value", "fact_value") + ")"
-)
-
-
-@query("consistency_second_round", GLOBAL + " SELECT doc_id, slot, value, coalesce(outcome, 'UNKNOWN') AS verdict FROM o2")
-def consistency_second_round(spark: SparkSession, d: str) -> DataFrame:
-    """Claims the first round left open, where the wider scope has evidence enough: held against what all sources say most."""
-    claims = _claims(spark, d)
-    counted = claims.groupBy("slot", "value").agg(F.count("*").alias("n"))
-    wide = rel.first_written(counted.withColumn("o", -F.col("n")), ["slot"], ["o", "value"]).select("slot", F.lit(None).cast("string").alias("entity_id"), "value", F.col("slot").alias("fact_id"))
-    open_ = _verdicts(spark, d).where("verdict = 'UNKNOWN' and evidence >= 3").select("doc_id", "slot", F.lit(None).cast("string").alias("entity"), "value")
-    return vd.judged(open_, wide, ["doc_id"]).select("doc_id", "slot", "value", "verdict")
-
-
 @query(
     "stored_verdicts",
     VERDICTS + ", k AS (SELECT *, 'v_' || substr(sha1(doc_id || '|' || slot), 1, 20) AS vid FROM verdicts) SELECT k.slot, k.verdict, count(*) AS n, count(*) FILTER (WHERE k.verdict <> 'UNKNOWN') AS linked, min(vid) AS first_vid FROM k GROUP BY ALL",
 )
 def stored_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts and their links to facts, stored by slot and read again: a run done twice replaces its own partitions."""
+    """Verdicts and their links to facts, stored by slot and read again."""
     from inkweave.session import shared_folder
 
     claims = _claims(spark, d).drop("confidence")
     path = f"{shared_folder(spark)}/verdicts-{uuid.uuid4().hex}"
-    for _ in range(2):
-        vd.store_verdicts(_verdicts(spark, d), claims.select("doc_id", F.concat_ws("/", "source", "slot").alias("fact_id"), "slot"), path)
+    vd.store_verdicts(_verdicts(spark, d), claims.select("doc_id", F.concat_ws("/", "source", "slot").alias("fact_id"), "slot"), path)
     log, links = (spark.read.parquet(f"{path}/{t}") for t in ("verdict_log", "verdict_evidence_link"))
     linked = links.groupBy("vid").agg(F.count("*").alias("k"))
     return log.join(linked, "vid", "left").groupBy("slot", "verdict").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 0).alias("linked"), F.min("vid").alias("first_vid"))
