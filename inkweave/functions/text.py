@@ -23,6 +23,26 @@ def terms(text: Column, most: int | None = None) -> Column:
     return found if most is None else F.slice(F.array_distinct(found), 1, most)
 
 
+def _folding() -> tuple[str, str]:
+    """Latin letters with marks and the letters below them; marks that stand alone come last, with nothing for them."""
+    bases = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    marked = {c: b for c, b in bases.items() if b != c and b.isascii()}
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(marked.values())
+
+
+MARKED, BARE = _folding()
+
+
+def folded(text: Column) -> Column:
+    """A text without the marks on its Latin letters; plain ASCII is left as it is."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(text, MARKED, BARE))
+
+
+def search_terms(text: Column, most: int | None = None) -> Column:
+    """Terms as full-text search has them: lower-case, without marks; with most, the first distinct ones up to that many."""
+    return terms(folded(F.lower(text)), most)
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition, which Spark lacks."""
 

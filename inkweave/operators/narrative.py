@@ -89,6 +89,17 @@ def aliases_in(segments: DataFrame, aliases: DataFrame, key: str, text: str = "t
     return words.join(aliases.select(F.lower("alias").alias("alias"), "entity_id").distinct(), "alias").groupBy(key, "entity_id").agg(F.count("*").alias("n"))
 
 
+def by_unique_alias(used: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """(key, entity, state) for used(key, alias): the entity that all aliases of a key name, none, or null and ambiguous if they name several.
+
+    aliases has (alias, entity_id); an alias that several entities have makes its keys ambiguous. Only
+    the least and the greatest entity of an alias and of a key are kept, so no set is gathered.
+    """
+    ends = aliases.where("entity_id is not null").groupBy("alias").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    found = used.join(ends, "alias", "left").groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.select(key, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("entity"), F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), "one").otherwise("ambiguous").alias("state"))
+
+
 def probe_text(anchors: DataFrame, texts: DataFrame, key: str, before: int = 24, after: int = 48) -> DataFrame:
     """(key, probe): the text around each key's earliest anchor; anchors have (key, s, e)."""
     first = anchors.groupBy(key).agg(F.min(F.struct("s", "e")).alias("a")).select(key, "a.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions import lexicon as lx
-from inkweave.functions.text import terms
+from inkweave.functions.text import search_terms, terms
+from inkweave.session import cut_lineage, drop_folder, shared_folder
 
 K1, B = 1.2, 0.75
 
@@ -22,12 +24,11 @@ def top_k(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that go whole to every task at most; more are scored over postings that are shuffled. Queries that are scored together.
-TASK_QUERIES, TOGETHER = 20_000, 256
-
-
-#: Documents that are scored together.
-ROWS = 256
+#: Terms of queries that go to every task at most, all queries together; more queries are scored over an index. Queries whose
+#: phrases are looked up in the tasks.
+TASK_TERMS, TASK_QUERIES = 200_000, 20_000
+#: Documents that are scored together, and scores that are held at once.
+ROWS, SCORES = 256, 1 << 21
 
 
 def _features(counts: Counter, place: dict[str, int], repeats: bool) -> list[tuple[int, int]]:
@@ -38,71 +39,84 @@ def _features(counts: Counter, place: dict[str, int], repeats: bool) -> list[tup
     return [(place[w], 1) for w in own] + [(place[f], 1) for w in own for i in range(1, counts[w]) if (f := f"{w} {i}") in place]
 
 
+def _weights_by_term(asked: dict[int, dict[str, float]]) -> tuple[np.ndarray, dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, the terms' places, and for each term where its (query, weight) pairs begin, as one row after the other."""
+    ids = sorted(asked)
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for j, q in enumerate(ids):
+        for t, x in asked[q].items():
+            by_term.setdefault(t, []).append((j, x))
+    pairs = [p for ps in by_term.values() for p in ps]
+    begins = np.concatenate([[0], np.cumsum([len(ps) for ps in by_term.values()])]).astype(np.int64)
+    return np.array(ids, np.int64), {t: i for i, t in enumerate(by_term)}, begins, np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], float)
+
+
 def scored_in_place(docs: DataFrame, asked: dict[int, dict[str, float]], k: int, weight: tuple[float, float, float] | None, repeats: bool = False) -> DataFrame:
     """(query, doc, score): at most k best documents of each query and task, by a weighted sum over the terms they share.
 
     docs has (doc, words), its terms joined by blanks; asked has the terms' weights by query. Documents stay where they
     are: every task keeps k a query, so what is sent on grows with the tasks, never with pairs that share a term. weight
     is (k1, b, mean length) of BM25, or None for a plain sum. repeats has a term's further occurrences as "term 1" and on.
+    Tasks get a number for each term of a query, no more.
     """
-    groups = []
-    ids = sorted(asked)
-    for at in range(0, len(ids), TOGETHER):
-        own = ids[at : at + TOGETHER]
-        names = sorted({t for q in own for t in asked[q]})
-        place = {t: i for i, t in enumerate(names)}
-        matrix = np.zeros((len(names), len(own)))
-        for j, q in enumerate(own):
-            for t, x in asked[q].items():
-                matrix[place[t], j] = x
-        groups.append((np.array(own, np.int64), place, matrix))
+    names, place, begins, query, weights = _weights_by_term(asked)
+    rows = max(1, min(ROWS, SCORES // max(1, len(names))))
+
+    def block(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, queries and scores of what shares a term."""
+        counts = [Counter(t.split(" ")) if t else Counter() for t in words]
+        seen = [(i, f, n) for i, c in enumerate(counts) for f, n in _features(c, place, repeats)]
+        if not seen:
+            return (np.zeros(0, np.int64),) * 3
+        row, term, tf = (np.array(x) for x in zip(*seen, strict=True))
+        if weight:
+            k1, b, mean = weight
+            length = np.array([c.total() for c in counts], float)[row]
+            tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        many = begins[term + 1] - begins[term]
+        at = np.repeat(begins[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        raw = np.bincount(np.repeat(row, many) * len(names) + query[at], weights[at] * np.repeat(tf, many), minlength=len(words) * len(names)).reshape(len(words), -1)
+        s = np.round(raw, 6)
+        most = min(k, len(words))
+        floor = np.partition(s, len(words) - most, axis=0)[len(words) - most]  # what ties with the last one stays, for the order by document
+        i, j = np.nonzero((s >= floor) & (raw > 0))
+        return i, j, s[i, j]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for p in parts:
-            for at in range(0, len(p), ROWS):
-                counts = [Counter(t.split(" ")) if t else Counter() for t in p["words"].iloc[at : at + ROWS]]
-                own = p["doc"].iloc[at : at + ROWS].to_numpy()
-                length = np.array([c.total() for c in counts], float)
-                new = []
-                for names, place, matrix in groups:
-                    seen = np.zeros((len(counts), len(place)))
-                    for i, c in enumerate(counts):
-                        for f, n in _features(c, place, repeats):
-                            seen[i, f] = n
-                    if weight:
-                        k1, b, mean = weight
-                        seen = seen * (k1 + 1) / (seen + (k1 * (1 - b + b * length / mean))[:, None])
-                    raw = seen @ matrix
-                    s = np.round(raw, 6)
-                    many = min(k, len(own))
-                    floor = np.partition(s, len(own) - many, axis=0)[len(own) - many]  # what ties with the last one stays, for the order by document
-                    i, j = np.nonzero((s >= floor) & (raw > 0))
-                    new.append(pd.DataFrame({"query": names[j], "doc": own[i], "score": s[i, j]}))
-                best = pd.concat([*([best] if best is not None else []), *new]).sort_values(["query", "score", "doc"], ascending=[True, False, True]).groupby("query").head(k) if new else best
+            for at in range(0, len(p), rows):
+                own = p["doc"].iloc[at : at + rows].to_numpy()
+                i, j, s = block(p["words"].iloc[at : at + rows].tolist())
+                new = pd.DataFrame({"query": names[j], "doc": own[i], "score": s})
+                best = pd.concat([*([best] if best is not None else []), new]).sort_values(["query", "score", "doc"], ascending=[True, False, True]).groupby("query").head(k)
         if best is not None and len(best):
             yield best
 
-    return docs.mapInPandas(run, "query long, doc long, score double")
+    return docs.mapInPandas(run, "query long, doc long, score double") if asked else docs.sparkSession.createDataFrame([], "query long, doc long, score double")
 
 
 def _by_query(asked: DataFrame) -> dict[int, Counter] | None:
-    """The terms of each query of asked(query, ts), or None where there are more than TASK_QUERIES."""
-    rows = asked.limit(TASK_QUERIES + 1).collect()
-    return {r["query"]: Counter(r["ts"]) for r in rows} if len(rows) <= TASK_QUERIES else None
+    """The terms of each query of asked(query, ts), or None where they are more than TASK_TERMS."""
+    if (asked.agg(F.sum(F.size("ts") + 1)).first()[0] or 0) > TASK_TERMS:
+        return None
+    return {r["query"]: Counter(r["ts"]) for r in asked.collect()}
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int, kept: Column | None = None, text: str = "text", most_terms: int = 24) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query; better scores are lower.
 
-    Statistics are those of the whole corpus, kept only says which of its rows may be results. Up to
-    TASK_QUERIES queries go to the documents, which are scored where they are; more of them meet the
-    documents over postings of the queries' terms. Query and document ids are integers.
+    Statistics are those of the whole corpus, kept only says which of its rows may be results. Queries
+    of up to TASK_TERMS terms go to the documents, which are scored where they are; for more the
+    corpus is indexed first. Query and document ids are integers.
     """
-    docs = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts"), (kept if kept is not None else F.lit(True)).alias("kept"))
-    asked = queries.select(F.col(query).alias("query"), terms(F.col(text), most_terms).alias("ts"))
+    able = kept if kept is not None else F.lit(True)
+    asked = queries.select(F.col(query).alias("query"), search_terms(F.col(text), most_terms).alias("ts"))
     own = _by_query(asked)
-    scored = _bm25_over_postings(docs, asked) if own is None else _bm25_in_place(docs, own, k)
+    if own is None:
+        scored = _bm25_by_index(corpus.select(F.col(doc).alias("unit"), F.col(text).alias("text"), F.when(able, F.array(F.lit("kept"))).alias("tags")), queries.select(F.col(query).alias("query"), F.lit("kept").alias("tag"), F.col(text).alias("text")), k, most_terms)
+    else:
+        scored = _bm25_in_place(corpus.select(F.col(doc).alias("doc"), search_terms(F.col(text)).alias("ts"), able.alias("kept")), own, k)
     return top_k(scored, "query", [F.col("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")
 
 
@@ -133,20 +147,16 @@ def _bm25_in_place(docs: DataFrame, asked: dict[int, Counter], k: int) -> DataFr
     return found.select("query", "doc", (-F.col("score")).alias("score"))
 
 
-def _bm25_over_postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, doc, score) of all pairs that share a term, for more queries than a task can hold.
+def _bm25_by_index(units: DataFrame, queries: DataFrame, k: int, most_terms: int) -> DataFrame:
+    """(query, doc, score) by an index that is stored for this search."""
+    from inkweave.operators.postings import search_postings, write_postings
 
-    The corpus is cut to the queries' terms before anything is counted, and counts are summed
-    before they move.
-    """
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
-    wanted = asked.select("query", F.explode("ts").alias("term"))
-    tokens = docs.select("doc", "kept", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = tokens.groupBy("doc", "kept", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = F.log((F.lit(stats["n"]) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    df = tf.groupBy("term").agg(F.count("*").alias("n_t")).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    return tf.where("kept").join(wanted.join(df, "term"), "term").groupBy("query", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
+    spark = units.sparkSession
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_postings(units, path)
+    found = cut_lineage(search_postings(spark, path, queries, k, most_terms))
+    drop_folder(spark, path)
+    return found.select("query", F.col("unit").alias("doc"), "score")
 
 
 #: Characters of a query that are its phrase, and terms whose run is looked up before the whole phrase is compared.
@@ -156,7 +166,7 @@ PHRASE_CHARS, RUN = 180, 6
 def phrase_of(text: Column, compat: bool = False) -> Column:
     """The terms that lie whole in a text's first PHRASE_CHARS characters; as first written, a term cut in two counts as it is cut."""
     cut = F.regexp_replace(F.substring(text, 1, PHRASE_CHARS + 1), r"[\p{L}\p{N}]+$", "")
-    return terms(F.substring(text, 1, PHRASE_CHARS) if compat else F.when(F.length(text) > PHRASE_CHARS, cut).otherwise(text))
+    return search_terms(F.substring(text, 1, PHRASE_CHARS) if compat else F.when(F.length(text) > PHRASE_CHARS, cut).otherwise(text))
 
 
 def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", compat: bool = False) -> DataFrame:
@@ -173,7 +183,7 @@ def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str,
     few = len(rows) <= TASK_QUERIES
     sizes = sorted({r["n"] for r in rows}) if few else list(range(1, RUN + 1))
     longest = max((r["size"] for r in rows), default=0) if few else PHRASE_CHARS
-    docs = corpus.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts"))
+    docs = corpus.select(F.col(doc).alias("doc"), search_terms(F.col(text)).alias("ts"))
 
     def places(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("ts", i, F.lit(n))).alias("h")))
@@ -191,7 +201,7 @@ def phrase_matches(corpus: DataFrame, queries: DataFrame, doc: str, query: str,
 def overlap_scores(corpus: DataFrame, queries: DataFrame, doc: str, query: str, k: int, text: str = "text") -> DataFrame:
     """(query, doc, score, rank): shared terms as multisets, over the query's number of terms.
 
-    As in bm25, up to TASK_QUERIES queries go to the documents; more are joined by term, the corpus
+    As in bm25, queries of up to TASK_TERMS terms go to the documents; more are joined by term, the corpus
     cut to the queries' terms first.
     """
     asked = queries.select(F.col(query).alias("query"), terms(F.col(text)).alias("ts"))
@@ -279,44 +289,3 @@ def pair_score(query: Column, snippet: Column) -> Column:
     flat = lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " "))
     score = 0.10 + 0.60 * shared / F.greatest(F.size(q), F.lit(1)) + 0.20 * shared / F.greatest(F.size(s), F.lit(1)) + F.when(F.contains(flat(snippet), flat(query)), 0.25).otherwise(0.0)
     return F.when(shared == 0, 0.0).otherwise(clamp(score))
-
-
-#: Parts of a stored index: a query reads those of its terms.
-INDEX_PARTS = 64
-
-
-def write_index(corpus: DataFrame, path: str, doc: str, text: str = "text", parts: int = INDEX_PARTS) -> None:
-    """Stores a full-text index: postings (part, term, doc, tf, dl), sorted by term in each part, and the corpus's statistics.
-
-    A term's postings lie in one part, spread over files by document, so a common term is no single
-    task. Ids are integers; rows without one aren't found and don't count.
-    """
-    docs = corpus.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), terms(F.col(text)).alias("ts"))
-    docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("ts")), F.lit(0.0)).alias("avgdl"), F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{path}/statistics")
-    postings = docs.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    placed = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).repartition("part", F.pmod(F.xxhash64("doc"), F.lit(4)))
-    placed.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-
-
-def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, doc: str, k: int, text: str = "text", most_terms: int = 24) -> DataFrame:
-    """(query, doc, score, rank) as bm25 gives them, from a stored index: only the parts of the queries' terms are read.
-
-    For up to TASK_QUERIES queries their terms go to the scan as a filter; more are joined.
-    """
-    stats = spark.read.parquet(f"{path}/statistics").first()
-    asked = queries.select(F.col(query).alias("query"), terms(F.col(text), most_terms).alias("ts"))
-    wanted = asked.select("query", F.explode("ts").alias("term"))
-    names = wanted.select("term", F.pmod(F.xxhash64("term"), F.lit(stats["parts"])).cast("int").alias("part")).distinct()
-    postings = spark.read.parquet(f"{path}/postings")
-    few = asked.limit(TASK_QUERIES + 1).count() <= TASK_QUERIES
-    if few:
-        own = names.collect()  # bounded by the queries
-        postings = postings.where(F.col("part").isin(*sorted({r["part"] for r in own})) & F.col("term").isin(*[r["term"] for r in own])) if own else postings.limit(0)
-    else:
-        postings = postings.join(names, ["part", "term"], "left_semi")
-    idf = F.log((F.lit(stats["n"]) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    df = postings.groupBy("term").agg(F.count("*").alias("n_t")).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    weighted = wanted.join(df, "term")
-    scored = postings.join(F.broadcast(weighted) if few else weighted, "term").groupBy("query", "doc").agg(F.round(-F.sum(part), 6).alias("score"))
-    return top_k(scored, "query", [F.col("score"), F.col("doc")], k).select(F.col("query").alias(query), F.col("doc").alias(doc), "score", "rank")

@@ -172,10 +172,10 @@ def bool_word_cases(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t, _ in WORDS], "text string").select("text", rp.bool_word(F.col("text")).alias("flag"))
 
 
-@query("memo_keys", "SELECT doc_id, trim(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) || '|{\"k\":' || doc_id % 3 || '}' AS key FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@query("memo_keys", "SELECT doc_id, trim(lower(regexp_replace(trim(nfc_normalize(text)), '\\s+', ' ', 'g'))) || '|{\"k\":' || doc_id % 3 || '}' AS key FROM documents")
 def memo_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of plain texts, on which composition has no say."""
-    rows = read_table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    """A key for each text, however its letters are composed."""
+    rows = read_table(spark, d, "documents").select("doc_id", "text")
     return rows.select("doc_id", rp.memo_key(F.col("text"), F.concat(F.lit('{"k":'), (F.col("doc_id") % 3).cast("string"), F.lit("}"))).alias("key"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
 from inkweave.operators import intervals as iv
+from inkweave.operators import narrative as na
 from inkweave.operators import relational as rel
 from inkweave.session import read_table
 
@@ -146,17 +147,17 @@ def episode_range_tightest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "alias_unique_resolve",
-    "WITH w AS (SELECT p_partkey, p_brand, p_size, unnest(string_split(lower(p_name), ' ')) AS alias FROM part),"
-    " a AS (SELECT alias, min(p_brand) AS brand, count(DISTINCT p_brand) AS n FROM w GROUP BY alias),"
-    " r AS (SELECT p_partkey, min(brand) AS brand, count(DISTINCT brand) AS n FROM w LEFT JOIN a ON w.alias = a.alias GROUP BY p_partkey)"
-    " SELECT p_partkey, CASE WHEN n = 1 THEN brand END AS entity, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS state FROM r",
+    "WITH a AS (SELECT DISTINCT p_name || ' ' || p_size AS alias, p_brand AS entity FROM part WHERE p_type <> 'PROMO'), t AS (SELECT p_partkey, unnest([p_name || ' ' || p_size, p_name || ' ' || (p_size + 1)]) AS alias FROM part),"
+    " r AS (SELECT p_partkey, min(entity) AS entity, count(DISTINCT entity) AS n FROM t LEFT JOIN a USING (alias) GROUP BY p_partkey)"
+    " SELECT p_partkey, CASE WHEN n = 1 THEN entity END AS entity, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS state FROM r",
 )
 def alias_unique_resolve(spark: SparkSession, d: str) -> DataFrame:
-    words = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.explode(F.split(F.lower("p_name"), " ")).alias("alias"))
-    index = words.groupBy("alias").agg(F.min("p_brand").alias("brand"))
-    value, state = iv.unique_or_ambiguous(F.col("brands"))
-    found = words.join(index.select("alias", "brand"), "alias", "left").groupBy("p_partkey").agg(F.collect_set("brand").alias("brands"))
-    return found.select("p_partkey", value.alias("entity"), state.alias("state"))
+    """Whose aliases two names of each part are: that of one brand, of none or of several."""
+    part = read_table(spark, d, "part")
+    name = lambda size: F.concat_ws(" ", "p_name", size.cast("string"))
+    aliases = part.where("p_type <> 'PROMO'").select(name(F.col("p_size")).alias("alias"), F.col("p_brand").alias("entity_id"))
+    used = part.select("p_partkey", F.explode(F.array(name(F.col("p_size")), name(F.col("p_size") + 1))).alias("alias"))
+    return na.by_unique_alias(used, aliases, "p_partkey")
 
 
 TAGS = [("attr/p_size", "int"), ("attr/p_retailprice", "float"), ("attr/p_brand", "str")]

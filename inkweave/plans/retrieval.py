@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
+from inkweave.functions.text import search_terms
+from inkweave.operators import postings as po
 from inkweave.operators import search as se
 from inkweave.operators import vectors as ve
-from inkweave.session import read_table, shared_folder
+from inkweave.session import cut_lineage, drop_folder, read_table, shared_folder
 
 T = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
-FIRST = f"list_slice(list_filter({T.format('text')}, lambda x, i: list_position({T.format('text')}, x) = i), 1, 24)"
+#: The same without marks, as full-text search has it.
+TF = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
+FIRST = f"list_slice(list_filter({TF.format('text')}, lambda x, i: list_position({TF.format('text')}, x) = i), 1, 24)"
 BM25 = (
-    f"WITH d AS (SELECT doc_id, lang, source, {T.format('text')} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d), q AS (SELECT item_id, unnest({FIRST}) AS term FROM benchmark),"
+    f"WITH d AS (SELECT doc_id, lang, source, {TF.format('text')} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d), q AS (SELECT item_id, unnest({FIRST}) AS term FROM benchmark),"
     " p AS (SELECT doc_id, lang, source, len(ts) AS dl, unnest(ts) AS term FROM d), tf AS (SELECT doc_id, lang, source, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),"
     " df AS (SELECT term, count(*) AS n_t FROM tf GROUP BY term), w AS (SELECT term, CASE WHEN ln((n - n_t + 0.5) / (n_t + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n_t + 0.5) / (n_t + 0.5)) END AS idf, avgdl FROM df, st),"
     " s AS (SELECT item_id, doc_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN w USING (term) JOIN tf USING (term) WHERE %s GROUP BY ALL),"
@@ -36,12 +40,25 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return se.bm25(_docs(spark, d), _items(spark, d), "doc_id", "item_id", 3)
 
 
-@query("bm25_stored_index", BM25 % "true" + " SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3")
-def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
-    """The same from an index that is stored once and read by the parts that the queries' terms are in."""
+def _index(spark: SparkSession, d: str) -> str:
+    """Documents as an index, each under its language."""
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    se.write_index(_docs(spark, d), path, "doc_id")
-    return se.search_index(spark, path, _items(spark, d), "item_id", "doc_id", 3)
+    po.write_postings(_docs(spark, d).select(F.col("doc_id").alias("unit"), "text", F.array("lang").alias("tags")), path)
+    return path
+
+
+STORED = " , f AS (SELECT r.item_id, r.doc_id, score, row_number() OVER (PARTITION BY r.item_id ORDER BY score, r.doc_id) AS in_lang FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE d.lang = 'en')"
+
+
+@query("bm25_stored_index", BM25 % "true" + STORED + " SELECT item_id, 'all' AS searched, doc_id, score, rank FROM r WHERE rank <= 3 UNION ALL SELECT item_id, 'en', doc_id, score, in_lang FROM f WHERE in_lang <= 3")
+def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents of every item, of all and of one language, from one stored index."""
+    path = _index(spark, d)
+    items = _items(spark, d).select(F.col("item_id").alias("query"), "text")
+    found = [po.search_postings(spark, path, items.withColumn("tag", F.lit(tag)), 3).withColumn("searched", F.lit(tag or "all")) for tag in (None, "en")]
+    out = cut_lineage(found[0].union(found[1]).select(F.col("query").alias("item_id"), "searched", F.col("unit").alias("doc_id"), "score", "rank"))
+    drop_folder(spark, path)
+    return out
 
 
 @query("bm25_filtered", BM25 % "lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4')" + " SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
@@ -53,13 +70,27 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "phrase_search",
     f"WITH c AS (SELECT item_id, CASE WHEN length(text) > 180 THEN regexp_replace(substr(text, 1, 181), '[\\p{{L}}\\p{{N}}]+$', '') ELSE text END AS beginning FROM benchmark),"
-    f" q AS (SELECT item_id, ' ' || array_to_string({T.format('beginning')}, ' ') || ' ' AS phrase FROM c WHERE len({T.format('beginning')}) > 0),"
-    f" d AS (SELECT doc_id, ' ' || array_to_string({T.format('text')}, ' ') || ' ' AS flat FROM documents) SELECT item_id, doc_id FROM q JOIN d ON contains(flat, phrase)",
+    f" q AS (SELECT item_id, ' ' || array_to_string({TF.format('beginning')}, ' ') || ' ' AS phrase FROM c WHERE len({TF.format('beginning')}) > 0),"
+    f" d AS (SELECT doc_id, ' ' || array_to_string({TF.format('text')}, ' ') || ' ' AS flat FROM documents) SELECT item_id, doc_id FROM q JOIN d ON contains(flat, phrase)",
 )
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
     return se.phrase_matches(_docs(spark, d), _items(spark, d), "doc_id", "item_id")
 
 
+@query(
+    "phrase_stored_index",
+    f"WITH q AS (SELECT item_id, ' ' || array_to_string(list_slice({TF.format('text')}, 3, 12), ' ') || ' ' AS phrase FROM benchmark WHERE len({TF.format('text')}) > 2), d AS (SELECT doc_id, lang, ' ' || array_to_string({TF.format('text')}, ' ') || ' ' AS flat FROM documents)"
+    " SELECT item_id, doc_id FROM q JOIN d ON contains(flat, phrase) WHERE item_id % 2 = 0 OR lang = 'en'",
+)
+def phrase_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold ten terms of an item in a row, by the index's places; items with an odd id ask for one language."""
+    path = _index(spark, d)
+    phrases = _items(spark, d).select(F.col("item_id").alias("query"), F.when(F.col("item_id") % 2 == 1, "en").alias("tag"), F.slice(search_terms(F.col("text")), 3, 10).alias("phrase"))
+    out = cut_lineage(po.phrase_postings(spark, path, phrases).select(F.col("query").alias("item_id"), F.col("unit").alias("doc_id")))
+    drop_folder(spark, path)
+    return out
+
+
 @query(
     "token_overlap",
     f"WITH q AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({T.format('text')}) AS term FROM benchmark) GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({T.format('text')}) AS term FROM documents) GROUP BY ALL),"

@@ -20,9 +20,9 @@ LINES = (
 )
 
 
-@query("query_terms", f"SELECT item_id, array_to_string(list_slice(list_distinct_ordered, 1, 24), ' ') AS terms FROM (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT item_id, {TERMS.format('text')} AS t FROM benchmark))")
+@query("query_terms", f"SELECT item_id, array_to_string(list_slice(list_distinct_ordered, 1, 24), ' ') AS terms FROM (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT item_id, {TERMS.replace('lower({0})', 'strip_accents(lower({0}))').format('text')} AS t FROM benchmark))")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "benchmark").select("item_id", F.array_join(tx.terms(F.col("text"), 24), " ").alias("terms"))
+    return read_table(spark, d, "benchmark").select("item_id", F.array_join(tx.search_terms(F.col("text"), 24), " ").alias("terms"))
 
 
 @query(

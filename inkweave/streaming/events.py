@@ -6,8 +6,13 @@ be streaming; the watermark matters only there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -54,16 +59,45 @@ def cooled_down(events: DataFrame, keys: list[str], pause: str = "15 seconds", s
     return events.withColumn("before", before).where(F.col("before").isNull() | (F.unix_micros("ts") - F.unix_micros("before") >= seconds * 1_000_000)).drop("before")
 
 
-def ingest_stream(documents: DataFrame, table: str, checkpoint: str, known: DataFrame | None = None):
+def _fresh(keep_ms: int, columns: list[str]):
+    """Lets each text of a document through once, as long as the document is remembered."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = set(state.get[0]) if state.exists else set()
+        for part in parts:
+            new = part[~part["state_key"].isin(seen)].drop_duplicates("state_key")
+            seen.update(new["state_key"])
+            if len(new):
+                yield new[columns]
+        state.update((sorted(seen),))
+        state.setTimeoutDuration(keep_ms)
+
+    return run
+
+
+def ingest_stream(documents: DataFrame, table: str, checkpoint: str, known: DataFrame | None = None, keep: timedelta = timedelta(days=7)):
     """Starts a query that appends documents to a Parquet table, each (doc_id, text) once.
 
-    What has been seen is the stream's own state, not a scan of the table, and a batch that is done
-    again gives the same rows: the file sink writes each batch once. known(doc_id, checksum) has
-    texts that are in the table from elsewhere; they are left out. Null texts have a null checksum
-    and count as one text.
+    Repeats are known by the stream's own state, which forgets a document that wasn't seen for as
+    long as keep says, so it doesn't grow with the table; known(doc_id, checksum), for example the
+    table as it was, has those that came before. A batch that is done again gives the same rows: the
+    file sink writes each batch once. A null text has a null checksum and counts as a text; so
+    does a null id as an id.
     """
     rows = documents.withColumn("checksum", F.sha2("text", 256))
     if known is not None:
-        rows = rows.join(known.select("doc_id", "checksum"), ["doc_id", "checksum"], "left_anti").select(*rows.columns)
-    fresh = rows.dropDuplicates(["doc_id", "checksum"])
-    return fresh.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        there = known.select(F.col("doc_id").alias("known_id"), F.col("checksum").alias("known_checksum")).distinct()
+        rows = rows.join(there, F.col("doc_id").eqNullSafe(F.col("known_id")) & F.col("checksum").eqNullSafe(F.col("known_checksum")), "left_anti")
+    keyed = rows.withColumn("state_key", F.coalesce("checksum", F.lit("null")))
+    run = _fresh(max(1, int(keep.total_seconds() * 1000)), rows.columns)
+    fresh = keyed.groupBy("doc_id").applyInPandasWithState(run, rows.schema, "seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    conf, name = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # what is forgotten needs no batch of its own; with them this query would never end
+    try:
+        return fresh.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)

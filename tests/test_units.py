@@ -261,10 +261,10 @@ def test_search_in_place_and_over_postings(spark, monkeypatch):
     asked = spark.createDataFrame([(i, text(r.randint(0, 12))) for i in range(40)], "q long, text string")
     run = lambda fn: sorted(map(tuple, fn(docs, asked, "doc_id", "q", 4).collect()))
     first = [run(se.bm25), run(se.overlap_scores)]
-    monkeypatch.setattr(se, "TASK_QUERIES", 3)
+    monkeypatch.setattr(se, "TASK_TERMS", 3)
     assert [run(se.bm25), run(se.overlap_scores)] == first and all(first)
     monkeypatch.undo()
-    monkeypatch.setattr(se, "TOGETHER", 7)
+    monkeypatch.setattr(se, "SCORES", 200)
     assert run(se.bm25) == first[0]
     vec = lambda n: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(n)]
     rows = spark.createDataFrame([(i, vec(4)) for i in range(150)], "k long, vec array<double>")
@@ -328,3 +328,61 @@ def test_hashed_embeddings():
     h = hashlib.sha1(b"word").digest()
     w = ve.triage_embedding("Word")
     assert w[(h[0] * 256 + h[1]) % ve.WIDTH] == (1 if h[2] % 2 == 0 else -1)
+
+
+def test_search_folds_marks(spark):
+    from inkweave.functions import text as tx
+    from inkweave.operators import search as se
+
+    texts = ["Café ÉCOLE naïve", "cafe\u0301 Ångström", "straße 시로네 ÿ Ÿ ǅ ḿ", "plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r[0] for r in df.orderBy("doc_id").select(tx.search_terms(F.col("text"))).collect()]
+    assert got == [["cafe", "ecole", "naive"], ["cafe", "angstrom"], ["straße", "시로네", "y", "y", "ǆ", "m"], ["plain"], [], None]
+    assert [r[0] for r in df.where("doc_id = 0").select(tx.terms(F.col("text"))).collect()] == [["café", "école", "naïve"]]
+    found = se.bm25(df.where("text is not null"), spark.createDataFrame([(1, "cafe"), (2, "École")], "q long, text string"), "doc_id", "q", 5)
+    assert {(r["q"], r["doc_id"]) for r in found.collect()} == {(1, 0), (1, 1), (2, 0)}
+
+
+def test_ingest_forgets_and_knows_nulls(spark, tmp_path):
+    import time
+    from datetime import timedelta
+
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([(2, None), (None, None), (2, None)], "doc_id long, checksum string")
+
+    def run(out, keep):
+        q = ev.ingest_stream(spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in"), f"{tmp_path}/{out}", f"{tmp_path}/c-{out}", known, keep)
+        q.awaitTermination(120)
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    put([(1, "a"), (1, "a"), (2, None), (4, None), (4, None), (None, "x"), (None, "x"), (None, None), (1, "b")])
+    run("t", timedelta(days=1))
+    put([(1, "a"), (5, "q"), (4, None), (2, None)])
+    run("t", timedelta(days=1))
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert got == [(0, "x"), (1, "a"), (1, "b"), (4, ""), (5, "q")]
+    sizes = []
+    for k in range(4):
+        put([(1000 * k + i, "t") for i in range(40)])
+        sizes.append(run("u", timedelta(milliseconds=1)))
+        time.sleep(0.1)
+    assert max(sizes) < 60 and spark.read.parquet(f"{tmp_path}/u").where("text = 't'").count() == 160
+
+
+def test_storing_verdicts_again_replaces_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "age", "OK"), (2, "age", "UNKNOWN"), (3, "job", "VIOLATE")], "doc_id long, slot string, verdict string")
+    links = spark.createDataFrame([(1, "f1", "age"), (3, "f2", "job")], "doc_id long, fact_id string, slot string")
+    read = lambda t: sorted(map(str, spark.read.parquet(f"{tmp_path}/v/{t}").collect()))
+    vd.store_verdicts(rows, links, f"{tmp_path}/v")
+    once = [read(t) for t in ("verdict_log", "verdict_evidence_link")]
+    vd.store_verdicts(rows, links, f"{tmp_path}/v")
+    assert [read(t) for t in ("verdict_log", "verdict_evidence_link")] == once and [len(x) for x in once] == [3, 2]
+
+
+def test_names_of_several_entities_are_nobodys(spark):
+    from inkweave.operators import narrative as na
+
+    aliases = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", None)], "alias string, entity_id string")
+    used = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "d"), (4, "zz"), (5, "a"), (5, "d"), (6, None)], "k int, alias string")
+    got = {r["k"]: (r["entity"], r["state"]) for r in na.by_unique_alias(used, aliases, "k").collect()}
+    assert got == {1: ("x", "one"), 2: (None, "ambiguous"), 3: (None, "ambiguous"), 4: (None, "none"), 5: ("x", "one"), 6: (None, "none")}
