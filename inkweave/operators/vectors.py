@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,12 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.operators.search import top_k
-from inkweave.session import cut_lineage
+from inkweave.session import cut_lineage, folder_exists, shared_folder
 from inkweave.sources.files import replace_partitions
 
 WIDTH = 96
-#: Query vectors that are compared with rows together, and rows that are, where queries and rows meet in blocks.
-QUERY_BLOCK, ROW_BLOCK = 2048, 65536
+#: Query vectors that go to the rows together, about, and rows that they are compared with together.
+QUERY_BLOCK, ROW_BLOCK = 4096, 8192
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -50,45 +51,144 @@ def embedded(df: DataFrame, key: str, text: str = "text", embedding=hashed_embed
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, vec array<double>").withColumnRenamed("key", key)
 
 
+def _unit(vectors) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    return x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, 1.0)
+
+
+def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    return pd.concat(parts).sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k)
+
+
+def _closest(v: np.ndarray, own: np.ndarray, w: np.ndarray, names: np.ndarray, k: int) -> list[pd.DataFrame]:
+    """The k best of rows v for each of queries w, and what ties with the last of them."""
+    out = []
+    for at in range(0, len(names), 256):
+        s = np.round(w[at : at + 256] @ v.T, 6)
+        many = min(k, len(own))
+        floor = np.partition(s, len(own) - many, axis=1)[:, len(own) - many]
+        i, j = np.nonzero(s >= floor[:, None])  # what ties with the last one stays, for the order by key
+        out.append(_best([pd.DataFrame({"query": names[at + i], "key": own[j], "score": s[i, j]})], k))
+    return out
+
+
+def _scanned(rows: DataFrame, queries: pd.DataFrame, k: int, probed: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(query, key, score): every task's k best rows for each query; with probed, rows of a cell meet the queries in these places alone."""
+    w, names = _unit(queries["vec"].tolist()), queries["query"].to_numpy(np.int64)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for p in parts:
+            new = []
+            for at in range(0, len(p), ROW_BLOCK):
+                some = p.iloc[at : at + ROW_BLOCK]
+                groups = some.groupby("cell") if probed is not None else [(None, some)]
+                for cell, r in groups:
+                    mine = slice(None) if probed is None else probed.get(cell, np.zeros(0, np.int64))
+                    if len(names[mine]):
+                        new += _closest(_unit(r["vec"].tolist()), r["key"].to_numpy(np.int64), w[mine], names[mine], k)
+            if new:
+                best = _best([*([best] if best is not None else []), *new], k)
+        if best is not None and len(best):
+            yield best
+
+    return rows.mapInPandas(run, "query long, key long, score double")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, positive: bool = True) -> DataFrame:
     """(query, key, score, rank): the k rows of the largest cosine for each query vector; rows and queries have vec.
 
-    Rows and queries are dealt out to blocks of bounded size by their ids, and every block of the
-    one meets every block of the other in a task of its own, which sends on k rows a query at most:
-    memory is bounded whatever either side holds, and no vector passes through the driver. A single
-    block of queries, the usual case, goes to the rows' blocks without copies of rows. positive
-    leaves out scores of zero and less. Null vectors are no rows and no queries; ids are integers.
+    Rows stay where they are. Queries go to them in blocks of about QUERY_BLOCK, one after the other
+    through the driver, and every task sends on k rows a query at most: no row is copied or moved,
+    and memory is bounded whatever either side holds. positive leaves out scores of zero and less.
+    Null vectors are no rows and no queries; ids are integers.
     """
-    # both are counted and then dealt out, so vectors that have to be made first are made once
-    mine = cut_lineage(rows.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null"))
+    mine = cut_lineage(rows.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null"))  # vectors that have to be made first are made once
+    return _by_blocks(queries, key, query, k, positive, lambda some: _scanned(mine, some, k))
+
+
+def _by_blocks(queries: DataFrame, key: str, query: str, k: int, positive: bool, search) -> DataFrame:
     asked = cut_lineage(queries.select(F.col(query).cast("long").alias("query"), "vec").where("query is not null and vec is not null"))
-    n_rows, n_asked = mine.count(), asked.count()
-    deal = lambda id_col, n, size: F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // size)))).cast("int")
-    blocks = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // size)) - 1)))
-    # a cluster's cores get work even where all rows would fit one block
-    size = max(1, min(ROW_BLOCK, -(-n_rows // rows.sparkSession.sparkContext.defaultParallelism)))
-    left = mine.withColumn("rb", deal("key", n_rows, size)).withColumn("qb", blocks(n_asked, QUERY_BLOCK))
-    right = asked.withColumn("qb", deal("query", n_asked, QUERY_BLOCK)).withColumn("rb", blocks(n_rows, size))
-
-    def compare(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(r) or not len(q):
-            return pd.DataFrame({"query": [], "key": [], "score": []})
-        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, 1.0)
-        v, w = (unit(np.stack([np.asarray(x, float) for x in d["vec"]])) for d in (r, q))
-        own, names, out = r["key"].to_numpy(), q["query"].to_numpy(), []
-        for at in range(0, len(names), 256):
-            s = np.round(w[at : at + 256] @ v.T, 6)
-            many = min(k, len(own))
-            floor = np.partition(s, len(own) - many, axis=1)[:, len(own) - many]
-            i, j = np.nonzero(s >= floor[:, None])  # what ties with the last one stays, for the order by key
-            found = pd.DataFrame({"query": names[at + i], "key": own[j], "score": s[i, j]})
-            out.append(found.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k))
-        return pd.concat(out)
-
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(compare, "query long, key long, score double")
-    if positive:
-        found = found.where("score > 0")
-    return top_k(found.withColumnsRenamed({"query": query, "key": key}), query, [F.desc("score"), F.col(key)], k)
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for b in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == b).toPandas()
+        one = search(some).where("score > 0") if positive else search(some)
+        one = top_k(one.withColumnsRenamed({"query": query, "key": key}), query, [F.desc("score"), F.col(key)], k)
+        one = cut_lineage(one) if parts > 1 else one
+        found = one if found is None else found.union(one)
+    return found
+
+
+#: Vectors from whose centres cells are made, at most; rounds of moving the centres.
+SAMPLE, MOVES = 20_000, 10
+
+
+def centres_of(sample: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
+    """Up to n unit vectors, each in the middle of the vectors that are closest to it."""
+    x = _unit(sample)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:n]]
+    for _ in range(MOVES):
+        at = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        centres = np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return centres
+
+
+def write_cells(vectors: DataFrame, path: str, key: str, cells: int, sample: int = SAMPLE) -> None:
+    """Stores (key, vec) by cell, the number of the closest of as many centres, which are fitted on sample vectors of least hash of their key.
+
+    Null vectors and keys are left out. A cell's vectors lie in as many files as tasks wrote them, so a
+    large one is read by many tasks.
+    """
+    spark = vectors.sparkSession
+    mine = cut_lineage(vectors.select(F.col(key).cast("long").alias("key"), "vec").where("key is not null and vec is not null"))
+    few = mine.orderBy(F.xxhash64("key"), "key").limit(sample).toPandas()
+    centres = centres_of(np.stack(few["vec"].map(np.asarray)), cells) if len(few) else np.zeros((0, 1))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(cell=(_unit(p["vec"].tolist()) @ centres.T).argmax(axis=1) if len(p) else [])
+
+    mine.mapInPandas(run, "key long, vec array<double>, cell int").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def nearest_in_cells(spark: SparkSession, path: str, queries: DataFrame, key: str, query: str, k: int, probes: int, positive: bool = True) -> DataFrame:
+    """As nearest, over vectors stored by write_cells, of which only the probes cells closest to each query are looked at.
+
+    Scores are exact; rows in other cells are missed. With as many probes as cells it is nearest.
+    """
+    found = sorted(spark.read.parquet(f"{path}/centres").collect(), key=lambda r: r["cell"])  # as many as there are cells
+    centres = np.array([r["centre"] for r in found]) if found else np.zeros((0, 1))
+    rows = spark.read.schema("key long, vec array<double>, cell int").parquet(f"{path}/vectors")
+
+    def search(some: pd.DataFrame) -> DataFrame:
+        if not len(centres) or not len(some):
+            return _scanned(rows.limit(0), some, k)
+        order = np.argsort(-(_unit(some["vec"].tolist()) @ centres.T), axis=1, kind="stable")[:, :probes]
+        probed = {c: np.flatnonzero((order == c).any(axis=1)) for c in np.unique(order).tolist()}
+        return _scanned(rows.where(F.col("cell").isin(*probed)), some, k, probed)
+
+    return _by_blocks(queries, key, query, k, positive, search)
+
+
+#: Ways to search vectors, by name.
+BACKENDS = ("exact", "cells")
+
+
+def search_vectors(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, backend: str = "exact", path: str | None = None, cells: int = 64, probes: int = 16) -> DataFrame:
+    """nearest by one of BACKENDS; cells stores rows under path first, unless they are there."""
+    if backend not in BACKENDS:
+        raise ValueError(f"{backend} is none of {BACKENDS}")
+    if backend == "exact":
+        return nearest(rows, queries, key, query, k)
+    spark = rows.sparkSession
+    path = path or f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    if not folder_exists(spark, f"{path}/centres/_SUCCESS"):
+        write_cells(rows, path, key, cells)
+    return nearest_in_cells(spark, path, queries, key, query, k, probes)
 
 
 def mean_vector(df: DataFrame, vec: str = "vec", by: str | None = None) -> DataFrame:

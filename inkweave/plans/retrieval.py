@@ -131,6 +131,17 @@ def dense_knn(spark: SparkSession, d: str) -> DataFrame:
     return se.top_k(found.where("vec_id <> query_id").drop("rank"), "query_id", [F.desc("score"), F.col("vec_id")], 5)
 
 
+@query("cell_knn")
+def cell_knn(spark: SparkSession, d: str) -> DataFrame:
+    """dense_knn by the other backend: vectors stored in 32 cells, of which every query looks at 20; tests measure what it misses."""
+    rows = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    found = cut_lineage(ve.search_vectors(rows, asked, "vec_id", "query_id", 6, "cells", path, 32, 20))
+    drop_folder(spark, path)
+    return se.top_k(found.where("vec_id <> query_id").drop("rank"), "query_id", [F.desc("score"), F.col("vec_id")], 5)
+
+
 @query("vector_mean", "SELECT label, i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
 def vector_mean(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("vec"))

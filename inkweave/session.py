@@ -18,6 +18,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "inkweave")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.inkweave.spread", cores if cores.isdigit() else "8")
         .getOrCreate()
     )
@@ -61,6 +62,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the session's checkpoint folder and read it back from there."""
     shared_folder(df.sparkSession)

@@ -386,3 +386,32 @@ def test_names_of_several_entities_are_nobodys(spark):
     used = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "d"), (4, "zz"), (5, "a"), (5, "d"), (6, None)], "k int, alias string")
     got = {r["k"]: (r["entity"], r["state"]) for r in na.by_unique_alias(used, aliases, "k").collect()}
     assert got == {1: ("x", "one"), 2: (None, "ambiguous"), 3: (None, "ambiguous"), 4: (None, "none"), 5: ("x", "one"), 6: (None, "none")}
+
+
+def test_cells_against_the_exact_backend(spark, tmp_path):
+    import numpy as np
+
+    from inkweave.operators import vectors as ve
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(30, 16))[r.integers(0, 30, 3000)] + r.normal(scale=0.5, size=(3000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 16), (5000, None)], "k long, vec array<double>").repartition(4)
+    asked = rows.where("k % 100 = 0").withColumnRenamed("k", "q")
+    pairs = lambda df: {(t["q"], t["k"], t["rank"]) for t in df.collect()}
+    exact = pairs(ve.search_vectors(rows, asked, "k", "q", 5))
+    some = pairs(ve.search_vectors(rows, asked, "k", "q", 5, "cells", f"{tmp_path}/v", 24, 6))
+    assert len({p[:2] for p in exact} & {p[:2] for p in some}) >= 0.9 * len(exact) and len(exact) == 150
+    assert pairs(ve.nearest_in_cells(spark, f"{tmp_path}/v", asked, "k", "q", 5, 24)) == exact
+    assert len({t["cell"] for t in spark.read.parquet(f"{tmp_path}/v/vectors").select("cell").distinct().collect()}) == 24
+    with pytest.raises(ValueError, match="none of"):
+        ve.search_vectors(rows, asked, "k", "q", 5, "other")
+    assert ve.search_vectors(rows.limit(0), asked, "k", "q", 5, "cells", f"{tmp_path}/w").count() == 0
+
+
+def test_given_vectors_in_cells(spark):
+    import __spark_entry__  # noqa: F401
+    from inkweave import catalogue
+
+    d = "/root/testdata/sf0.01"
+    exact, cells = ({(r["query_id"], r["vec_id"]) for r in catalogue.QUERIES[q](spark, d).collect()} for q in ("dense_knn", "cell_knn"))
+    assert len(exact & cells) >= 0.9 * len(exact)
