@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.functions.text import header_kind, line_spans
+from inkweave.functions import lexicon as lx
+from inkweave.functions.text import WORD, header_kind, line_spans
 from inkweave.operators.search import top_k
 
 #: Characters of an episode that no header ends, and words that name world documents.
@@ -73,14 +74,64 @@ def timeline(df: DataFrame, key: str, phrase: str, text: str = "text") -> DataFr
     return lines.select(key, F.col("idx"), F.col("line").alias("label"), F.when(first != "", first).otherwise(F.substring("line", 1, 40)).alias("time_key"))
 
 
+#: Characters of the piece by which a pattern is looked up.
+GRAM = 4
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters of a text, each once; linear in the text."""
+    pieces = lambda cs: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)])))
+    return F.when(F.length(text) >= n, F.element_at(F.transform(F.array(F.split(text, "")), pieces), 1))
+
+
+def holding(segments: DataFrame, patterns: DataFrame, keys: list[str], group: str, text: str = "segment") -> DataFrame:
+    """(keys, pattern) for the segments(keys, text) that hold a pattern of their group; patterns has (group, pattern), group is one of keys.
+
+    A pattern is looked up by the rarest of its runs of GRAM characters, or by itself if it is shorter,
+    among the runs of the segments; only where that is met is the pattern compared. So the work is
+    linear in the text, and a segment never meets all patterns of its group. Empty and null
+    patterns are in no segment; keys name a segment.
+    """
+    own = patterns.where("pattern <> ''").select(F.col(group).alias("_group"), "pattern").distinct()
+    runs = own.select("_group", "pattern", F.explode(F.coalesce(_grams(F.col("pattern"), GRAM), F.array("pattern"))).alias("gram"))
+    counts = runs.groupBy("_group", "gram").agg(F.count("*").alias("n"))
+    anchors = runs.join(counts, ["_group", "gram"]).groupBy("_group", "pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    every = F.flatten(F.array_compact(F.array(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])))
+    met = segments.select(*keys, F.explode(every).alias("_gram")).join(anchors, (F.col(group) == F.col("_group")) & (F.col("_gram") == F.col("gram"))).select(*keys, "pattern")
+    return met.join(segments.select(*keys, F.col(text).alias("_text")), keys).where(F.contains("_text", F.col("pattern"))).select(*keys, "pattern")
+
+
 def first_event(segments: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, timeline_idx): the first event of a segment's own timeline whose key or label it holds; null if none.
 
-    Segments and events share the keys' first column, the timeline; only events of one timeline meet.
+    Segments and events share the keys' first column, the timeline; keys name a segment.
+    """
+    words = events.select(keys[0], "idx", F.explode(F.array("time_key", "label")).alias("pattern"))
+    first = words.groupBy(keys[0], "pattern").agg(F.min("idx").alias("event_idx"))
+    found = holding(segments, words, keys, keys[0]).join(first, [keys[0], "pattern"]).groupBy(*keys).agg(F.min("event_idx").alias("timeline_idx"))
+    return segments.select(*keys).join(found, keys, "left")
+
+
+def named_in(segments: DataFrame, aliases: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, entity_id) for the entities whose aliases(alias, entity_id) a segment names, each once.
+
+    An alias of up to two characters is named by a word that is it, or it and a particle; a longer one
+    if all its words are among the segment's. Aliases are looked up by a word: short ones by each
+    form, longer ones by their rarest word, whose other words are then asked for. Aliases
+    without a word name nothing.
     """
-    own = events.select(keys[0], F.col("idx").alias("event_idx"), "label", "time_key")
-    hit = F.contains("segment", F.col("time_key")) | F.contains("segment", F.col("label"))
-    return segments.join(own, keys[0], "left").groupBy(*keys).agg(F.min(F.when(hit, F.col("event_idx"))).alias("timeline_idx"))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    words = segments.select(F.col(key).alias("_key"), tokens.alias("tokens"))
+    own = aliases.where("alias <> '' and entity_id is not null").select("alias", "entity_id").distinct().withColumn("parts", F.array_distinct(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0)))).where("size(parts) > 0")
+    forms = F.array(*[F.concat("alias", F.lit(p)) for p in ("", *lx.ALIAS_PARTICLES)])
+    short = own.where("length(alias) <= 2").select("entity_id", F.explode(forms).alias("word"), F.array().cast("array<string>").alias("parts"))
+    long = own.where("length(alias) > 2").select("entity_id", "alias", "parts", F.explode("parts").alias("word"))
+    rare = long.groupBy("word").agg(F.count("*").alias("n"))
+    long = long.join(rare, "word").groupBy("entity_id", "alias", "parts").agg(F.min_by("word", F.struct("n", "word")).alias("word")).select("entity_id", "word", "parts")
+    met = words.select("_key", F.explode("tokens").alias("word")).join(short.union(long).distinct(), "word").select("_key", "entity_id", "parts")
+    whole = met.where("size(parts) <= 1").select("_key", "entity_id")
+    more = met.where("size(parts) > 1").join(words, "_key").where(F.size(F.array_except("parts", "tokens")) == 0).select("_key", "entity_id")
+    return whole.union(more).distinct().withColumnRenamed("_key", key)
 
 
 def aliases_in(segments: DataFrame, aliases: DataFrame, key: str, text: str = "text") -> DataFrame:
