@@ -277,11 +277,20 @@ def typed_error(value: Column, kind: Column, low: Column, high: Column) -> Colum
     )
 
 
+#: Characters of a user's pattern at most, and a repeat without bound that is repeated without bound.
+MOST_PATTERN, REPEATED = 256, r"\((?:\?:)?\.[*+]\)[*+]"
+
+
+def pattern_is_safe(pattern: Column) -> Column:
+    """Whether a user's pattern passes the gate of checked_pattern, but for whether it compiles."""
+    return (F.length(pattern) <= MOST_PATTERN) & ~F.replace(pattern, F.lit(" "), F.lit("")).rlike(REPEATED)
+
+
 def checked_pattern(pattern: str) -> str:
     """A user's pattern if it is safe: short, compiling, without nested unbounded repeats."""
-    if len(pattern) > 256:
+    if len(pattern) > MOST_PATTERN:
         raise ValueError("pattern is too long")
-    if re.search(r"\((?:\?:)?\.[*+]\)[*+]", pattern.replace(" ", "")):
+    if re.search(REPEATED, pattern.replace(" ", "")):
         raise ValueError("pattern repeats a repeat without bound")
     re.compile(pattern)
     return pattern
