@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.functions.text import terms
+from inkweave.operators.relational import top_rows
+from inkweave.session import cut_lineage, drop_folder
+from inkweave.sources.files import replace_partitions
 
 SEED_WEIGHTS = {"filter": 1.0, "alias": 0.7, "time": 0.5, "term": 0.45}
 DECAY = {1: 1.0, 2: 0.5}
@@ -81,3 +84,103 @@ def stale_sources(now: DataFrame, kept: DataFrame) -> DataFrame:
     old = kept.select("source_table", F.col("n").alias("_n"), F.col("stamp").alias("_stamp"))
     same = (F.col("n") == F.col("_n")) & (F.col("stamp") == F.col("_stamp"))
     return now.join(old, "source_table", "left").select("source_table", "n", "stamp", (~F.coalesce(same, F.lit(False))).alias("stale"))
+
+
+#: Parts of a stored graph, by document.
+GRAPH_PARTS = 64
+
+
+def _by_doc(links: DataFrame, parts: int) -> DataFrame:
+    return links.select("doc", "src", "dst", "edge_type").distinct().withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+
+
+def _stamps(links: DataFrame) -> DataFrame:
+    """(part, doc, stamp): what the links of each document are, in whatever order."""
+    return links.groupBy("part", "doc").agg(F.sum(F.xxhash64("src", "dst", "edge_type").cast("decimal(38,0)")).cast("string").alias("stamp"))
+
+
+def write_graph(links: DataFrame, path: str, parts: int = GRAPH_PARTS) -> None:
+    """Stores a graph's links(doc, src, dst, edge_type) by document, with a stamp of each document's."""
+    rows = _by_doc(links, parts)
+    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/links")
+    _stamps(rows).write.mode("overwrite").partitionBy("part").parquet(f"{path}/stamps")
+
+
+def refresh_graph(links: DataFrame, path: str, parts: int = GRAPH_PARTS) -> list[int]:
+    """Brings a stored graph up to date with links(doc, src, dst, edge_type); the parts that were written.
+
+    Documents whose stamp differs, that are new or gone, say which parts are touched; these are
+    replaced, all others keep their files. A part that has become empty is removed.
+    """
+    spark = links.sparkSession
+    now, kept = _by_doc(links, parts), spark.read.schema("doc long, stamp string, part int").parquet(f"{path}/stamps")
+    kept = kept.withColumn("doc", F.col("doc").cast(links.schema["doc"].dataType))
+    new, old = _stamps(now).alias("n"), kept.alias("o")
+    differ = new.join(old, (F.col("n.part") == F.col("o.part")) & F.col("n.doc").eqNullSafe(F.col("o.doc")), "full").where(~F.col("n.stamp").eqNullSafe(F.col("o.stamp")))
+    touched = sorted(r[0] for r in differ.select(F.coalesce("n.part", "o.part")).distinct().collect())  # as many as there are parts
+    if not touched:
+        return []
+    fresh = cut_lineage(now.where(F.col("part").isin(*touched)))
+    stamps = cut_lineage(_stamps(fresh))
+    for rows, table in ((fresh.repartition("part"), "links"), (stamps, "stamps")):
+        replace_partitions(rows, f"{path}/{table}", "part")
+    left = {r[0] for r in fresh.select("part").distinct().collect()}
+    for part in set(touched) - left:
+        for table in ("links", "stamps"):
+            drop_folder(spark, f"{path}/{table}/part={part}")
+    return touched
+
+
+def stored_edges(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
+    """The edges of a stored graph, each once."""
+    return edges([spark.read.schema(f"doc {key}, src string, dst string, edge_type string, part int").parquet(f"{path}/links")])
+
+
+def bundle_rows(bundles: DataFrame) -> DataFrame:
+    """(source, kind, ref, type, label, aliases, src, dst) of foreign bundles(source, json), whichever of three shapes they have.
+
+    {"nodes", "edges"} of a project's graph; a bundle of "entities", "relations" and "timeline"; and
+    {"artifacts": {"nodes.json", "edges.jsonl", ...}}, lists by the role that their name gives. Kinds
+    are node, edge and event. Ids are put under their source, edges without two different ends are
+    left out, as is what has no id; an edge without an id is told by its ends and type. Records of
+    several shapes in one bundle all count, a record told twice counts once.
+    """
+    v = F.try_parse_json("json")
+    get = lambda x, *names: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(x, f"$.{n}", "string")), F.lit("")) for n in names])
+    roles = {
+        "node": ("$.nodes", "$.entities", "$.artifacts['nodes.json']", "$.artifacts['entities.json']"), "edge": ("$.edges", "$.relations", "$.artifacts['edges.json']", "$.artifacts['relations.json']"),
+        "event": ("$.timeline", "$.timeline.events", "$.artifacts['timeline.json']", "$.artifacts['events.json']"),
+    }
+    of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+    lists = [F.transform(F.try_variant_get(v, path, "array<variant>"), of(kind)) for kind, paths in roles.items() for path in paths]
+    none = F.array().cast("array<struct<kind:string,x:variant>>")
+    x = bundles.select("source", F.explode(F.flatten(F.array(*[F.coalesce(y, none) for y in lists]))).alias("r")).select("source", "r.kind", "r.x")
+    ref = lambda native: F.concat(F.lit("ext:"), F.col("source"), F.lit(":"), native)
+    src, dst = get(F.col("x"), "source_id", "src_node_id", "source", "from", "subject_id"), get(F.col("x"), "target_id", "dst_node_id", "target", "to", "object_id")
+    kind = F.when(F.col("kind") == "edge", F.coalesce(get(F.col("x"), "edge_type", "relation_type", "type"), F.lit("RELATED"))).when(F.col("kind") == "event", "EVENT").otherwise(F.upper(F.coalesce(get(F.col("x"), "node_type", "type", "kind"), F.lit("OBJ"))))
+    native = F.coalesce(get(F.col("x"), "id", "native_id", "node_id", "edge_id", "event_id"), F.when(F.col("kind") == "edge", F.concat_ws("/", src, kind, dst)))
+    aliases = F.coalesce(F.try_variant_get("x", "$.aliases", "array<string>"), F.array().cast("array<string>"))
+    is_edge = F.col("kind") == "edge"
+    out = x.select("source", "kind", ref(native).alias("ref"), kind.alias("type"), F.coalesce(get(F.col("x"), "label", "name", "title"), F.when(is_edge, kind), native).alias("label"), aliases.alias("aliases"), F.when(is_edge, ref(src)).alias("src"), F.when(is_edge, ref(dst)).alias("dst"))
+    return out.where("ref is not null and (kind <> 'edge' or (src is not null and dst is not null and src <> dst))").distinct()
+
+
+#: Terms that a foreign node brings to the documents that it is linked with, at most.
+BRIDGE_TERMS = 30
+
+
+def bridge_terms(rows: DataFrame, most: int = BRIDGE_TERMS) -> DataFrame:
+    """(ref, place, term): what each foreign node of bundle_rows is known by, the first most terms.
+
+    Its own label and aliases come first, then for each of its edges, by their ref, the edge's label
+    and the label and aliases of the node at its other end. A term counts once, in lower case.
+    """
+    nodes_ = rows.where("kind = 'node'").select("ref", F.concat(F.array("label"), F.col("aliases")).alias("names"))
+    edge = rows.where("kind = 'edge'").select(F.col("ref").alias("edge"), F.col("label").alias("said"), "src", "dst")
+    ends = edge.select(F.col("src").alias("ref"), "edge", "said", F.col("dst").alias("other")).union(edge.select("dst", "edge", "said", "src"))
+    near = ends.join(nodes_.select(F.col("ref").alias("other"), F.col("names").alias("theirs")), "other", "left")
+    own = nodes_.select("ref", F.lit("").alias("edge"), F.posexplode("names").alias("i", "term"))
+    theirs = near.select("ref", "edge", F.posexplode(F.concat(F.array("said"), F.coalesce("theirs", F.array().cast("array<string>")))).alias("i", "term"))
+    every = own.union(theirs).where("trim(term) <> ''").select("ref", F.lower(F.trim("term")).alias("term"), F.struct("edge", "i").alias("at"))
+    first = every.groupBy("ref", "term").agg(F.min("at").alias("at")).join(nodes_.select("ref"), "ref", "left_semi")
+    return top_rows(first, ["ref"], [F.col("at"), F.col("term")], most).select("ref", F.col("rank").alias("place"), "term")

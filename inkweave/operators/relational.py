@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkweave.session import cut_lineage
 
 def matching(df: DataFrame, equal: dict | None = None, within: dict | None = None, excluded: dict | None = None) -> DataFrame:
     """Rows that meet a conjunction built from mappings: column = value, column IN values, column <> value.
@@ -134,3 +135,49 @@ def attributes_as_facts(df: DataFrame, entity: str, columns: list[str]) -> DataF
 def listed(df: DataFrame, order: list[Column], asked: int, least: int, most: int) -> DataFrame:
     """The first rows in an order, as many as are asked for within a listing's own bounds."""
     return df.orderBy(*order).limit(max(least, min(most, asked)))
+
+
+#: Bins into which the range of a percentile is cut in each pass, and values of a bin that are put in order at most.
+BINS, ORDERED = 1024, 10_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column for each share): exact percentiles of each group, between two values in proportion.
+
+    No group is gathered: each pass counts the values of a group by bins of the range in which a rank
+    lies, which are summed before they move, and goes on with the bin that holds it, until that has one
+    value or few enough to order. Nulls and NaN don't count; a group without values has no row.
+    Passes over df grow with the logarithm of a group's size, four are enough for a trillion values.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    groups = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    places = [fn(F.lit(q) * (F.col("n") - 1)) for q in shares.values() for fn in (F.floor, F.ceil)]
+    ranks = groups.select("*", F.explode(F.array_distinct(F.array(*places))).alias("rank")).select(*keys, "rank", "lo", "hi", F.lit(0).cast("long").alias("before"), "n").distinct()
+    open_, done = cut_lineage(ranks), None
+    while True:
+        found = open_.where("lo = hi or n <= 0").select(*keys, "rank", F.col("lo").alias("value"))
+        done = found if done is None else done.union(found)
+        few = open_.where((F.col("lo") < F.col("hi")) & (F.col("n") <= ORDERED))
+        ordered = rows.alias("r").join(few.alias("t"), same("r", "t") & F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*[F.col(f"t.{k}") for k in keys], "rank", "before").agg(F.array_sort(F.collect_list("_v")).alias("vs"))
+        done = done.union(ordered.select(*keys, "rank", F.get("vs", (F.col("rank") - F.col("before")).cast("int")).alias("value")))
+        open_ = open_.where((F.col("lo") < F.col("hi")) & (F.col("n") > ORDERED))
+        if open_.isEmpty():
+            break
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)).cast("int")
+        counts = rows.alias("r").join(open_.alias("t"), same("r", "t") & F.col("_v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"t.{k}") for k in keys], "rank", "before", bin_.alias("bin"), "_v")
+        counts = counts.groupBy(*keys, "rank", "before", "bin").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin"))  # at most BINS rows
+        counts = counts.withColumn("upto", F.col("before") + upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        open_ = cut_lineage(counts.select(*keys, "rank", "lo", "hi", (F.col("upto") - F.col("n")).alias("before"), "n"))
+        done = cut_lineage(done)
+    values = cut_lineage(done)
+    out = groups.alias("g").join(values.alias("v"), same("g", "v"))
+    by_rank = out.groupBy(*[F.col(f"g.{k}") for k in keys], F.col("g.n")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # two ranks for each share
+
+    def share(q: float) -> Column:
+        at = F.lit(q) * (F.col("n") - 1)
+        low, high = F.col("at")[F.floor(at)], F.col("at")[F.ceil(at)]
+        return low + (high - low) * (at - F.floor(at))
+
+    return by_rank.select(*keys, *[share(q).alias(name) for name, q in shares.items()])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
 from inkweave.operators import graph as g
 from inkweave.operators.search import top_k
-from inkweave.session import read_table
+from inkweave.session import cut_lineage, drop_folder, read_table, shared_folder
 
 NID = "substr(sha1('{0}|' || {1}::VARCHAR), 1, 24)"
 NODES = (
@@ -118,3 +120,67 @@ def kg_staleness(spark: SparkSession, d: str) -> DataFrame:
     """Which of the graph's source tables have changed since the stamp that was kept with it: here a supplier was missing then."""
     stamps = lambda where: g.source_stamps([("nation", read_table(spark, d, "nation"), ["n_nationkey", "n_name"]), ("supplier", read_table(spark, d, "supplier").where(where), ["s_suppkey", "s_name"])])
     return g.stale_sources(stamps("true"), stamps("s_suppkey > 1"))
+
+
+@query(
+    "kg_incremental",
+    EDGES + " SELECT edge_type, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst, min(substr(sha1(src || '|' || dst || '|' || edge_type), 1, 32)) AS first_edge, true AS few_parts FROM e WHERE edge_type <> 'PART_OF' GROUP BY edge_type",
+)
+def kg_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of orders as it was before the last day, brought up to date: as if it had been built anew, and only parts of that day's orders written."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    told = orders.select(F.col("o_orderkey").alias("doc"), g.node_id("EVENT", F.col("o_orderkey")).alias("src"), g.node_id("CHAR", F.col("o_custkey")).alias("dst"), F.lit("MENTIONED_IN").alias("edge_type"))
+    items = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    held = items.select(F.col("l_orderkey").alias("doc"), g.node_id("EVENT", F.col("l_orderkey")).alias("src"), g.node_id("OBJ", F.col("l_partkey")).alias("dst"), F.lit("HAS_FACT").alias("edge_type"))
+    links = cut_lineage(told.union(held))
+    last = orders.agg(F.max("o_orderdate")).first()[0]
+    late = orders.where(F.col("o_orderdate") == F.lit(last)).select(F.col("o_orderkey").alias("doc"))
+    path, parts = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", 256
+    g.write_graph(links.join(late, "doc", "left_anti"), path, parts)
+    written = g.refresh_graph(links, path, parts)
+    e = cut_lineage(g.stored_edges(spark, path))
+    drop_folder(spark, path)
+    return e.groupBy("edge_type").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"), F.min("edge_id").alias("first_edge"), F.lit(len(written) <= max(1, late.count())).alias("few_parts"))
+
+
+BUNDLED = """
+WITH n AS (SELECT 'ext:geo:n' || n_nationkey AS ref, 'LOC' AS type, n_name AS label, 'ext:geo:r' || n_regionkey AS region FROM nation), r AS (SELECT 'ext:geo:r' || r_regionkey AS ref, 'LOC' AS type, r_name AS label FROM region),
+s AS (SELECT 'ext:trade:s' || s_suppkey AS ref, 'ORG' AS type, s_name AS label, 'alias ' || s_suppkey AS alias, 'ext:trade:n' || s_nationkey AS nation, s_acctbal FROM supplier), tn AS (SELECT DISTINCT 'ext:trade:n' || n_nationkey AS ref, n_name AS label FROM nation),
+nodes AS (SELECT 'geo' AS source, ref, type, label, NULL AS alias FROM n UNION ALL SELECT 'geo', ref, type, label, NULL FROM r UNION ALL SELECT 'trade', ref, type, label, alias FROM s UNION ALL SELECT 'trade', ref, 'LOC', label, NULL FROM tn),
+edges AS (SELECT 'geo' AS source, ref AS src, region AS dst, 'PART_OF' AS type, 'ext:geo:' || substr(ref, 9) || '/PART_OF/' || substr(region, 9) AS ref FROM n UNION ALL SELECT 'trade', ref, nation, 'BASED_IN', 'ext:trade:e' || substr(ref, 12) FROM s)"""
+
+
+@query(
+    "external_bundles",
+    BUNDLED + " SELECT source, 'node' AS kind, ref, type, label, (alias IS NOT NULL)::INTEGER AS n_aliases, NULL AS src, NULL AS dst FROM nodes UNION ALL SELECT source, 'edge', ref, type, type, 0, src, dst FROM edges UNION ALL SELECT 'trade', 'event', 'ext:trade:t' || substr(ref, 12), 'EVENT', 'audit of ' || label, 0, NULL, NULL FROM s WHERE s_acctbal < 0",
+)
+def external_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes, edges and events of three foreign bundles, each of another shape."""
+    return g.bundle_rows(_bundles(spark, d)).select("source", "kind", "ref", "type", "label", F.size("aliases").alias("n_aliases"), "src", "dst")
+
+
+@query(
+    "bridge_terms",
+    BUNDLED + ", own AS (SELECT ref, '' AS edge, unnest([0, 1]) AS i, unnest([label, alias]) AS term FROM nodes), ends AS (SELECT src AS ref, ref AS edge, type, dst AS other FROM edges UNION ALL SELECT dst, ref, type, src FROM edges),"
+    " far AS (SELECT e.ref, edge, unnest([0, 1, 2]) AS i, unnest([e.type, label, alias]) AS term FROM ends e LEFT JOIN nodes o ON o.ref = e.other), f AS (SELECT ref, lower(trim(term)) AS term, min((edge, i)) AS spot FROM (SELECT * FROM own UNION ALL SELECT * FROM far) WHERE trim(term) <> '' GROUP BY ALL)"
+    " SELECT ref, row_number() OVER (PARTITION BY ref ORDER BY spot, term) AS place, term FROM f QUALIFY place <= 30",
+)
+def bridge_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The first thirty terms that each foreign node is known by, its neighbours' among them."""
+    return g.bridge_terms(g.bundle_rows(_bundles(spark, d)))
+
+
+def _bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Nations and regions as a project's graph and as a set of artefacts, suppliers one bundle each."""
+    nation, region, supplier = (read_table(spark, d, t) for t in ("nation", "region", "supplier"))
+    node = lambda key, name: F.struct(key.alias("node_id"), F.lit("loc").alias("node_type"), name.alias("label"))
+    n, r = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    graph = nation.select(F.lit("geo").alias("source"), F.to_json(F.struct(F.array(node(n, F.col("n_name"))).alias("nodes"), F.array(F.struct(n.alias("src_node_id"), r("n_regionkey").alias("dst_node_id"), F.lit("PART_OF").alias("edge_type"))).alias("edges"))).alias("json"))
+    artefact = region.select(F.lit("geo").alias("source"), F.to_json(F.struct(F.struct(F.array(F.struct(r("r_regionkey").alias("id"), F.lit("LOC").alias("kind"), F.col("r_name").alias("name"))).alias("nodes.json")).alias("artifacts"))).alias("json"))
+    k = F.col("s_suppkey").cast("string")
+    s = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    entities = F.array(F.struct(F.concat(F.lit("s"), k).alias("id"), F.lit("org").alias("type"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("alias "), k)).alias("aliases")), F.struct(n.alias("id"), F.lit("loc").alias("type"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("aliases")))
+    relations = F.array(F.struct(F.concat(F.lit("e"), k).alias("id"), F.concat(F.lit("s"), k).alias("from"), n.alias("to"), F.lit("BASED_IN").alias("type")))
+    events = F.when(F.col("s_acctbal") < 0, F.array(F.struct(F.concat(F.lit("t"), k).alias("event_id"), F.concat(F.lit("audit of "), F.col("s_name")).alias("title"))))
+    trade = s.select(F.lit("trade").alias("source"), F.to_json(F.struct(entities.alias("entities"), relations.alias("relations"), F.struct(events.alias("events")).alias("timeline"))).alias("json"))
+    return graph.union(artefact).union(trade)

@@ -51,7 +51,9 @@ def session_leases(spark: SparkSession, d: str) -> DataFrame:
     " SELECT event_type, day, round(p95 / base, 6) AS ratio, CASE WHEN p95 / base > 1.8 THEN 'FAIL' WHEN slow > 0.2 THEN 'FAIL' WHEN p95 / base > 1.5 THEN 'WARN' ELSE 'PASS' END AS gate FROM b",
 )
 def gate_eval(spark: SparkSession, d: str) -> DataFrame:
-    daily = _events(spark, d).groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.percentile("value", 0.95).alias("p95"), F.avg(F.when(F.col("value") > 60, 1.0).otherwise(0.0)).alias("slow"))
+    events = _events(spark, d).withColumn("day", F.col("ts").cast("date"))
+    slow = events.groupBy("event_type", "day").agg(F.avg(F.when(F.col("value") > 60, 1.0).otherwise(0.0)).alias("slow"))
+    daily = rel.percentiles(events, ["event_type", "day"], "value", {"p95": 0.95}).join(slow, ["event_type", "day"])
     base = daily.groupBy("event_type").agg(F.min_by("p95", "day").alias("base"))
     ratio = F.try_divide("p95", "base")
     gate = F.when((ratio > 1.8) | (F.col("slow") > 0.2), "FAIL").when(ratio > 1.5, "WARN").otherwise("PASS")

@@ -271,11 +271,10 @@ def verdict_fold(spark: SparkSession, d: str) -> DataFrame:
     " CAST(floor(median(value)) AS BIGINT) AS mid, round(coalesce(stddev_pop(value) / nullif(avg(value), 0), 0), 6) AS cv FROM events GROUP BY event_type",
 )
 def percentiles_p95(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q, n: F.round(F.percentile("value", q), 6).alias(n)
-    return read_table(spark, d, "events").groupBy("event_type").agg(
-        p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.min("value").alias("low"), F.max("value").alias("high"), F.floor(F.median("value")).alias("mid"),
-        F.round(rel.ratio(F.stddev_pop("value"), F.avg("value")), 6).alias("cv"),
-    )
+    events = read_table(spark, d, "events")
+    sums = events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(rel.ratio(F.stddev_pop("value"), F.avg("value")), 6).alias("cv"))
+    at = rel.percentiles(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return at.join(sums, "event_type").select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")], "low", "high", F.floor("p50").alias("mid"), "cv")
 
 
 @query(
@@ -306,7 +305,7 @@ def content_checksum(spark: SparkSession, d: str) -> DataFrame:
     " SELECT event_type, day, round(p95, 6) AS p95, round(delta, 6) AS delta_pct, CASE WHEN delta IS NULL THEN 'NO_BASELINE' WHEN delta > 20 THEN 'HARD_FAIL' WHEN delta > 5 THEN 'SOFT_WARNING' ELSE 'PASS' END AS status FROM x",
 )
 def prev_run_delta(spark: SparkSession, d: str) -> DataFrame:
-    daily = read_table(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.percentile("value", 0.95).alias("p95"))
+    daily = rel.percentiles(read_table(spark, d, "events").withColumn("day", F.col("ts").cast("date")), ["event_type", "day"], "value", {"p95": 0.95})
     before = F.lag("p95").over(Window.partitionBy("event_type").orderBy("day"))
     out = daily.withColumn("before", before).withColumn("delta", F.try_divide(F.col("p95") - F.col("before"), F.col("before")) * 100)
     return out.select("event_type", "day", F.round("p95", 6).alias("p95"), F.round("delta", 6).alias("delta_pct"), rel.trend_status(F.col("delta")).alias("status"))
