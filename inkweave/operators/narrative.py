@@ -256,3 +256,41 @@ def plausible_value(slot: Column, value: Column) -> Column:
 def targets(scored: DataFrame, key: str, score: str, n: int, seed: int = 0) -> DataFrame:
     """n rows to look at first: positive scores before others, larger ones first, then in an order drawn by the seed."""
     return scored.orderBy(F.col(score) <= 0, F.desc(score), F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+#: Shares of the texts that get a conflict injected and that are kept as they are to compare with; the rest is a pool.
+INJECT, CONTROL = 0.1, 0.1
+
+
+def bench_sets(docs: DataFrame, key: str, text: str, values: dict[str, str], seed: str = "bench", inject: float = INJECT, control: float = CONTROL) -> DataFrame:
+    """docs with set (inject, control or pool), first (whether no earlier row has the text), kind and bench_text.
+
+    A row's set depends on its trimmed text alone: copies are on one side, and new rows change no
+    other's. Texts of the inject set are told a contradiction, of a kind of values (kind to its value)
+    that the text decides, too; only the first row of each text, by key, is to be used. Null texts
+    are one text; keys name a row.
+    """
+    fp = F.sha2(F.trim(F.coalesce(text, F.lit(""))), 256)
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), fp).cast("binary"))
+    share = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    kinds = sorted(values)
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.conv(F.substring(drawn, 14, 4), 16, 10).cast("int") % len(kinds) + 1).cast("int"))
+    value = F.lit("")
+    for k, v in values.items():
+        value = F.when(F.col("kind") == k, v).otherwise(value)
+    rows = docs.withColumn("_fp", fp).withColumn("set", F.when(share < inject, "inject").when(share < inject + control, "control").otherwise("pool"))
+    rows = rows.withColumn("kind", F.when(F.col("set") == "inject", kind))
+    firsts = rows.groupBy("_fp").agg(F.min(key).alias("_first"))
+    rows = rows.join(firsts, "_fp").withColumn("first", F.col(key) == F.col("_first"))
+    told = F.when(F.col("set") == "inject", injected(F.coalesce(text, F.lit("")), F.col("kind"), value)).otherwise(F.col(text))
+    return rows.withColumn("bench_text", told).drop("_fp", "_first")
+
+
+def set_manifest(sets: DataFrame, key: str, by: str) -> DataFrame:
+    """(set, by, n, n_chars, checksum): what each set holds of each group, rows that repeat a text left out.
+
+    A checksum doesn't depend on the rows' order, so nothing is gathered.
+    """
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.sha2(F.coalesce("bench_text", F.lit("")), 256)).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    rows = sets.where("first").groupBy("set", by)
+    return rows.agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("bench_text", F.lit("")))).alias("n_chars"), F.pmod(F.sum(digest), F.lit(1000000007)).cast("long").alias("checksum"))

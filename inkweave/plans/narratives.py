@@ -180,3 +180,26 @@ def own_facts_excluded(spark: SparkSession, d: str) -> DataFrame:
     evidence = orders.select(F.col("o_orderkey").alias("eid"), F.col("o_orderpriority").alias("doc_id"))
     judged = spark.createDataFrame([("1-URGENT",)], "doc_id string")
     return na.without_own_facts(facts, evidence, judged).groupBy(F.col("evidence_eid").alias("l_orderkey")).agg(F.count("*").alias("n"))
+
+
+CONFLICTS = {"age": "41", "place": "Harbour", "job": "smith", "death": ""}
+SETS = """WITH f AS (SELECT *, md5('bench:' || sha256(trim(coalesce(text, '')))) AS m, min(doc_id) OVER (PARTITION BY trim(coalesce(text, ''))) AS earliest FROM documents),
+ s AS (SELECT *, ('0x' || m[1:13])::BIGINT / 4503599627370496.0 AS share FROM f),
+ t AS (SELECT doc_id, source, text, doc_id = earliest AS first, CASE WHEN share < 0.1 THEN 'inject' WHEN share < 0.1 + 0.1 THEN 'control' ELSE 'pool' END AS set, ['age', 'death', 'job', 'place'][('0x' || m[14:17])::INTEGER % 4 + 1] AS k FROM s),
+ b AS (SELECT doc_id, source, first, set, CASE WHEN set = 'inject' THEN k END AS kind, CASE WHEN set = 'inject' THEN coalesce(text, '') || chr(10) || chr(10) || '[INJECT]' || chr(10)
+  || CASE k WHEN 'age' THEN 'He was 41 years old.' WHEN 'place' THEN 'It happened in Harbour.' WHEN 'job' THEN 'She worked as a smith.' ELSE 'He had died by then.' END ELSE text END AS told FROM t)"""
+
+
+@query("bench_sets", SETS + " SELECT doc_id, set, first, kind, sha256(coalesce(told, '')) AS checksum FROM b")
+def bench_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents are told a contradiction, which are kept to compare with, and which repeat a text."""
+    sets = na.bench_sets(read_table(spark, d, "documents"), "doc_id", "text", CONFLICTS)
+    return sets.select("doc_id", "set", "first", "kind", F.sha2(F.coalesce("bench_text", F.lit("")), 256).alias("checksum"))
+
+
+@query(
+    "bench_manifest",
+    SETS + " SELECT set, source, count(*) AS n, sum(length(coalesce(told, '')))::BIGINT AS n_chars, (sum(('0x' || md5(doc_id || '|' || sha256(coalesce(told, '')))[1:12])::BIGINT)::HUGEINT % 1000000007)::BIGINT AS checksum FROM b WHERE first GROUP BY ALL",
+)
+def bench_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return na.set_manifest(na.bench_sets(read_table(spark, d, "documents"), "doc_id", "text", CONFLICTS), "doc_id", "source")

@@ -39,3 +39,22 @@ def test_named_entities_against_all_pairs(spark):
         if a and e and tx.re.findall(tx.WORD, a):
             want |= {(x["k"], e) for x in df.where(F.coalesce(tx.matches_alias(F.col("text"), a), F.lit(False))).collect()}
     assert got == sorted(want) and len(want) > 200
+
+
+def test_sets_are_stable_and_apart(spark):
+    values = {"age": "41", "death": ""}
+    docs = [(k, f"text {k % 70}" + " " * (k % 2)) for k in range(200)] + [(900, None), (901, "")]
+    sets = lambda rows: {r["doc_id"]: r for r in na.bench_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", values, inject=0.3, control=0.3).collect()}
+    some, all_ = sets(docs[:120]), sets(docs)
+    assert all(some[k]["set"] == all_[k]["set"] and some[k]["bench_text"] == all_[k]["bench_text"] for k in some)
+    by_text = {}
+    for r in all_.values():
+        by_text.setdefault((r["text"] or "").strip(), []).append(r)
+    assert all(len({r["set"] for r in rs}) == 1 and [r["doc_id"] for r in rs if r["first"]] == [min(r["doc_id"] for r in rs)] for rs in by_text.values())
+    kinds = {r["set"] for r in all_.values()}
+    assert kinds == {"inject", "control", "pool"} and {r["kind"] for r in all_.values() if r["set"] == "inject"} == {"age", "death"}
+    assert all(("[INJECT]" in (r["bench_text"] or "")) == (r["set"] == "inject") for r in all_.values())
+    made = na.bench_sets(spark.createDataFrame(docs, "doc_id long, text string").withColumn("g", F.lit("x")), "doc_id", "text", values)
+    manifest = na.set_manifest(made, "doc_id", "g")
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, na.set_manifest(made.repartition(5), "doc_id", "g").collect()))
+    assert manifest.agg(F.sum("n")).first()[0] == 71
