@@ -54,12 +54,13 @@ def topic_of(text: Column) -> Column:
 
 
 def described(rows: DataFrame, text: Column, topic: Column | None = None) -> DataFrame:
-    """rows with n_tokens (words) and k_topic, for which null is a value."""
+    """rows with n_tokens (words, none for an empty text) and k_topic, for which null is a value; repeated rows stay."""
     topic = F.coalesce(topic, F.lit(NONE)) if topic is not None else topic_of(text)
     return rows.withColumns({"n_tokens": F.size(words_of(text)).cast("long"), "k_topic": topic})
 
 
 def cell_sums(rows: DataFrame) -> DataFrame:
+    """(k_source, k_lang, k_topic, tokens): the cells that have tokens; repeated rows count each, an empty table has none."""
     return rows.groupBy(*[f"k_{d}" for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
 
 

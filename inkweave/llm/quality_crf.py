@@ -24,6 +24,8 @@ from inkweave.session import read_table
 
 #: Labelled documents of each label that are trained on, at most; those with the least hashes of their ids.
 SAMPLE = 2000
+#: Lines of the sample documents of each label at most: a document whose lines don't fit any more isn't trained on.
+LINES = 150_000
 #: Training: rounds of relabelling, steps of each, step size, weight of the squared parameters.
 ROUNDS, STEPS, RATE, PENALTY = 3, 120, 0.15, 1e-3
 #: A document is predicted good from this score on.
@@ -207,6 +209,7 @@ def train(bins: np.ndarray, size: np.ndarray, count: np.ndarray, label: np.ndarr
 
 
 def scores(field: Field, texts: list[bytes]) -> np.ndarray:
+    """The score of each UTF-8 text, an empty one as one empty line."""
     if not texts:
         return np.zeros(0)
     bins, size, count = line_features(texts)
@@ -226,12 +229,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["label", "bins", "size"])
 
 
+def fitting(counts: list, most: int | None = None) -> list[tuple]:
+    """(id, label) of the sample documents (id, label, lines, h) whose lines fit, by h."""
+    most, kept, used = most or LINES, {}, {}
+    for r in sorted(counts, key=lambda r: (r["h"], str(r["id"]))):
+        if r["id"] not in kept and used.get(r["label"], 0) + r["lines"] <= most:
+            used[r["label"]] = used.get(r["label"], 0) + r["lines"]
+            kept[r["id"]] = r["label"]
+    return list(kept.items())
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
     """The field of a bounded sample of labelled documents that aren't held out.
 
     A document that is labelled more than once counts once, with the larger half of its
-    labels, good on ties. Only binned features reach the driver, of sample documents at most
-    for each label.
+    labels, good on ties. Only binned features reach the driver, of sample documents and LINES
+    lines at most for each label. Documents are taken in the order of a hash of their ids; one
+    whose lines don't fit is left out of the training. Null texts are one empty line.
     """
     one = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull() & ~held_out(labels[id_col]))
     one = one.groupBy(labels[id_col].alias("id")).agg((F.avg(labels[label_col]) >= 0.5).cast("int").alias("label"))
@@ -241,6 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = one.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(docs[id_col].alias("id"), whole_text(docs[text_col]).alias("text"))
+    lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines")
+    counts = texts.join(F.broadcast(chosen), "id").select("id", "label", lines).groupBy("id", "label").agg(F.sum("lines").alias("lines"), F.first(F.xxhash64("id")).alias("h")).collect()  # a row for each sample document
+    chosen = docs.sparkSession.createDataFrame(fitting(counts), texts.select("id", F.lit(0).alias("label")).schema)
     found = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_packed, "label int, bins binary, size binary").collect()
     if not found:
         return train(np.zeros((0, KINDS), np.uint8), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))

@@ -153,7 +153,7 @@ def _judged(x: Column) -> Column:
 
 
 def scanned(rows: DataFrame) -> DataFrame:
-    """rows with a text column; adds assign, access, hex and candidates."""
+    """rows with a text column; adds assign, access, hex and candidates, all of them empty for an empty text. The text mustn't be null."""
     others = [c for c in rows.columns if c != "text"]
     t = F.col("text")
     kinds = base_spans(t)

@@ -60,3 +60,12 @@ def test_nulls_ties_and_empty_tables(spark):
     assert q.quality_scores(docs.limit(0), field).count() == 0
     none = q.fit(docs, labels.limit(0))
     assert {r["score"] for r in q.quality_scores(docs, none).collect()} == {0.5}
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    rows = [{"id": k, "label": k % 2, "lines": n, "h": h} for k, n, h in [(1, 5, 9), (2, 50, 1), (3, 6, 2), (4, 60, 3), (5, 1, 4), (6, 40, 5), (7, 3, 6)]]
+    assert q.fitting(rows, 10) == [(3, 1), (5, 1), (7, 1)] and q.fitting(rows, 100) == [(2, 0), (3, 1), (5, 1), (6, 0), (7, 1), (1, 1)]
+    docs = spark.createDataFrame([(i, f"Some fine words {i}.") for i in range(40)] + [(99, "\n" * (q.LINES + 1))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), 99]], "doc_id long, quality int")
+    without = q.fit(docs.where("doc_id < 99"), labels.where("doc_id < 99"))
+    assert (q.fit(docs, labels).weights == without.weights).all()
