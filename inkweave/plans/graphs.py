@@ -145,7 +145,7 @@ def kg_incremental(spark: SparkSession, d: str) -> DataFrame:
 
 BUNDLED = """
 WITH n AS (SELECT 'ext:geo:n' || n_nationkey AS ref, 'LOC' AS type, n_name AS label, 'ext:geo:r' || n_regionkey AS region FROM nation), r AS (SELECT 'ext:geo:r' || r_regionkey AS ref, 'LOC' AS type, r_name AS label FROM region),
-s AS (SELECT 'ext:trade:s' || s_suppkey AS ref, 'ORG' AS type, s_name AS label, 'alias ' || s_suppkey AS alias, 'ext:trade:n' || s_nationkey AS nation, s_acctbal FROM supplier), tn AS (SELECT DISTINCT 'ext:trade:n' || n_nationkey AS ref, n_name AS label FROM nation),
+s AS (SELECT 'ext:trade:s' || s_suppkey AS ref, 'ORG' AS type, s_name AS label, 'alias ' || s_suppkey AS alias, 'ext:trade:n' || s_nationkey AS nation, s_acctbal FROM supplier), tn AS (SELECT DISTINCT 'ext:trade:n' || n_nationkey AS ref, n_name AS label FROM nation JOIN supplier ON s_nationkey = n_nationkey),
 nodes AS (SELECT 'geo' AS source, ref, type, label, NULL AS alias FROM n UNION ALL SELECT 'geo', ref, type, label, NULL FROM r UNION ALL SELECT 'trade', ref, type, label, alias FROM s UNION ALL SELECT 'trade', ref, 'LOC', label, NULL FROM tn),
 edges AS (SELECT 'geo' AS source, ref AS src, region AS dst, 'PART_OF' AS type, 'ext:geo:' || substr(ref, 9) || '/PART_OF/' || substr(region, 9) AS ref FROM n UNION ALL SELECT 'trade', ref, nation, 'BASED_IN', 'ext:trade:e' || substr(ref, 12) FROM s)"""
 

@@ -102,10 +102,10 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def hashed_sql(n: str, key: str, table: str) -> str:
+def hashed_sql(n: str, key: str, table: str, text: str = "text") -> str:
     h = lambda *at: "('0x' || " + " || ".join(f"substr(h, {i}, 2)" for i in at) + ")::BIGINT"
     return (
-        f"{n}t AS (SELECT {key} AS id, sha256(unnest({T.format('text')})) AS h FROM {table}),"
+        f"{n}t AS (SELECT {key} AS id, sha256(unnest({T.format(text)})) AS h FROM {table}),"
         f" {n}b AS (SELECT id, {h(7, 5, 3, 1)} % 96 AS b, sum(CASE WHEN {h(9)} % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS w FROM {n}t GROUP BY ALL),"
         f" {n}v AS (SELECT id, b, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0) AS w FROM {n}b)"
     )
