@@ -112,14 +112,34 @@ def trend_status(delta: Column) -> Column:
     return F.when(delta.isNull(), "NO_BASELINE").when(delta > 20, "HARD_FAIL").when(delta > 5, "SOFT_WARNING").otherwise("PASS")
 
 
+#: Rows, or digests, that are joined in one digest at most.
+FAN = 1024
+
+
 def content_checksum(df: DataFrame, key: str, line: Column, order: str) -> DataFrame:
-    """(key, checksum): SHA-256 of a group's lines in order, joined by newlines.
+    """(key, checksum): a tree of SHA-256 digests of a group's lines in order, whatever its size.
+
+    order is a whole number from zero on that names a line in its group. The lines of each FAN numbers
+    are joined by newlines and digested, then the digests of each FAN blocks in the same way, until a
+    group is one block: no task gathers more than FAN lines of a group. Null lines count as absent.
+    """
+    now = df.select(key, F.col(order).cast("long").alias("_o"), line.alias("_l")).where("_l is not null")
+    most = df.agg(F.max(F.col(order).cast("long"))).first()[0] or 0
+    while True:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda x: x["_l"])
+        now = now.groupBy(key, F.floor(F.col("_o") / FAN).alias("_b")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("_l")).withColumnRenamed("_b", "_o")
+        most //= FAN
+        if not most:
+            return now.select(key, F.concat(F.lit("sha256:"), F.col("_l")).alias("checksum"))
+
+
+def listed_by_parts(df: DataFrame, key: str, value: str, size: int = FAN) -> DataFrame:
+    """(key, part, n, values): the distinct whole numbers of each key in order, in parts of numbers that share value // size.
 
-    The digest needs a group's lines in one row: key is to name something of bounded size, a document
-    or an order. For larger groups take digests of their parts first and then of those.
+    A part holds at most size numbers, however many the key has.
     """
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
-    return df.groupBy(key).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256)).alias("checksum"))
+    rows = df.select(key, F.col(value).alias("_v")).where("_v is not null").distinct()
+    return rows.groupBy(key, F.floor(F.col("_v") / size).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_v")).alias("values"))
 
 
 def fingerprint(text: Column) -> Column:

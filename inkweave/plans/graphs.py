@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
 from inkweave.operators import graph as g
+from inkweave.operators.relational import listed_by_parts
 from inkweave.operators.search import top_k
 from inkweave.session import cut_lineage, drop_folder, read_table, shared_folder
 
@@ -56,11 +57,11 @@ def kg_health(spark: SparkSession, d: str) -> DataFrame:
     return every.join(whole, "edge_id", "left").groupBy("edge_type").agg(F.count("*").alias("edges"), F.count("whole").alias("whole"))
 
 
-@query("graph_adjacency", "SELECT o_custkey AS entity, count(*) AS n_docs, array_to_string(list_sort(list(o_orderkey)), ',') AS docs FROM orders GROUP BY o_custkey")
+@query("graph_adjacency", "SELECT o_custkey AS entity, o_orderkey // 1024 AS part, count(*) AS n_docs, array_to_string(list_sort(list(o_orderkey)), ',') AS docs FROM orders GROUP BY ALL")
 def graph_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    links = read_table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    docs = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return links.groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("n_docs"), docs.alias("docs"))
+    """The documents of each entity, in parts of bounded size."""
+    found = listed_by_parts(read_table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    return found.select(F.col("o_custkey").alias("entity"), "part", F.col("n").alias("n_docs"), F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("docs"))
 
 
 EXPAND = (

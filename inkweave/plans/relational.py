@@ -292,7 +292,12 @@ def ratio_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("content_checksum", "SELECT source, 'sha256:' || sha256(string_agg(doc_id || ':' || n_chars || ':' || lang, chr(10) ORDER BY doc_id)) AS checksum FROM documents GROUP BY source")
+@query(
+    "content_checksum",
+    "WITH RECURSIVE t AS (SELECT 0 AS level, source, doc_id AS o, doc_id || ':' || n_chars || ':' || lang AS l FROM documents"
+    " UNION ALL SELECT level + 1, source, o // 1024, sha256(string_agg(l, chr(10) ORDER BY o)) FROM t WHERE level < 1 OR (SELECT max(doc_id) FROM documents) >= 1024 ** level GROUP BY ALL)"
+    " SELECT source, 'sha256:' || l AS checksum FROM t WHERE level = (SELECT max(level) FROM t)",
+)
 def content_checksum(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), "lang")
     return rel.content_checksum(read_table(spark, d, "documents").select("source", "doc_id", line.alias("line")), "source", F.col("line"), "doc_id")

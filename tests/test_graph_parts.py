@@ -72,3 +72,23 @@ def test_percentiles_in_passes(spark, monkeypatch):
     assert np.isclose(whole[0]["m"], np.quantile(groups["wide"], 0.5))
     assert rel.percentiles(df.limit(0), ["k"], "v", shares).count() == 0
     assert df.select(F.count("v")).first()[0] == sum(map(len, groups.values())) + 1
+
+
+def test_checksums_of_large_groups_are_trees(spark, monkeypatch):
+    from hashlib import sha256
+
+    monkeypatch.setattr(rel, "FAN", 4)
+    rows = [(k, i, f"{k}{i}") for k, n in (("a", 70), ("b", 3), ("c", 17)) for i in range(n) if i % 5 != 2] + [("d", 9, None), ("e", 64, "x")]
+    got = dict(map(tuple, rel.content_checksum(spark.createDataFrame(rows, "k string, i long, l string").repartition(7), "k", F.col("l"), "i").collect()))
+
+    def tree(lines):
+        for _ in range(4):  # 70 numbers are one block after four levels
+            blocks = {}
+            for i, x in sorted(lines.items()):
+                blocks.setdefault(i // 4, []).append(x)
+            lines = {b: sha256("\n".join(xs).encode()).hexdigest() for b, xs in blocks.items()}
+        return "sha256:" + lines[0]
+
+    assert got == {k: tree({i: x for kk, i, x in rows if kk == k}) for k in "abce"}
+    parts = rel.listed_by_parts(spark.createDataFrame([("a", v) for v in (5, 1, 9, 9, 17)] + [("b", None)], "k string, v long"), "k", "v", 8).collect()
+    assert {(r["part"], r["n"], tuple(r["values"])) for r in parts} == {(0, 2, (1, 5)), (1, 1, (9,)), (2, 1, (17,))}
