@@ -22,7 +22,7 @@ def case(columns, rows):
     return add
 
 
-@pytest.mark.parametrize("n", range(15))
+@pytest.mark.parametrize("n", range(16))
 def test_case(spark, n):
     fn, columns, rows = CASES[n]
     got = sorted((tuple(r) for r in fn(spark).select(*columns).collect()), key=repr)
@@ -30,7 +30,7 @@ def test_case(spark, n):
 
 
 def test_all_cases():
-    assert len(CASES) == 15
+    assert len(CASES) == 16
 
 
 SLOTS = [
@@ -202,3 +202,14 @@ RESOLVED = {
 @case("id, option, value", [(i, o, v) for i, vs in RESOLVED.items() for o, v in zip(ASKED, vs, strict=True)])
 def request_options(spark):
     return opt.resolved_requests(spark.createDataFrame(REQUESTS, "id int, request string"), "id", "request", ASKED)
+
+
+GUESSED = [
+    ("그 소년은 겨우 13살, 직업은 사실 목수", [("age", "13", 0.55, "model"), ("job", "사실 목수", 0.85, "rule")]), ("나이: 14세, 다른 이는 20살", [("age", "14", 0.85, "rule")]), ("어쩌면 재능이 없다", [("talent", "재능 없음", 0.45, "model")]),
+    ("아마 죽었을 것", [("death", "true", 0.55, "model")]), ("분명 생존, 12월 3일", [("death", "false", 0.45, "model"), ("time", "12월 3일", 0.5, "model")]), ("아마도 장소는 그가 말하고", []), ("아무 말", []),
+]
+
+
+@case("id, slot, value, confidence, source", [(i, *g) for i, (_, gs) in enumerate(GUESSED) for g in gs])
+def guessed_cases(spark):
+    return rules.slots_of(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GUESSED)], "id int, text string"), ["id"], guessed=True)
