@@ -228,6 +228,13 @@ def time_phrases(text: Column, compat: bool = False) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fixed))
 
 
+def time_key_variants(key: Column) -> Column:
+    """The forms by which a time key is known: itself, lower-case with single blanks, and what follows its first "/rel:"; none for an empty one."""
+    own = squeezed(key)
+    rest = F.trim(F.when(F.contains(own, F.lit("/rel:")), F.substring(own, F.instr(own, "/rel:") + 5, F.length(own))))
+    return F.array_distinct(F.filter(F.array(own, rest), lambda x: x.isNotNull() & (x != "")))
+
+
 def matches_alias(text: Column, alias: str) -> Column:
     """Whether a text names an alias: short ones as a token, with a particle at most; longer ones between boundaries or token by token."""
     tokens = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

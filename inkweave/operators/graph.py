@@ -86,6 +86,11 @@ def stale_sources(now: DataFrame, kept: DataFrame) -> DataFrame:
     return now.join(old, "source_table", "left").select("source_table", "n", "stamp", (~F.coalesce(same, F.lit(False))).alias("stale"))
 
 
+def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The graph that is loaded: first, or second where first has no rows. Searches prefer the live tables, judgements the stored graph."""
+    return second if first.isEmpty() else first
+
+
 #: Parts of a stored graph, by document.
 GRAPH_PARTS = 64
 

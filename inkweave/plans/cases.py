@@ -116,3 +116,13 @@ def request_options(spark: SparkSession, d: str) -> DataFrame:
     cap = F.when(F.col("event_type") == "click", F.format_string(', "evidence_link_cap": %d', k)).otherwise(F.lit(', "evidence_link_cap": "many"'))
     request = F.concat(F.format_string('{"graph_max_hops": %d, "exclude_self_evidence": ', k % 4), F.when(k % 2 == 0, "true").otherwise("false"), cap, loop, F.lit("}"))
     return opt.resolved_requests(read_table(spark, d, "events").select("event_id", request.alias("request")), "event_id", "request", ASKED)
+
+
+@query(
+    "time_key_variants",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderstatus WHEN 'F' THEN '/rel: ' || day(o_orderdate) || ' day|' || day(o_orderdate) || ' day' WHEN 'O' THEN '/rel:' ELSE '' END AS variants FROM orders",
+)
+def time_key_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Times of orders, some told in relation to another, and the forms by which they are found."""
+    key = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderstatus") == "F", F.format_string("/REL:  %d Day ", F.day("o_orderdate"))).when(F.col("o_orderstatus") == "O", "/rel: ").otherwise(""))
+    return read_table(spark, d, "orders").select("o_orderkey", F.array_join(tx.time_key_variants(key), "|").alias("variants"))

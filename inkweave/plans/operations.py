@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.catalogue import query
 from inkweave.operators import relational as rel
-from inkweave.session import read_table
+from inkweave.session import cut_lineage, drop_folder, read_table, shared_folder
 from inkweave.sources import files
 from inkweave.streaming import events as ev
 
@@ -72,3 +74,22 @@ def status_transitions(spark: SparkSession, d: str) -> DataFrame:
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ">")
     counts = _events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
     return last.groupBy("user_id").agg(path.alias("last_three")).join(counts, "user_id")
+
+
+@query("text_files", "SELECT item_id, sha256(text || chr(10)) AS checksum, length(text) + 1 AS n_chars FROM benchmark WHERE text IS NOT NULL")
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as files, one each, and read again whole."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    files.write_texts(read_table(spark, d, "benchmark"), path, "item_id")
+    found = files.read_texts(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), F.sha2("text", 256).alias("checksum"), F.length("text").alias("n_chars"))
+    out = cut_lineage(found)
+    drop_folder(spark, path)
+    return out
+
+
+@query("decoded_texts", "SELECT item_id, text FROM benchmark")
+def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that come as UTF-8, with and without a mark, and as UTF-16."""
+    i, plain = F.col("item_id") % 3, F.encode("text", "UTF-8")
+    content = F.when(i == 0, plain).when(i == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).otherwise(F.encode("text", "UTF-16"))
+    return files.decoded_texts(read_table(spark, d, "benchmark").select("item_id", content.alias("content")), "item_id")

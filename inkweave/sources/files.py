@@ -28,14 +28,20 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "ignore")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files, whatever their encoding."""
+def decoded_texts(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, text) of bytes in whatever encoding; null bytes give null."""
+    kind = df.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"path": p["path"], "text": [decoded(bytes(b)) for b in p["content"]]})
+            yield pd.DataFrame({"key": p["key"], "text": [None if b is None else decoded(bytes(b)) for b in p["content"]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+    return df.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of whole files, whatever their encoding."""
+    return decoded_texts(spark.read.format("binaryFile").load(path), "path")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
@@ -85,6 +91,11 @@ def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_texts(df: DataFrame, path: str, key: str, text: str = "text") -> None:
+    """A folder key=... for each key, with its text and a newline behind it in a file; null texts have none."""
+    df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrites only those partitions of a table that df has rows for."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -415,3 +415,14 @@ def test_given_vectors_in_cells(spark):
     d = "/root/testdata/sf0.01"
     exact, cells = ({(r["query_id"], r["vec_id"]) for r in catalogue.QUERIES[q](spark, d).collect()} for q in ("dense_knn", "cell_knn"))
     assert len(exact & cells) >= 0.9 * len(exact)
+
+
+def test_time_keys_and_texts_of_bytes(spark):
+    keys = {"Day 1/REL: 3일 후": ["day 1/rel: 3일 후", "3일 후"], "x": ["x"], " A  b ": ["a b"], "": [], "x/rel:": ["x/rel:"], "/rel:y/rel:z": ["/rel:y/rel:z", "y/rel:z"]}
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert {r[0]: r[1] for r in df.select("k", tx.time_key_variants(F.col("k"))).collect()} == keys
+    raw = [(1, "é".encode()), (2, b"\xef\xbb\xbfab"), (3, "ab".encode("utf-16")), (4, "가a".encode("cp949")), (5, b""), (6, None)]
+    got = {r["k"]: r["text"] for r in files.decoded_texts(spark.createDataFrame(raw, "k int, content binary"), "k").collect()}
+    assert got == {1: "é", 2: "ab", 3: "ab", 4: "가a", 5: "", 6: None}
+    some, none = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([], "x int")
+    assert graph.preferred(some, none) is some and graph.preferred(none, some) is some
