@@ -126,10 +126,11 @@ def _whole_sets(shingle: int):
     return run
 
 
-def local_links(keys: list[int], groups: list[int], sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+def local_links(keys: list[int], groups: list[int], sets: list[np.ndarray], per_cent: int, prints: np.ndarray | None = None, reach: int = 64) -> list[tuple[int, int]]:
     """Links between sets of different groups that unite whatever is alike: each set found joins its group to the finder's.
 
-    Pairs within a group, given or found, aren't compared.
+    Pairs within a group, given or found, aren't compared; with prints, neither are those whose
+    fingerprints lie more than reach bits apart.
     """
     sizes = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
@@ -141,6 +142,8 @@ def local_links(keys: list[int], groups: list[int], sets: list[np.ndarray], per_
     for i in range(len(sets)):
         apart = group != group[i]
         apart &= 100 * np.minimum(sizes, sizes[i]) >= per_cent * np.maximum(sizes, sizes[i])
+        if prints is not None:
+            apart &= np.bitwise_count(prints ^ prints[i]) <= reach
         if not apart.any():
             continue
         shared = np.bincount(np.concatenate([holders[first[t] : first[t + 1]] for t in token[begin[i] : begin[i + 1]]]), minlength=len(sets))
@@ -151,13 +154,14 @@ def local_links(keys: list[int], groups: list[int], sets: list[np.ndarray], per_
     return out
 
 
-def _compared(per_cent: int):
+def _compared(per_cent: int, reach: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
             for rows in b.column("sets"):
                 sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in rows.values.field("many")]
-                found += local_links(rows.values.field("key").to_pylist(), rows.values.field("root").to_pylist(), sets, per_cent)
+                prints = None if reach is None else np.asarray(rows.values.field("fp").to_numpy(zero_copy_only=False)).view(np.uint64)
+                found += local_links(rows.values.field("key").to_pylist(), rows.values.field("root").to_pylist(), sets, per_cent, prints, reach or 64)
             u, v = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
 
@@ -169,15 +173,15 @@ def _fits(a: str, b: str, per_cent: int):
     return f"100 * least({a}, {b}) >= {per_cent} * greatest({a}, {b})"
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike enough."""
     side = lambda c, name: sets.select(F.col("key").alias(c), F.col("many").alias(name))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
     return both.where(f"100 * shared >= {per_cent} * (size(a) + size(b) - shared)").select("u", "v")
 
 
-def _rest_in_tiles(crowded: DataFrame, sets: DataFrame, per_cent: int, tile: int) -> DataFrame:
-    """Links (u, v) between groups in buckets of many sets; crowded(band, key, n, root).
+def rest_in_tiles(crowded: DataFrame, sets: DataFrame, per_cent: int, tile: int, reach: int | None = None) -> DataFrame:
+    """Links (u, v) between groups in buckets of many sets; crowded(band, key, n, root), with reach also fp, a fingerprint.
 
     The sets of a bucket's largest group meet the others only, the others meet all. Both sides are
     dealt out over tiles of bounded size, each pair of tiles is one row.
@@ -190,9 +194,10 @@ def _rest_in_tiles(crowded: DataFrame, sets: DataFrame, per_cent: int, tile: int
     rows = rows.join(many, "band").withColumn("h", F.xxhash64("key", "band"))
     own = F.when(F.col("big"), F.col("k_rest") + F.pmod("h", "k_big")).otherwise(F.pmod("h", "k_rest")).cast("int")
     others = F.when(F.col("big"), F.sequence(F.lit(0), F.col("k_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("k_rest") + F.col("k_big") - 1))
-    met = rows.withColumn("own", own).withColumn("other", F.explode(others)).select("key", "root", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = met.join(sets, "key").groupBy("band", "lo", "hi").agg(F.collect_list(F.struct("key", "root", "many")).alias("sets"))
-    return full.select("sets").mapInArrow(_compared(per_cent), "u long, v long")
+    own_print = [] if reach is None else ["fp"]
+    met = rows.withColumn("own", own).withColumn("other", F.explode(others)).select("key", "root", *own_print, "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = met.join(sets, "key").groupBy("band", "lo", "hi").agg(F.collect_list(F.struct("key", "root", *own_print, "many")).alias("sets"))
+    return full.select("sets").mapInArrow(_compared(per_cent, reach), "u long, v long")
 
 
 def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_cent: int = PER_CENT, few: int = FEW, tile: int = TILE) -> DataFrame:
@@ -207,7 +212,7 @@ def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_
     sets = cut_lineage(sets_of(members.select("key").distinct()))
 
     stars = members.where("key <> first.key and " + _fits("n", "first.n", per_cent)).select(F.col("key").alias("u"), F.col("first.key").alias("v")).distinct()
-    known = cut_lineage(connected_components(_alike(stars, sets, per_cent)))
+    known = cut_lineage(connected_components(alike(stars, sets, per_cent)))
 
     placed = members.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
@@ -216,8 +221,8 @@ def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per_
     fits = lambda x, y: (y["key"] > x["key"]) & (y["root"] != x["root"]) & (100 * F.least(x["n"], y["n"]) >= per_cent * F.greatest(x["n"], y["n"]))
     over = lambda x: F.transform(F.filter("xs", lambda y: fits(x, y)), lambda y: F.struct(x["key"].alias("u"), y["key"].alias("v")))
     pairs = lists.select(F.explode(F.flatten(F.transform("xs", over))).alias("p")).select("p.*").distinct()
-    rest = _rest_in_tiles(placed.where(F.col("total") > few).select("band", "key", "n", "root"), sets, per_cent, tile)
-    return connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_alike(pairs, sets, per_cent)).union(rest))
+    rest = rest_in_tiles(placed.where(F.col("total") > few).select("band", "key", "n", "root"), sets, per_cent, tile)
+    return connected_components(known.select(F.col("node").alias("u"), F.col("root").alias("v")).union(alike(pairs, sets, per_cent)).union(rest))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, few: int = FEW, tile: int = TILE) -> DataFrame:
@@ -261,7 +266,8 @@ def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every pair of texts that share a shingle, and what can be reached over links.
 SQL = r"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s FROM words),
 nodes AS MATERIALIZED (SELECT min(doc_id) AS node, list(doc_id) AS ids, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s),
 tokens AS MATERIALIZED (SELECT node, n, hash(unnest(s)) AS h FROM nodes),
