@@ -93,7 +93,22 @@ def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
     return tx.sentence_table(read_table(spark, d, "documents"), "doc_id")
 
 
-@query("chunks")
+#: Blocks up to blank lines, cut one after the other at the last sentence end or line end of their first 1200 characters, then joined from the left.
+CHUNKS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s).+?(?:\n\s*\n|\n?\z)') AS ms FROM documents),
+b AS (SELECT doc_id, i, ms[i] AS m, coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT AS a FROM d, unnest(range(1, len(ms) + 1)) u(i)),
+blocks AS (SELECT doc_id, i, a, a + length(m) - CASE WHEN m LIKE '%' || chr(10) AND NOT regexp_matches(m, '\n\s*\n\z') THEN 1 ELSE 0 END AS b FROM b WHERE trim(m, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+cut AS (SELECT doc_id, i, a, a AS s, NULL::BIGINT AS e, b FROM blocks
+ UNION ALL SELECT doc_id, i, a, e0, CASE WHEN b - e0 > 1200 THEN e0 + coalesce(nullif(greatest(length(regexp_extract(w, '(?s)^(.*[.!?。！？]\s+)', 1)), length(regexp_extract(w, '(?s)^(.*\n)', 1))), 0), 1200) ELSE b END, b
+  FROM (SELECT c.doc_id, i, a, b, coalesce(e, s) AS e0, substr(d.text, coalesce(e, s) + 1, 1200) AS w FROM cut c JOIN d ON d.doc_id = c.doc_id WHERE e IS NULL OR e < b)),
+pieces AS (SELECT doc_id, list([[s, e]] ORDER BY s) AS ps FROM cut WHERE e IS NOT NULL GROUP BY doc_id),
+merged AS (SELECT doc_id, list_reduce(ps, lambda o, x: CASE WHEN (x[1][2] - x[1][1] < 240 OR o[len(o)][2] - o[len(o)][1] < 240) AND x[1][2] - o[len(o)][1] <= 1600
+ THEN list_concat(o[1:len(o) - 1], [[o[len(o)][1], x[1][2]]]) ELSE list_concat(o, x) END) AS ps FROM pieces)
+SELECT doc_id, (j - 1)::INTEGER AS idx, ps[j][1]::INTEGER AS start, ps[j][2]::INTEGER AS "end" FROM (SELECT d.doc_id, coalesce(ps, [[0, length(text)]]) AS ps FROM d LEFT JOIN merged m ON m.doc_id = d.doc_id), unnest(range(1, len(ps) + 1)) u(j)
+"""
+
+
+@query("chunks", CHUNKS)
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return tx.chunk_table(read_table(spark, d, "documents"), "doc_id")
 
