@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.text import terms
 from inkweave.operators.relational import top_rows
-from inkweave.session import cut_lineage, drop_folder
+from inkweave.session import drop_folder
 from inkweave.sources.files import replace_partitions
 
 SEED_WEIGHTS = {"filter": 1.0, "alias": 0.7, "time": 0.5, "term": 0.45}
@@ -33,9 +33,14 @@ def nodes(parts: list[DataFrame], stubs: list[DataFrame]) -> DataFrame:
     return best.select("node_id", "n.*")
 
 
-def edges(parts: list[DataFrame]) -> DataFrame:
-    """(edge_id, src, dst, edge_type), each once."""
-    every = reduce(DataFrame.unionByName, [p.select("src", "dst", "edge_type") for p in parts]).distinct()
+def edges(parts: list[DataFrame], told_once: bool = False) -> DataFrame:
+    """(edge_id, src, dst, edge_type), each once.
+
+    told_once says that parts have no edge twice, so nothing moves: keys can be told apart before they become ids,
+    which are several times as long.
+    """
+    every = reduce(DataFrame.unionByName, [p.select("src", "dst", "edge_type") for p in parts])
+    every = every if told_once else every.distinct()
     return every.select(edge_id(F.col("src"), F.col("dst"), F.col("edge_type")).alias("edge_id"), "src", "dst", "edge_type")
 
 
@@ -96,19 +101,32 @@ GRAPH_PARTS = 64
 
 
 def _by_doc(links: DataFrame, parts: int) -> DataFrame:
-    return links.select("doc", "src", "dst", "edge_type").distinct().withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+    """links with their part, each once; a part's rows lie in one task, so that what follows by part moves nothing."""
+    rows = links.select("doc", "src", "dst", "edge_type").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+    return rows.repartition("part").distinct()
 
 
 def _stamps(links: DataFrame) -> DataFrame:
-    """(part, doc, stamp): what the links of each document are, in whatever order."""
-    return links.groupBy("part", "doc").agg(F.sum(F.xxhash64("src", "dst", "edge_type").cast("decimal(38,0)")).cast("string").alias("stamp"))
+    """(part, doc, stamp): what the links of each document are, each told once, in whatever order."""
+    return links.groupBy("part", "doc").agg(F.concat_ws("/", F.count("*").cast("string"), F.bit_xor(F.xxhash64("src", "dst", "edge_type")).cast("string")).alias("stamp"))
+
+
+def stored_links(spark: SparkSession, path: str, key: str = "long", end: str = "string") -> DataFrame:
+    """(doc, src, dst, edge_type, part) of a stored graph; key and end are the types of documents and of ends."""
+    return spark.read.schema(f"doc {key}, src {end}, dst {end}, edge_type string, part int").parquet(f"{path}/links")
+
+
+def _as_stored(links: DataFrame, path: str) -> DataFrame:
+    return stored_links(links.sparkSession, path, links.schema["doc"].dataType.simpleString(), links.schema["src"].dataType.simpleString())
 
 
 def write_graph(links: DataFrame, path: str, parts: int = GRAPH_PARTS) -> None:
-    """Stores a graph's links(doc, src, dst, edge_type) by document, with a stamp of each document's."""
-    rows = _by_doc(links, parts)
-    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/links")
-    _stamps(rows).write.mode("overwrite").partitionBy("part").parquet(f"{path}/stamps")
+    """Stores a graph's links(doc, src, dst, edge_type) by document, with a stamp of each document's.
+
+    Ends are of one type, node ids or what these are made of. Links move once; stamps are those of what was stored.
+    """
+    _by_doc(links, parts).write.mode("overwrite").partitionBy("part").parquet(f"{path}/links")
+    _stamps(_as_stored(links, path)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/stamps")
 
 
 def refresh_graph(links: DataFrame, path: str, parts: int = GRAPH_PARTS) -> list[int]:
@@ -121,24 +139,23 @@ def refresh_graph(links: DataFrame, path: str, parts: int = GRAPH_PARTS) -> list
     now, kept = _by_doc(links, parts), spark.read.schema("doc long, stamp string, part int").parquet(f"{path}/stamps")
     kept = kept.withColumn("doc", F.col("doc").cast(links.schema["doc"].dataType))
     new, old = _stamps(now).alias("n"), kept.alias("o")
-    differ = new.join(old, (F.col("n.part") == F.col("o.part")) & F.col("n.doc").eqNullSafe(F.col("o.doc")), "full").where(~F.col("n.stamp").eqNullSafe(F.col("o.stamp")))
-    touched = sorted(r[0] for r in differ.select(F.coalesce("n.part", "o.part")).distinct().collect())  # as many as there are parts
-    if not touched:
-        return []
-    fresh = cut_lineage(now.where(F.col("part").isin(*touched)))
-    stamps = cut_lineage(_stamps(fresh))
-    for rows, table in ((fresh.repartition("part"), "links"), (stamps, "stamps")):
-        replace_partitions(rows, f"{path}/{table}", "part")
-    left = {r[0] for r in fresh.select("part").distinct().collect()}
-    for part in set(touched) - left:
+    both = new.join(old, (F.col("n.part") == F.col("o.part")) & F.col("n.doc").eqNullSafe(F.col("o.doc")), "full")
+    differs, there = ~F.col("n.stamp").eqNullSafe(F.col("o.stamp")), F.col("n.part").isNotNull()
+    seen = both.groupBy(F.coalesce("n.part", "o.part").alias("part")).agg(F.bool_or(differs).alias("touched"), F.bool_or(there).alias("left"))
+    found = seen.where("touched").collect()  # as many as there are parts
+    touched, left = sorted(r["part"] for r in found), sorted(r["part"] for r in found if r["left"])
+    for part in set(touched) - set(left):
         for table in ("links", "stamps"):
             drop_folder(spark, f"{path}/{table}/part={part}")
+    if left:
+        replace_partitions(now.where(F.col("part").isin(*left)), f"{path}/links", "part")
+        replace_partitions(_stamps(_as_stored(links, path).where(F.col("part").isin(*left))).repartition("part"), f"{path}/stamps", "part")
     return touched
 
 
 def stored_edges(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
     """The edges of a stored graph, each once."""
-    return edges([spark.read.schema(f"doc {key}, src string, dst string, edge_type string, part int").parquet(f"{path}/links")])
+    return edges([stored_links(spark, path, key)])
 
 
 def bundle_rows(bundles: DataFrame) -> DataFrame:
