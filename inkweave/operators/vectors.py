@@ -6,21 +6,24 @@ import hashlib
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.operators.search import top_k
+from inkweave.operators.search import in_slices, top_k
 from inkweave.session import cut_lineage, folder_exists, shared_folder
 from inkweave.sources.files import replace_partitions
 
 WIDTH = 96
 #: Query vectors that go to the rows together, about, and rows that they are compared with together.
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: Texts whose vectors are compared together, and queries that these or rows are compared with at once.
+TEXT_BLOCK, AT_ONCE = 2048, 64
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -44,11 +47,12 @@ def hashed_embedding(text: str | None) -> list[float]:
 def embedded(df: DataFrame, key: str, text: str = "text", embedding=hashed_embedding) -> DataFrame:
     """(key, vec) of hashed embeddings; embedding may be triage_embedding. Keys are integers."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"key": p["key"], "vec": [embedding(t) for t in p["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            vec = pa.array([embedding(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.int64()), vec], ["key", "vec"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, vec array<double>").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, vec array<double>").withColumnRenamed("key", key)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -63,8 +67,8 @@ def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
 def _closest(v: np.ndarray, own: np.ndarray, w: np.ndarray, names: np.ndarray, k: int) -> list[pd.DataFrame]:
     """The k best of rows v for each of queries w, and what ties with the last of them."""
     out = []
-    for at in range(0, len(names), 256):
-        s = np.round(w[at : at + 256] @ v.T, 6)
+    for at in range(0, len(names), AT_ONCE):
+        s = np.round(w[at : at + AT_ONCE] @ v.T, 6)
         many = min(k, len(own))
         floor = np.partition(s, len(own) - many, axis=1)[:, len(own) - many]
         i, j = np.nonzero(s >= floor[:, None])  # what ties with the last one stays, for the order by key
@@ -107,6 +111,48 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, p
     return _by_blocks(queries, key, query, k, positive, lambda some: _scanned(mine, some, k))
 
 
+def _scanned_texts(rows: DataFrame, queries: pd.DataFrame, k: int, embedding: Callable[[str | None], list[float]]) -> DataFrame:
+    """As _scanned over rows(key, text): a text's vector is compared where it is made and goes nowhere."""
+    w, names = _unit(queries["vec"].tolist()), queries["query"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pd.DataFrame | None = None
+        own: list[int] = []
+        made: list[np.ndarray] = []
+
+        def compared() -> None:
+            nonlocal best
+            new = _closest(_unit(made), np.array(own, np.int64), w, names, k)
+            best = _best([*([best] if best is not None else []), *new], k)
+            own.clear()
+            made.clear()
+
+        for b in in_slices(batches):
+            own += b.column("key").to_pylist()
+            made += [np.asarray(embedding(t)) for t in b.column("text").to_pylist()]
+            if len(own) >= TEXT_BLOCK:
+                compared()
+        if own:
+            compared()
+        if best is not None and len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(best["query"], pa.int64()), pa.array(best["key"], pa.int64()), pa.array(best["score"], pa.float64())], ["query", "key", "score"])
+
+    return rows.mapInArrow(run, "query long, key long, score double")
+
+
+def nearest_texts(rows: DataFrame, queries: DataFrame, key: str, query: str, k: int, embedding: Callable[[str | None], list[float]] = hashed_embedding, positive: bool = True) -> DataFrame:
+    """nearest of the embedded texts of rows and queries.
+
+    Where queries are one block, vectors of rows are compared in the task that makes them: no more is sent on than k rows
+    a query. Those of more blocks are made once and kept, as nearest has it.
+    """
+    asked = cut_lineage(embedded(queries, query, embedding=embedding))
+    if asked.where(F.col(query).isNotNull()).count() > QUERY_BLOCK:
+        return nearest(embedded(rows, key, embedding=embedding), asked, key, query, k, positive)
+    texts = rows.select(F.col(key).cast("long").alias("key"), "text").where("key is not null")
+    return _by_blocks(asked, key, query, k, positive, lambda some: _scanned_texts(texts, some, k, embedding))
+
+
 def _by_blocks(queries: DataFrame, key: str, query: str, k: int, positive: bool, search) -> DataFrame:
     asked = cut_lineage(queries.select(F.col(query).cast("long").alias("query"), "vec").where("query is not null and vec is not null"))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
