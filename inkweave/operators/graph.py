@@ -12,6 +12,14 @@ from inkweave.operators.relational import top_rows
 from inkweave.session import drop_folder
 from inkweave.sources.files import replace_partitions
 
+#: Rows that go to all tasks at most.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
 SEED_WEIGHTS = {"filter": 1.0, "alias": 0.7, "time": 0.5, "term": 0.45}
 DECAY = {1: 1.0, 2: 0.5}
 
@@ -65,6 +73,13 @@ def expand(links: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None
     return out if limit is None else out.orderBy("distance", F.desc("weight"), "doc").limit(limit)
 
 
+def placed(docs: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """expand for docs(doc) alone: a document's place follows from the links of its own keys."""
+    keys = links.join(docs, "doc", "left_semi").select("key").distinct()
+    near = links.join(F.broadcast(keys) if few(keys) else keys, "key", "left_semi")
+    return expand(near, seeds.join(near.select("doc").union(docs.select("doc")).distinct(), "doc", "left_semi")).join(docs, "doc", "left_semi")
+
+
 def boost(distance: Column, seed: Column, weight: float = 0.25) -> Column:
     """What a document's place in the graph adds to a higher-is-better score."""
     weight = max(0.0, min(0.5, weight))
