@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as cp
 from inkweave.llm import near_copies as nc
+from inkweave.llm.components import connected_components
 
 
 def plain_groups(texts):
@@ -71,3 +72,93 @@ def test_planted_pairs_meet():
         near = (nc.print_of(a) ^ nc.print_of(b)) & (2**64 - 1)
         lost += not set(nc.band_keys(a)) & set(nc.band_keys(b)) or near.bit_count() > nc.REACH
     assert lost == 0
+
+
+def test_tiles_are_formed_by_blocks_of_the_fingerprint():
+    x = np.random.default_rng(5).integers(0, 2**64, 700, np.uint64)
+    bits = nc.bits_of(x, 8)
+    first = [2 * sum(int(h) >> k & 1 for h in x) > len(x) for k in range(64)]
+    assert bits[:64].tolist() == first and nc.print_of(x) % 2**64 == sum(b << k for k, b in enumerate(first))
+    for wide in (8, 9):
+        blocks = [bits[k : k + wide] for k in range(0, nc.bands_of(wide) * wide, wide)]
+        assert nc.band_keys(x, wide) == [(n << wide) + sum(int(b) << k for k, b in enumerate(block)) for n, block in enumerate(blocks)]
+    assert not set(nc.band_keys(x)[:8]) & set(nc.band_keys(~x)[:8])
+
+
+def test_blocks_grow_with_the_table_and_miss_no_more():
+    assert [nc.wide_of(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 15_000_000)] == [8, 8, 8, 9, 10]
+    for wide in range(8, 17):
+        assert (1 - (1 - nc.APART) ** wide) ** nc.bands_of(wide) <= nc.MISS and nc.bands_of(wide) * wide <= 64 * len(nc._SEEDS)
+
+
+def test_planted_pairs_agree_on_blocks_of_any_width():
+    r, lost, far = np.random.default_rng(12), 0, 0
+    for wide in (8, 10):
+        for _ in range(1000):
+            n = int(r.integers(6, 300))
+            own = n // 9  # (n - own) of n + own: at least 0.8, near it where n is large
+            x = r.integers(0, 2**64, n + own + 1, np.uint64)
+            a, b = np.sort(x[:n]), np.sort(np.concatenate([x[: n - own], x[n : n + own]])) if own else np.sort(x[: n + 1])
+            assert 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+            lost += not set(nc.band_keys(a, wide)) & set(nc.band_keys(b, wide))
+            far += np.count_nonzero(nc.bits_of(a, nc.PRINTS) != nc.bits_of(b, nc.PRINTS)) > nc.FAR
+    assert lost == far == 0
+
+
+@pytest.mark.parametrize("n", [3, 300, 2300])
+def test_stars_of_a_tile_span_its_components(n):
+    r = np.random.default_rng(n)
+    prints = r.integers(0, 2**64, (n, nc.PRINTS), np.uint64)
+    for k in range(1, n, 2):  # every second lies some bits from one before it, every tenth is a copy of one
+        prints[k] = prints[r.integers(0, k)] ^ (np.uint64(0 if k % 5 == 0 else (1 << int(r.integers(1, 40))) - 1))
+    sizes = r.choice([20, 22, 40], n)
+    near = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum() <= nc.FAR and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        apart = np.bitwise_count(prints[:i] ^ prints[i]).sum(axis=1)
+        for j in np.flatnonzero(apart <= nc.FAR):
+            if near(i, j):
+                root[top(i)] = top(j)
+    words = prints[:, 0].view(np.int64).tolist()
+    stars = nc.print_stars(prints, sizes, 0.8)
+    got = {w: {w} for w in words}
+    for u, v in stars:
+        both = got[u] | got[v]
+        for w in both:
+            got[w] = both
+    same = {}
+    for i, w in enumerate(words):
+        same.setdefault(top(i), set()).add(w)
+    want = {w: {w} for w in words}
+    for s in same.values():
+        both = set().union(*(want[w] for w in s))
+        for w in both:
+            want[w] = both
+    assert got == want and len(stars) < n
+
+
+@pytest.mark.parametrize("tile", [1 << 14, 3])
+def test_crowded_blocks_in_small_tiles(spark, tile):
+    r = np.random.default_rng(8)
+    base, rows = r.integers(0, 2**64, 200, np.uint64), []
+    for k in range(40):  # a group of near copies and as many others
+        for x in (np.concatenate([base[k // 4 :], r.integers(0, 2**64, 6, np.uint64)]), r.integers(0, 2**64, 60, np.uint64)):
+            bits = nc.bits_of(x, 6)
+            rows.append((nc.words_of(bits)[: nc.PRINTS].tolist(), len(x), nc.block_keys(bits, 8).tolist(), nc.short_keys(x)))
+    nodes = spark.createDataFrame(rows, "fps array<long>, n long, blocks array<long>, shorts array<long>")
+    found = connected_components(nc.print_edges(nodes, 0.8, tile)).collect()
+    assert {f["node"] for f in found} == {x[0][0] for x in rows[::2]} and len({f["root"] for f in found}) == 1
+    assert nc.print_edges(nodes.limit(0), 0.8).count() == 0
+
+
+def test_texts_of_few_shingles(spark):
+    # five of nine words and four of eight: four shared of five
+    texts = {10 * k + j: " ".join(f"w{k}x{i}" for i in range(8 + j)) for k in range(150) for j in (0, 1)}
+    got = {r["id"]: r["component_id"] for r in nc.jaccard_components(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i in texts}
