@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.common import whole_text
@@ -83,10 +83,22 @@ def wide_of(nodes: int) -> int:
     return max(WIDE, math.ceil(math.log2(max(nodes, 1) / CROWD)))
 
 
+def words_for(wide: int) -> int:
+    """Words that hold all blocks and those that are compared; a block lies in one word."""
+    return max(PRINTS, math.ceil(bands_of(wide) / (64 // wide)))
+
+
 def block_keys(bits: np.ndarray, wide: int) -> np.ndarray:
     """One key for each block of a fingerprint: its number and its bits."""
-    bands = bands_of(wide)
-    return (bits[: bands * wide].reshape(bands, wide) @ (1 << np.arange(wide))) + (np.arange(bands) << wide)
+    bands, per = bands_of(wide), 64 // wide
+    blocks = bits.reshape(-1, 64)[:, : per * wide].reshape(-1, wide)[:bands]
+    return blocks @ (1 << np.arange(wide)) + (np.arange(bands) << wide)
+
+
+def block_column(words: Column, wide: int) -> Column:
+    """The same of a column of words."""
+    per, mask = 64 // wide, F.lit((1 << wide) - 1)
+    return F.array(*[F.shiftrightunsigned(words[b // per], b % per * wide).bitwiseAND(mask) + F.lit(b << wide) for b in range(bands_of(wide))])
 
 
 def short_keys(hashes: np.ndarray) -> list[int]:
@@ -99,7 +111,7 @@ def short_keys(hashes: np.ndarray) -> list[int]:
 
 def band_keys(hashes: np.ndarray, wide: int = WIDE) -> list[int]:
     """All keys of a set, one of which two sets share that are to be compared."""
-    return block_keys(bits_of(hashes, math.ceil(bands_of(wide) * wide / 64)), wide).tolist() + short_keys(hashes)
+    return block_keys(bits_of(hashes, words_for(wide)), wide).tolist() + short_keys(hashes)
 
 
 def print_of(hashes: np.ndarray) -> int:
@@ -111,19 +123,18 @@ def _key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
 
 
-def _printed(shingle: int, wide: int):
-    longs, words = pa.list_(pa.int64()), max(PRINTS, math.ceil(bands_of(wide) * wide / 64))
+def _printed(shingle: int, words: int):
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for t in b.column("text").cast(pa.binary()):
                 s = shingles_of(t.as_py(), shingle)
-                bits = bits_of(s, words)
-                rows.append((_key(s), len(s), words_of(bits)[:PRINTS], block_keys(bits, wide), short_keys(s)))
-            keys, sizes, prints, blocks, shorts = zip(*rows, strict=True) if rows else [()] * 5
-            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, longs) for x in (prints, blocks, shorts))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "key", "n", "fps", "blocks", "shorts"])
+                rows.append((_key(s), len(s), words_of(bits_of(s, words)), short_keys(s)))
+            keys, sizes, prints, shorts = zip(*rows, strict=True) if rows else [()] * 4
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, longs) for x in (prints, shorts))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "key", "n", "words", "shorts"])
 
     return run
 
@@ -179,12 +190,12 @@ def _met(likeness: float):
     return run
 
 
-def print_edges(nodes: DataFrame, likeness: float, tile: int = PRINT_TILE) -> DataFrame:
+def print_edges(nodes: DataFrame, wide: int, likeness: float, tile: int = PRINT_TILE) -> DataFrame:
     """Stars (u, v) of first words that span, within each block, the fingerprints at most FAR bits apart, and those of short sets.
 
-    nodes has fps, n, blocks and shorts; an empty table gives an empty one.
+    nodes has words, n and shorts; an empty table gives an empty one.
     """
-    rows = nodes.select(*(F.col("fps")[k].alias(c) for k, c in enumerate(PRINT_COLUMNS)), "n", F.explode("blocks").alias("block"))
+    rows = nodes.select(*(F.col("words")[k].alias(c) for k, c in enumerate(PRINT_COLUMNS)), "n", F.explode(block_column(F.col("words"), wide)).alias("block"))
     totals = rows.groupBy("block").agg(F.count("*").alias("total"))
     crowded = cut_lineage(totals.where(F.col("total") > tile).select(F.col("block").alias("of"), F.ceil(F.col("total") / tile).cast("int").alias("k")))
     crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_BLOCKS else crowded
@@ -197,7 +208,7 @@ def print_edges(nodes: DataFrame, likeness: float, tile: int = PRINT_TILE) -> Da
     tiles = rows.groupBy("block", "pair").agg(F.collect_list(F.struct(*PRINT_COLUMNS, "n")).alias("xs")).where("size(xs) > 1").select("xs")
     stars = tiles.mapInArrow(_met(likeness), "u long, v long")
 
-    shorts = nodes.select(F.col("fps")[0].alias("u"), F.explode("shorts").alias("short"))
+    shorts = nodes.select(F.col("words")[0].alias("u"), F.explode("shorts").alias("short"))
     heads = shorts.groupBy("short").agg(F.min("u").alias("v"), F.count("*").alias("total")).where("total > 1").select("short", "v")
     return stars.union(shorts.join(heads, "short").select("u", "v")).distinct()
 
@@ -259,10 +270,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.where(docs[id_col].try_cast("long").isNotNull()).select(docs[id_col].try_cast("long").alias("id"), whole_text(docs[text_col]).alias("text"))
     wide = wide_of(rows.count())
-    prints = cut_lineage(rows.mapInArrow(_printed(shingle, wide), "id long, key long, n long, fps array<long>, blocks array<long>, shorts array<long>"))
-    nodes = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fps", "blocks", "shorts"))))
-    near = connected_components(print_edges(nodes, likeness))
-    nodes = nodes.select("key", "least", "n", F.col("fps")[0].alias("fp"))
+    prints = cut_lineage(rows.mapInArrow(_printed(shingle, words_for(wide)), "id long, key long, n long, words array<long>, shorts array<long>"))
+    nodes = cut_lineage(prints.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "words", "shorts"))))
+    near = connected_components(print_edges(nodes, wide, likeness))
+    nodes = nodes.select("key", "least", "n", F.col("words")[0].alias("fp"))
     # nodes of one first word are in one component
     members = nodes.join(near, nodes.fp == near.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("near"))
     shared = members.groupBy("near").agg(F.count("*").alias("total"), F.sum("n").alias("size")).where("total > 1")

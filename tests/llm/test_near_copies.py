@@ -80,7 +80,7 @@ def test_tiles_are_formed_by_blocks_of_the_fingerprint():
     first = [2 * sum(int(h) >> k & 1 for h in x) > len(x) for k in range(64)]
     assert bits[:64].tolist() == first and nc.print_of(x) % 2**64 == sum(b << k for k, b in enumerate(first))
     for wide in (8, 9):
-        blocks = [bits[k : k + wide] for k in range(0, nc.bands_of(wide) * wide, wide)]
+        blocks = [bits[w + k : w + k + wide] for w in range(0, 512, 64) for k in range(0, 65 - wide, wide)][: nc.bands_of(wide)]
         assert nc.band_keys(x, wide) == [(n << wide) + sum(int(b) << k for k, b in enumerate(block)) for n, block in enumerate(blocks)]
     assert not set(nc.band_keys(x)[:8]) & set(nc.band_keys(~x)[:8])
 
@@ -88,7 +88,7 @@ def test_tiles_are_formed_by_blocks_of_the_fingerprint():
 def test_blocks_grow_with_the_table_and_miss_no_more():
     assert [nc.wide_of(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 15_000_000)] == [8, 8, 8, 9, 10]
     for wide in range(8, 17):
-        assert (1 - (1 - nc.APART) ** wide) ** nc.bands_of(wide) <= nc.MISS and nc.bands_of(wide) * wide <= 64 * len(nc._SEEDS)
+        assert (1 - (1 - nc.APART) ** wide) ** nc.bands_of(wide) <= nc.MISS and nc.words_for(wide) <= len(nc._SEEDS)
 
 
 def test_planted_pairs_agree_on_blocks_of_any_width():
@@ -150,11 +150,19 @@ def test_crowded_blocks_in_small_tiles(spark, tile):
     for k in range(40):  # a group of near copies and as many others
         for x in (np.concatenate([base[k // 4 :], r.integers(0, 2**64, 6, np.uint64)]), r.integers(0, 2**64, 60, np.uint64)):
             bits = nc.bits_of(x, 6)
-            rows.append((nc.words_of(bits)[: nc.PRINTS].tolist(), len(x), nc.block_keys(bits, 8).tolist(), nc.short_keys(x)))
-    nodes = spark.createDataFrame(rows, "fps array<long>, n long, blocks array<long>, shorts array<long>")
-    found = connected_components(nc.print_edges(nodes, 0.8, tile)).collect()
+            rows.append((nc.words_of(bits).tolist(), len(x), nc.short_keys(x)))
+    nodes = spark.createDataFrame(rows, "words array<long>, n long, shorts array<long>")
+    found = connected_components(nc.print_edges(nodes, 8, 0.8, tile)).collect()
     assert {f["node"] for f in found} == {x[0][0] for x in rows[::2]} and len({f["root"] for f in found}) == 1
-    assert nc.print_edges(nodes.limit(0), 0.8).count() == 0
+    assert nc.print_edges(nodes.limit(0), 8, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("wide", [8, 10])
+def test_blocks_of_a_column_are_those_of_the_bits(spark, wide):
+    bits = [nc.bits_of(np.random.default_rng(k).integers(0, 2**64, 50, np.uint64), nc.words_for(wide)) for k in range(5)]
+    df = spark.createDataFrame([(nc.words_of(b).tolist(),) for b in bits], "words array<long>").coalesce(1)
+    got = [r["b"] for r in df.select(nc.block_column(df["words"], wide).alias("b")).collect()]
+    assert sorted(got) == sorted(nc.block_keys(b, wide).tolist() for b in bits)
 
 
 def test_texts_of_few_shingles(spark):
